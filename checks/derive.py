@@ -483,7 +483,7 @@ def nested_columns(name: str) -> Mapping[str, Column | str]:
 CALENDAR = "ba_preserved.calendar"
 _EPOCH = {
     "spark": "timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {})",
-    "duckdb": "epoch_ms({})",
+    "duckdb": "(epoch_us({}) // 1000)",
 }
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +22,7 @@ from ledgerweave import plans
 from ledgerweave.operators import ads, codemap
 from ledgerweave.operators import orders as order_ops
 from ledgerweave.operators import settlement as settle
-from ledgerweave.session import ensure_checkpoint_dir
+from ledgerweave.session import scratch_path
 
 AD_AS_OF = dt.date(2024, 3, 1)
 PERIOD = (dt.date(2017, 1, 1), dt.date(2024, 1, 1))
@@ -44,12 +43,6 @@ SELLERS, CANCELS, EXCHANGES = (
 HIERARCHY = ("dump.orders", "dump.order_productions", "dump.order_options")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the session's checkpoint folder, which all executors share."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 # --- order options ------------------------------------------------------------------------
 def _case(labels: dict[int, str], code: str) -> str:
     whens = " ".join(f"WHEN {k} THEN '{v}'" for k, v in labels.items())

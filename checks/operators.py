@@ -345,8 +345,8 @@ def allocate_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.sum(F.col("l_extendedprice").cast(MONEY)).alias("price"))
     )
     joined = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
-    shared = allocate.allocate(joined, ["o_orderkey"], "total", "price")
-    fixed = allocate.fix_residual(shared, ["o_orderkey"], "total", "allocated", ["l_linenumber"])
+    shared = allocate.allocate(joined, ["o_orderkey"], "total", "price", ["l_linenumber"])
+    fixed = allocate.fix_residual(shared, ["o_orderkey"], "total", "allocated")
     return fixed.select("o_orderkey", "l_linenumber", "allocated", "fixed")
 
 

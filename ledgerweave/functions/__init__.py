@@ -11,8 +11,10 @@ from ledgerweave.functions.columns import (
 from ledgerweave.functions.dates import (
     as_date,
     calendar_months_between,
+    day_key,
     elapsed_days,
     full_months_between,
+    iso_day,
     iso_utc_to_local_date,
     local_from_epoch_ms,
     month_key,
@@ -23,10 +25,12 @@ from ledgerweave.functions.dates import (
 __all__ = [
     "as_date",
     "calendar_months_between",
+    "day_key",
     "elapsed_days",
     "ex_vat",
     "full_months_between",
     "greatest_strict",
+    "iso_day",
     "iso_utc_to_local_date",
     "local_from_epoch_ms",
     "money",

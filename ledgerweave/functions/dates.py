@@ -18,13 +18,25 @@ def as_date(value: dt.date | str | Column) -> Column:
 
 
 def month_key(c: Column | str) -> Column:
-    """``yyyyMM`` text of a date."""
-    return F.date_format(as_col(c), "yyyyMM")
+    """``yyyyMM`` text of a date; number arithmetic is far cheaper per row than a formatter."""
+    c = as_col(c)
+    return (F.year(c) * 100 + F.month(c)).cast("string")
 
 
 def month_text(c: Column | str) -> Column:
     """``yyyy-MM-01`` text of a date."""
-    return F.date_format(as_col(c), "yyyy-MM-01")
+    return F.trunc(as_col(c).cast("date"), "month").cast("string")
+
+
+def iso_day(c: Column | str) -> Column:
+    """``yyyy-MM-dd`` text of a date or time."""
+    return as_col(c).cast("date").cast("string")
+
+
+def day_key(c: Column | str) -> Column:
+    """``yyyyMMdd`` text of a date or time."""
+    c = as_col(c)
+    return (F.year(c) * 10000 + F.month(c) * 100 + F.dayofmonth(c)).cast("string")
 
 
 def month_start(yyyymm: Column | str) -> Column:

@@ -15,19 +15,26 @@ def allocate(
     keys: Sequence[str],
     amount: str,
     weight: str,
+    order_by: Sequence[str],
     out: str = "allocated",
+    first_out: str = "is_first",
     copies: str | None = None,
 ) -> DataFrame:
-    """``round(amount * weight / sum(weight) of the key)`` with a null weight counted as 1.
+    """``round(amount * weight / sum(weight) of the key)``, a null weight counted as 1.
 
-    ``copies`` names a column saying how many identical rows a row stands for.
-    The share is a double rounded once to whole units, half away from zero.
+    Also flags the first row of each key under ``order_by`` (ascending, nulls last), which
+    must tell the rows of a key apart: one pass over the keys serves both. ``copies`` names
+    a column saying how many identical rows a row stands for. The share is a double rounded
+    once to whole units, half away from zero.
     """
     w = F.coalesce(F.col(weight), F.lit(1))
     n = F.col(copies) if copies else F.lit(1)
-    shared = attach_totals(df, keys, {"_w": F.sum(w * n)})
+    ordering = order_struct(order_by)
+    totals = attach_totals(df, keys, {"_w": F.sum(w * n), "_first": F.min(ordering)})
     share = F.col(amount).cast("double") * w.cast("double") / F.col("_w").cast("double")
-    return shared.withColumn(out, F.round(share, 0)).drop("_w")
+    return totals.withColumns(
+        {out: F.round(share, 0), first_out: ordering.eqNullSafe(F.col("_first"))}
+    ).drop("_w", "_first")
 
 
 def fix_residual(
@@ -35,31 +42,21 @@ def fix_residual(
     keys: Sequence[str],
     amount: str,
     alloc: str,
-    order_by: Sequence[str],
-    rank_keys: Sequence[str] | None = None,
+    first: str = "is_first",
     keep_full: Column | None = None,
     out: str = "fixed",
     copies: str | None = None,
 ) -> DataFrame:
-    """Give the first row of each group what rounding left over, so parts add to the amount.
+    """Give the row flagged ``first`` what rounding left over, so parts add up to the amount.
 
-    The first row under ``order_by`` (ascending, nulls last) within ``rank_keys`` takes
-    ``amount - sum(alloc over keys) + alloc``; rows with ``keep_full`` keep the whole amount.
-    ``order_by`` must tell the rows of a rank group apart. With ``copies`` a row stands for
-    several identical ones and ``out`` is their sum: only one of them takes the residual.
+    It takes ``amount - sum(alloc over keys) + alloc``; rows with ``keep_full`` keep the whole
+    amount. With ``copies`` a row stands for several identical ones and ``out`` is their sum:
+    only one of them takes the residual.
     """
-    rank_keys = list(rank_keys or keys)
     n = F.col(copies) if copies else F.lit(1)
-    part = F.coalesce(F.col(alloc), F.lit(0.0))
-    ordering = order_struct(order_by)
-    if rank_keys == list(keys):
-        ranked = attach_totals(df, keys, {"_sum": F.sum(part * n), "_first": F.min(ordering)})
-    else:
-        ranked = attach_totals(df, rank_keys, {"_first": F.min(ordering)})
-        ranked = attach_totals(ranked, keys, {"_sum": F.sum(part * n)})
-    full = F.col(amount).cast("double")
-    first = full - F.col("_sum") + part * n
-    fixed = F.when(ordering.eqNullSafe(F.col("_first")), first).otherwise(part * n)
+    part, full = F.coalesce(F.col(alloc), F.lit(0.0)), F.col(amount).cast("double")
+    settled = attach_totals(df, keys, {"_sum": F.sum(part * n)})
+    fixed = F.when(F.col(first), full - F.col("_sum") + part * n).otherwise(part * n)
     if keep_full is not None:
         fixed = F.when(keep_full, full * n).otherwise(fixed)
-    return ranked.withColumn(out, F.coalesce(fixed, full * n, F.lit(0.0))).drop("_sum", "_first")
+    return settled.withColumn(out, F.coalesce(fixed, full * n, F.lit(0.0))).drop("_sum")

@@ -252,7 +252,7 @@ def point_rows(
     ).cast("date")
     expiry = F.coalesce("detail_use_end_date", "use_end_date", "mig_use_end_date")
     accum_biz = F.when(
-        F.col("_origin") == CONFIRM_ORDER, origin_biz(F.lit(CONFIRM_ORDER), F.col("biz_code"))
+        F.col("_origin") == CONFIRM_ORDER, origin_biz(F.col("_origin"), F.col("biz_code"))
     ).otherwise(F.col("fa_biz"))
     cate = origin_category(F.col("_origin"))
     is_traced = F.col("fa_id").isNotNull() & (F.col("fa_version") != LEGACY_VERSION)
@@ -308,14 +308,12 @@ def share_points(rows: DataFrame) -> DataFrame:
     Shares are taken within ``share_key``; the rest is settled per detail and point. The two
     keys differ on purpose: detail and point ids share one number space in the first only.
     """
-    shared = allocate(rows, ["share_key"], "amount", "mileage", "dist_amount", copies="copies")
+    shared = allocate(rows, ["share_key"], "amount", "mileage", RANK_ORDER, "dist_amount", copies="copies")
     return fix_residual(
         shared,
         ["detail_id", "point_id"],
         "amount",
         "dist_amount",
-        RANK_ORDER,
-        rank_keys=["share_key"],
         keep_full=F.col("process_type") == ACCUM,
         out="fixed_amount",
         copies="copies",

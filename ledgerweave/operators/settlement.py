@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.functions import as_date, greatest_strict, round0
+from ledgerweave.functions import as_date, greatest_strict, iso_day, month_key, round0
 from ledgerweave.operators.orders import first_match
 
 # --- Fixed values: labels of the settlement kinds and rounds -------------------------
@@ -89,10 +89,6 @@ def settlement_kind(milestone: Milestone) -> Column:
     )
 
 
-def _iso(c: str) -> Column:
-    return F.date_format(F.col(c), "yyyy-MM-dd")
-
-
 def seller_options(
     options: DataFrame, productions: DataFrame, orders: DataFrame, milestone: Milestone, seller_ids: Sequence[int] | None
 ) -> DataFrame:
@@ -167,9 +163,9 @@ def settlement_branch(
             "product_option_id",
             "product_name",
             "option_name",
-            _iso("payment_at").alias("payment_date"),
-            _iso("delivery_complete_date").alias("delivery_complete_date"),
-            _iso("purchase_confirm_date").alias("purchase_confirm_date"),
+            iso_day("payment_at").alias("payment_date"),
+            iso_day("delivery_complete_date").alias("delivery_complete_date"),
+            iso_day("purchase_confirm_date").alias("purchase_confirm_date"),
             "_cost",
             F.when(counted_at, F.col("option_count")).otherwise(0).alias("_qty"),
         )
@@ -218,8 +214,8 @@ def stage_payment_branch(
         F.col("order_production_id").alias("_production"),
         F.col("reference_option_id").alias("product_option_id"),
         F.col("explain").alias("option_name"),
-        _iso("delivery_complete_date").alias("delivery_complete_date"),
-        _iso("purchase_confirm_date").alias("purchase_confirm_date"),
+        iso_day("delivery_complete_date").alias("delivery_complete_date"),
+        iso_day("purchase_confirm_date").alias("purchase_confirm_date"),
     ).join(p, F.col("_production") == F.col("product_id"))
     coupon = (
         amounts.filter(F.col("payment_method_type") == PRODUCT_COUPON)
@@ -242,7 +238,7 @@ def stage_payment_branch(
                 "base_dt": F.col("transaction_at").cast("date").cast("string"),
                 "kind": kind,
                 "order_id": F.col("order_id").cast("string"),
-                "payment_date": _iso("transaction_at"),
+                "payment_date": iso_day("transaction_at"),
             }
         )
         .groupBy(*BRANCH_KEYS)
@@ -290,7 +286,7 @@ def stage_settlement_branch(
             "product_id",
             F.col("option_id").alias("product_option_id"),
             "quantity",
-            F.date_format("settlement_at", "yyyyMM").alias("_settled"),
+            month_key("settlement_at").alias("_settled"),
             (F.dayofmonth("settlement_at") <= ROUND_LAST_DAY).alias("_half"),
         )
         .agg(F.sum("_amount").alias("coupon_total"))

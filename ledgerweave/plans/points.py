@@ -56,7 +56,7 @@ def point_origin_rows(tables: Mapping[str, DataFrame], service_id: str, as_of: d
     )
     # sharing reads the rows once for their totals and once for themselves, at two levels:
     # write the joined rows once instead of running the join chain for each
-    return ops.share_points(materialise(rows))
+    return ops.share_points(materialise(rows, "point-rows"))
 
 
 def point_report(tables: Mapping[str, DataFrame], service_id: str, as_of: dt.date) -> DataFrame:
