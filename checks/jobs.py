@@ -473,18 +473,8 @@ strftime(CASE WHEN day({{0}}) > 14 THEN {{0}} + INTERVAL 1 MONTH ELSE {{0}} END,
 """
 
 
-@register(
-    "purchase_confirm_discounts",
-    oracle(
-        [
-            *HIERARCHY,
-            CART_COUPON,
-            MILEAGE,
-            "dump_settlement_stage.order_sales_l",
-            "dump_settlement_stage.discount_price_detail_l",
-        ],
-        _cost_sql(settle.CONFIRM, CART_COUPON, "purchase_confirm_date")
-        + f""",
+SALES, SALE_DETAILS = "dump_settlement_stage.order_sales_l", "dump_settlement_stage.discount_price_detail_l"
+STAGE_SETTLEMENT_SQL = f"""
 newest AS (SELECT max(base_dt) AS b FROM dump_settlement_stage_order_sales_l),
 staged AS (
     SELECT CAST(s.recognized_at AS DATE) AS day, strftime(s.settlement_at, '%Y%m') AS settled, day(s.settlement_at) <= 14 AS half,
@@ -497,6 +487,22 @@ staged AS (
     WHERE s.base_dt = (SELECT b FROM newest) AND s.recognized_at >= TIMESTAMP '{PERIOD[0]}' AND s.recognized_at < TIMESTAMP '{PERIOD[1]}'
     GROUP BY ALL
 )
+"""
+
+
+@register(
+    "purchase_confirm_discounts",
+    oracle(
+        [
+            *HIERARCHY,
+            CART_COUPON,
+            MILEAGE,
+            "dump_settlement_stage.order_sales_l",
+            "dump_settlement_stage.discount_price_detail_l",
+        ],
+        _cost_sql(settle.CONFIRM, CART_COUPON, "purchase_confirm_date")
+        + f""",
+{STAGE_SETTLEMENT_SQL}
 SELECT {ROUND_SQL.format('day')}, CAST(day AS VARCHAR) AS base_dt, kind, order_id, order_option_id,
        product_name, option_name, product_id, product_option_id, CAST(sum(qty) AS BIGINT) AS quantity,
        CAST(round(sum(points)) AS BIGINT) AS point_total, CAST(round(sum(coupon)) AS BIGINT) AS coupon_total

@@ -26,8 +26,11 @@ from checks.jobs import (
     REMODEL,
     REMODEL_FLAT_SQL,
     ROUND_SQL,
+    SALE_DETAILS,
+    SALES,
     SELLERS,
     STAGE,
+    STAGE_SETTLEMENT_SQL,
     TYPES,
     _cost_sql,
     _stage_sql,
@@ -628,12 +631,28 @@ def stage_payment_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "stage_settlement_branch",
+    oracle(
+        [SALES, SALE_DETAILS],
+        STAGE_SETTLEMENT_SQL
+        + """
+SELECT CAST(day AS VARCHAR) AS base_dt, kind, order_id, order_option_id, product_name, option_name, product_id, product_option_id,
+       qty AS quantity, CAST(coupon AS DOUBLE) AS coupon_total FROM staged
+""",
+    ),
+)
+def stage_settlement_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Derived(spark, sf_dir)
+    return settlement.stage_settlement_branch(t[SALES], t[SALE_DETAILS], None, *PERIOD)
+
+
+@register(
+    "latest_snapshot",
     """
     SELECT CAST(CAST(l.l_shipdate AS DATE) AS VARCHAR) AS ship_day, p_brand, sum(CAST(l_quantity AS BIGINT))::BIGINT AS quantity
     FROM lineitem l JOIN part ON p_partkey = l_partkey WHERE l_shipdate = (SELECT max(l_shipdate) FROM lineitem) GROUP BY ALL
     """,
 )
-def stage_settlement_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the newest ship date only, joined to their parts."""
     li = settlement.latest_snapshot(base_table(spark, sf_dir, "lineitem"), "l_shipdate")
     part = base_table(spark, sf_dir, "part").select("p_partkey", "p_brand")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions import as_date, local_from_epoch_ms, month_key
 from ledgerweave.operators.intervals import attribute_interval
+from ledgerweave.operators.weeks import week_of_day
 
 CLICK = "CLICK"
 
@@ -60,7 +61,7 @@ def ad_revenue(clicks: DataFrame, calendar: DataFrame, first_day: dt.date) -> Da
             F.sum(F.when(~paid, F.col("cost_cpc")).otherwise(0)).alias("free_cpc"),
         )
     )
-    week = calendar.select("date", "first_of_week")
+    week = week_of_day(calendar, "date")
     return (
         daily.join(week, "date")
         .groupBy(month_key("date").alias("yyyymm"), "first_of_week")

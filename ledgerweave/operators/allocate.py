@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.operators.totals import attach_totals, order_struct
+from ledgerweave.operators.totals import HOT_ROWS, attach_totals
 
 
 def allocate(
@@ -19,6 +19,7 @@ def allocate(
     out: str = "allocated",
     first_out: str = "is_first",
     copies: str | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``round(amount * weight / sum(weight) of the key)``, a null weight counted as 1.
 
@@ -29,12 +30,9 @@ def allocate(
     """
     w = F.coalesce(F.col(weight), F.lit(1))
     n = F.col(copies) if copies else F.lit(1)
-    ordering = order_struct(order_by)
-    totals = attach_totals(df, keys, {"_w": F.sum(w * n), "_first": F.min(ordering)})
+    totals = attach_totals(df, keys, {"_w": w * n}, (first_out, order_by), hot_rows)
     share = F.col(amount).cast("double") * w.cast("double") / F.col("_w").cast("double")
-    return totals.withColumns(
-        {out: F.round(share, 0), first_out: ordering.eqNullSafe(F.col("_first"))}
-    ).drop("_w", "_first")
+    return totals.withColumn(out, F.round(share, 0)).drop("_w")
 
 
 def fix_residual(
@@ -46,6 +44,7 @@ def fix_residual(
     keep_full: Column | None = None,
     out: str = "fixed",
     copies: str | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Give the row flagged ``first`` what rounding left over, so parts add up to the amount.
 
@@ -55,7 +54,7 @@ def fix_residual(
     """
     n = F.col(copies) if copies else F.lit(1)
     part, full = F.coalesce(F.col(alloc), F.lit(0.0)), F.col(amount).cast("double")
-    settled = attach_totals(df, keys, {"_sum": F.sum(part * n)})
+    settled = attach_totals(df, keys, {"_sum": part * n}, hot_rows=hot_rows)
     fixed = F.when(F.col(first), full - F.col("_sum") + part * n).otherwise(part * n)
     if keep_full is not None:
         fixed = F.when(keep_full, full * n).otherwise(fixed)

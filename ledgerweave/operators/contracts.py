@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions import as_date, iso_utc_to_local_date, month_key
 from ledgerweave.operators.lookup import has_related
+from ledgerweave.operators.weeks import week_of_day
 
 # --- Fixed values: channel and scale labels, codes, excluded test names -----------------
 LISTING = "리스팅"
@@ -48,7 +49,7 @@ def net_sales(df: DataFrame, calendar: DataFrame) -> DataFrame:
             F.sum(sign * F.coalesce("free_cash_amount", F.lit(0))).alias("free"),
         )
     )
-    week = calendar.select(F.col("date").alias("_date"), "first_of_week")
+    week = week_of_day(calendar)
     return (
         daily.join(week, F.col("_day") == F.col("_date"), "left")
         .groupBy(month_key("_day").alias("yyyymm"), "first_of_week")
@@ -175,7 +176,7 @@ def recognise_contracts(
 
 def gmv_summary(df: DataFrame, calendar: DataFrame) -> DataFrame:
     """Original, adjusted and total amounts and counts by month, week, scale and type."""
-    week = calendar.select(F.col("date").alias("_date"), "first_of_week")
+    week = week_of_day(calendar)
     return (
         df.join(week, F.col("base_date") == F.col("_date"), "left")
         .groupBy(month_key("base_date").alias("yyyymm"), "first_of_week", "scale", "type")

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.operators.lookup import missing_flag
-
 
 def control_total(df: DataFrame, keys: Sequence[str], amount: str, out: str = "amt") -> DataFrame:
     """The total a report over the same ledger has to reproduce."""
@@ -68,6 +66,10 @@ def reconcile_with_flag(
     dim_key: str,
     flag: str,
 ) -> DataFrame:
-    """``reconcile`` plus a flag for keys gone from the dimension; only differing keys are looked up."""
+    """``reconcile`` plus a flag for keys gone from the dimension.
+
+    Only differing keys are looked up, each once, so no key can be hot in the join.
+    """
     diff = reconcile(ledger, balances, key, ledger_amount, balance_amount, ledger_id)
-    return missing_flag(diff, dim, key, dim_key, flag)
+    known = dim.select(F.col(dim_key).alias("_dim")).filter(F.col("_dim").isNotNull()).distinct()
+    return diff.join(known, F.col(key) == F.col("_dim"), "left").withColumn(flag, F.col("_dim").isNull()).drop("_dim")

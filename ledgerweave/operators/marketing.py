@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerweave.operators.weeks import week_of_day
+
 
 def provisional_fixed(daily: DataFrame, monthly: DataFrame, month: str = "base_m") -> tuple[DataFrame, DataFrame]:
     """Daily rows of months later than the last fixed one, and the fixed rows themselves.
@@ -22,7 +24,7 @@ def marketing_measures(
 ) -> DataFrame:
     """The three sources by month and week, stacked with the measures each one lacks at zero."""
     zero = F.lit(0).cast("decimal(18,2)")
-    week = calendar.select(F.col("date").alias("_day"), "first_of_week")
+    week = week_of_day(calendar, "_day")
 
     def by_day(df: DataFrame, measure: str) -> DataFrame:
         daily = df.groupBy("base_m", F.col("base_dt").cast("date").alias("_date")).agg(F.sum("cost").alias("_cost"))

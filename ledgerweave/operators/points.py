@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerweave.functions import as_date, ex_vat, full_months_between, month_key, round0, spread_null_key
 from ledgerweave.operators.allocate import allocate, fix_residual
 from ledgerweave.operators.dedupe import fold_copies
+from ledgerweave.operators.weeks import week_of_day
 
 # --- Fixed values: codes of the point ledger -------------------------------------------
 ACCUM = "ACCUM"
@@ -468,7 +469,7 @@ def point_measures(rows: DataFrame, calendar: DataFrame) -> DataFrame:
         sums[f"{prefix}taxed"] = F.sum(F.when(cond & ~c("exempt"), c("amount")).otherwise(0))
         sums[f"{prefix}exempt"] = F.sum(F.when(cond & c("exempt"), c("amount")).otherwise(0))
     daily = rows.groupBy("tran_dt", "department").agg(*[v.alias(k) for k, v in sums.items()])
-    week = calendar.select(F.col("date").alias("_date"), "first_of_week")
+    week = week_of_day(calendar)
     out = {}
     for prefix in cases:
         taxed, exempt = F.sum(f"{prefix}taxed"), F.sum(f"{prefix}exempt")

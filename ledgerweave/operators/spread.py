@@ -27,7 +27,7 @@ def spread_monthly(
     )
     months = df.groupBy(month, *keys).agg(F.sum(F.col(value)).alias("_value"))
     length = F.dayofmonth(F.last_day(month_start(month)))
-    return months.join(weeks, F.col(month) == F.col("_month")).select(
+    return months.join(F.broadcast(weeks), F.col(month) == F.col("_month")).select(
         month,
         "first_of_week",
         *keys,
@@ -46,9 +46,9 @@ def spread_elapsed(
     """
     days = calendar.filter(F.col("date") < as_date(as_of)).select("date", "first_of_week", "first_of_month", "year_month")
     joined = df.select(F.substring(F.col(month), 1, 6).alias("_month"), F.col(value).cast("int").alias("_value")).join(
-        days, F.col("_month") == F.col("year_month")
+        F.broadcast(days), F.col("_month") == F.col("year_month")
     )
-    counted = attach_totals(joined, ["year_month"], {"days": F.count("date")})
+    counted = attach_totals(joined, ["year_month"], {"days": F.lit(1)})
     return counted.select(
         F.col("first_of_month").cast("string").alias("base_m"),
         "first_of_week",

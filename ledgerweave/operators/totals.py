@@ -1,8 +1,12 @@
-"""Group totals put back on every row without a window.
+"""Work per key that stays safe when one key owns a large share of the rows.
 
-``sum() over (partition by key)`` moves a whole key into one task. Aggregating first
-(partial sums leave each task before the shuffle) and joining the one-row-per-key result
-back lets adaptive execution split a hot key over many tasks.
+A window or a join against an aggregate moves all rows of a key into one task, and adaptive
+execution cannot split a join side that is an aggregate. So keys with more than ``hot_rows``
+rows are found first with a count (partial counts leave each task, never rows) and take
+another way: their aggregates or dimension rows are broadcast to where the rows are. There
+are at most ``rows / hot_rows`` such keys, which bounds the broadcast. All other keys are
+small enough for one task. Without hot keys the branch is empty and adaptive execution
+removes it before it runs.
 """
 
 from __future__ import annotations
@@ -10,18 +14,28 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+HOT_ROWS = 2_000_000
 
-def attach_totals(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
-    """Add the aggregates of each key group to all its rows; null keys form a group too."""
-    key_names = [f"_k{i}" for i in range(len(keys))]
-    totals = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, key_names)]).agg(
-        *[expr.alias(name) for name, expr in aggs.items()]
-    )
-    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, key_names)])
-    return df.join(totals, cond, "inner").drop(*key_names)
+
+def _same_keys(keys: Sequence[str], names: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int, prefix: str = "_hot") -> DataFrame:
+    """Keys with more than ``hot_rows`` rows, as columns ``_hot0``, ``_hot1``, ..."""
+    names = [f"{prefix}{i}" for i in range(len(keys))]
+    counts = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.count(F.lit(1)).alias("_rows"))
+    return counts.filter(F.col("_rows") > hot_rows).drop("_rows")
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the ordinary keys and rows of the hot ones, neither shuffled."""
+    hot = F.broadcast(hot_keys(df, keys, hot_rows))
+    cond = _same_keys(keys, hot.columns)
+    return df.join(hot, cond, "left_anti"), df.join(hot, cond, "left_semi")
 
 
 def order_struct(columns: Sequence[str]) -> Column:
@@ -30,3 +44,48 @@ def order_struct(columns: Sequence[str]) -> Column:
     for i, c in enumerate(columns):
         parts += [F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}")]
     return F.struct(*parts)
+
+
+def attach_totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    sums: Mapping[str, Column],
+    first: tuple[str, Sequence[str]] | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Add sums of each key group to all its rows; null keys form a group too.
+
+    ``first`` names a boolean column and an order that tells the rows of a key apart: the
+    column marks the first row under it (ascending, nulls last). Ordinary keys use a window;
+    hot keys are aggregated and their one row per key is broadcast back.
+    """
+    ordinary, hot = split_hot(df, keys, hot_rows)
+    w = Window.partitionBy(*keys)
+    windowed = {name: F.sum(c).over(w) for name, c in sums.items()}
+    if first is not None:
+        by_order = w.orderBy(*[F.col(c).asc_nulls_last() for c in first[1]])
+        windowed[first[0]] = F.row_number().over(by_order) == 1
+    aggs = [F.sum(c).alias(name) for name, c in sums.items()]
+    if first is not None:
+        aggs.append(F.min(order_struct(first[1])).alias("_min"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    per_key = hot.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(*aggs)
+    joined = hot.join(F.broadcast(per_key), _same_keys(keys, names)).drop(*names)
+    if first is not None:
+        joined = joined.withColumn(first[0], order_struct(first[1]).eqNullSafe(F.col("_min"))).drop("_min")
+    return ordinary.withColumns(windowed).unionByName(joined)
+
+
+def join_unique(
+    df: DataFrame, dim: DataFrame, key: str, dim_key: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Left join to a dimension that has one row per key, safe for hot keys of ``df``.
+
+    The dimension rows of the hot keys, no more than there are hot keys, are broadcast to
+    the rows; the rest joins as usual.
+    """
+    ordinary, hot = split_hot(df, [key], hot_rows)
+    wanted = F.broadcast(hot_keys(df, [key], hot_rows, prefix="_want"))
+    hot_dim = dim.join(wanted, F.col(dim_key) == F.col("_want0"), "left_semi")
+    cond = F.col(key) == F.col(dim_key)
+    return ordinary.join(dim, cond, "left").unionByName(hot.join(F.broadcast(hot_dim), cond, "left"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -34,6 +33,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # a report compiles a few hundred stages; the default of 100 makes every run compile anew
+        .config("spark.sql.codegen.cache.maxEntries", "5000")
         .config("spark.sql.session.timeZone", "UTC")
     )
     spark = builder.getOrCreate()
@@ -41,28 +42,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return tune(spark)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoints at the folder the cluster names in ``spark.checkpoint.dir``.
+def scratch_root(spark: SparkSession) -> str:
+    """Folder for tables written between the stages of a job.
 
-    Only a local-mode session with nothing configured gets a folder of its own: a
-    machine-local path would be lost with its executor on a cluster, so there it is an error.
+    It is the shared folder the cluster names in ``spark.checkpoint.dir``. Only a local-mode
+    session with nothing configured gets a folder of its own: a machine-local path would be
+    lost with its executor on a cluster, so there it is an error.
     """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        sc.setCheckpointDir(shared)
-        return
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerweave-", dir=os.environ.get("TMPDIR")))
+        return shared.rstrip("/")
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerweave-"))
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the checkpoint folder, readable by every executor."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    """A new folder under the scratch root, readable by every executor."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from decimal import ROUND_HALF_UP, Decimal
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -67,10 +68,30 @@ def test_against_brute_force(spark, pairs):
         assert sum(got[i] for i, _ in group) == amount
 
 
-def test_totals_reach_every_row_of_a_hot_key(spark):
-    df = spark.range(0, 9000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.lit(1).alias("v"))
-    out = totals.attach_totals(df, ["k"], {"n": F.sum("v")})
-    assert out.count() == 9000
-    assert out.filter("k = 0").select("n").distinct().collect()[0].n == 3000
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan
+def test_hot_keys_give_the_same_shares(frame):
+    data = [(1, Decimal(100), w, i) for i, w in enumerate([3, 1, None, 2, 5])]
+    data += [(2, Decimal(7), 1, 10), (2, Decimal(7), 1, 11), (None, Decimal(9), 2, 12), (None, Decimal(9), 1, 13), (None, Decimal(9), 1, 14)]
+    df = frame(data, SCHEMA)
+
+    def fixed(hot_rows):
+        out = allocate.allocate(df, ["k"], "amount", "weight", ["id"], hot_rows=hot_rows)
+        return rows(allocate.fix_residual(out, ["k"], "amount", "allocated", hot_rows=hot_rows), "id", "fixed")
+
+    got = fixed(2)
+    assert got == fixed(totals.HOT_ROWS)
+    assert sum(v for i, v in got if i < 5) == 100 and sum(v for i, v in got if i >= 12) == 9
+
+
+def test_hot_and_ordinary_rows_meet_again(spark):
+    df = spark.range(0, 9000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    out = totals.attach_totals(df, ["k"], {"n": F.lit(1)}, ("is_first", ["id"]), hot_rows=1000)
+    assert out.count() == 9000 and out.filter("is_first").count() == 6001
+    assert out.filter("k = 0").agg(F.min("n"), F.max("n"), F.min(F.when(F.col("is_first"), F.col("id")))).collect()[0] == (3000, 3000, 0)
+
+
+def test_join_unique_with_hot_and_missing_keys(spark):
+    df = spark.range(0, 900).select(F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3 == 1, F.col("id")).alias("k"))
+    dim = spark.createDataFrame([(0, "zero"), (1, "one"), (5000, "none")], "d bigint, name string")
+    for hot_rows in (totals.HOT_ROWS, 100):
+        got = totals.join_unique(df, dim, "k", "d", hot_rows).groupBy("name").count().collect()
+        assert {r.name: r["count"] for r in got} == {"zero": 300, "one": 1, None: 599}
