@@ -61,6 +61,7 @@ from ledgerweave.operators import (
     pnl,
     settlement,
     spread,
+    totals,
     validate,
 )
 from ledgerweave.sources.calendar import calendar
@@ -348,8 +349,10 @@ def allocate_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.sum(F.col("l_extendedprice").cast(MONEY)).alias("price"))
     )
     joined = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
-    shared = allocate.allocate(joined, ["o_orderkey"], "total", "price", ["l_linenumber"])
-    fixed = allocate.fix_residual(shared, ["o_orderkey"], "total", "allocated")
+    key = ["o_orderkey"]
+    hot = totals.hot_keys(joined, key, totals.HOT_ROWS)
+    shared = allocate.allocate(joined, key, "total", "price", ["l_linenumber"], hot=hot)
+    fixed = allocate.fix_residual(shared, key, "total", "allocated", hot=hot)
     return fixed.select("o_orderkey", "l_linenumber", "allocated", "fixed")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerweave.functions import as_date, ex_vat, full_months_between, month_key, round0, spread_null_key
 from ledgerweave.operators.allocate import allocate, fix_residual
 from ledgerweave.operators.dedupe import fold_copies
+from ledgerweave.operators.totals import HOT_ROWS, hot_keys
 from ledgerweave.operators.weeks import week_of_day
 
 # --- Fixed values: codes of the point ledger -------------------------------------------
@@ -303,13 +304,16 @@ RANK_ORDER = [
 ]
 
 
-def share_points(rows: DataFrame) -> DataFrame:
+def share_points(rows: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Share each amount over its origins by weight; the first origin takes the rounding rest.
 
     Shares are taken within ``share_key``; the rest is settled per detail and point. The two
-    keys differ on purpose: detail and point ids share one number space in the first only.
+    keys differ on purpose: detail and point ids share one number space in the first only, so
+    a share key holds at most two groups of the second, and one count of hot keys serves both.
     """
-    shared = allocate(rows, ["share_key"], "amount", "mileage", RANK_ORDER, "dist_amount", copies="copies")
+    key = ["share_key"]
+    hot = hot_keys(rows, key, hot_rows)
+    shared = allocate(rows, key, "amount", "mileage", RANK_ORDER, "dist_amount", copies="copies", hot=hot)
     return fix_residual(
         shared,
         ["detail_id", "point_id"],
@@ -318,6 +322,8 @@ def share_points(rows: DataFrame) -> DataFrame:
         keep_full=F.col("process_type") == ACCUM,
         out="fixed_amount",
         copies="copies",
+        hot=hot,
+        split_by=key,
     )
 
 

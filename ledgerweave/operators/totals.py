@@ -31,9 +31,14 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int, prefix: str = "_
     return counts.filter(F.col("_rows") > hot_rows).drop("_rows")
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of the ordinary keys and rows of the hot ones, neither shuffled."""
-    hot = F.broadcast(hot_keys(df, keys, hot_rows))
+def split_hot(
+    df: DataFrame, keys: Sequence[str], hot_rows: int, hot: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of the ordinary keys and rows of the hot ones, neither shuffled.
+
+    ``hot`` passes the hot keys when they were counted before.
+    """
+    hot = F.broadcast(hot if hot is not None else hot_keys(df, keys, hot_rows))
     cond = _same_keys(keys, hot.columns)
     return df.join(hot, cond, "left_anti"), df.join(hot, cond, "left_semi")
 
@@ -52,14 +57,20 @@ def attach_totals(
     sums: Mapping[str, Column],
     first: tuple[str, Sequence[str]] | None = None,
     hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
+    split_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add sums of each key group to all its rows; null keys form a group too.
 
     ``first`` names a boolean column and an order that tells the rows of a key apart: the
     column marks the first row under it (ascending, nulls last). Ordinary keys use a window;
     hot keys are aggregated and their one row per key is broadcast back.
+
+    ``split_by`` names coarser keys that tell hot rows from ordinary ones and ``hot`` their hot
+    values, so that a chain of steps counts only once. Each of them must hold no more than a
+    few groups of ``keys``, or the broadcast would lose its bound.
     """
-    ordinary, hot = split_hot(df, keys, hot_rows)
+    ordinary, hot_part = split_hot(df, split_by or keys, hot_rows, hot)
     w = Window.partitionBy(*keys)
     windowed = {name: F.sum(c).over(w) for name, c in sums.items()}
     if first is not None:
@@ -69,8 +80,8 @@ def attach_totals(
     if first is not None:
         aggs.append(F.min(order_struct(first[1])).alias("_min"))
     names = [f"_k{i}" for i in range(len(keys))]
-    per_key = hot.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(*aggs)
-    joined = hot.join(F.broadcast(per_key), _same_keys(keys, names)).drop(*names)
+    per_key = hot_part.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(*aggs)
+    joined = hot_part.join(F.broadcast(per_key), _same_keys(keys, names)).drop(*names)
     if first is not None:
         joined = joined.withColumn(first[0], order_struct(first[1]).eqNullSafe(F.col("_min"))).drop("_min")
     return ordinary.withColumns(windowed).unionByName(joined)

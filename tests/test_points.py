@@ -122,6 +122,15 @@ def test_origins_of_traced_and_legacy_points(spark):
     ]
 
 
+def test_hot_share_keys_give_the_same_amounts(spark, sf_dir):
+    from ledgerweave.operators.points import share_points
+
+    shared = plans.points.point_origin_rows(Derived(spark, sf_dir), SERVICE, AS_OF)
+    base = shared.drop("dist_amount", "is_first", "fixed_amount")
+    keys = ["point_id", "detail_id", "legacy_accum_id", "mileage", "fixed_amount"]
+    assert rows(share_points(base, hot_rows=1), *keys) == rows(shared, *keys)
+
+
 def test_report_equals_control_total_without_fan_out(spark):
     tables = small_tables(spark)
     total = sum(r.amt for r in plans.point_control_total(tables, "S").collect())
