@@ -66,18 +66,21 @@ CATEGORY = (
 )
 SNAPSHOT_DAY = "CASE WHEN o_orderstatus = 'P' THEN '2022-11-30' ELSE '2022-12-01' END"
 
+# numbers instead of texts under min and max: Spark then aggregates by hash and not by sort
+FLAG = "CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END"
+LINE = "CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END"
 _OPTIONS_SQL = f"""
 SELECT {OPTION} AS id,
        {PRODUCTION} AS order_production_id,
        min(l_partkey) AS reference_option_id,
-       concat('option ', min(l_returnflag)) AS explain,
+       concat('option ', CASE min({FLAG}) WHEN 1 THEN 'A' WHEN 2 THEN 'N' ELSE 'R' END) AS explain,
        CAST(sum(l_quantity) AS BIGINT) AS count,
        CASE WHEN max(l_tax) < 0.005 THEN {dec('0')} ELSE CAST(sum({EXT}) AS DECIMAL(18,2)) END AS selling_cost,
-       CAST(CASE WHEN min(l_returnflag) = 'R' AND max(l_linestatus) = 'F' THEN 9
-            WHEN min(l_returnflag) = 'R' THEN 6
-            WHEN min(l_returnflag) = 'A' AND max(l_linestatus) = 'F' THEN 5
-            WHEN min(l_returnflag) = 'A' THEN 4
-            WHEN max(l_linestatus) = 'F' THEN 1
+       CAST(CASE WHEN min({FLAG}) = 3 AND max({LINE}) = 0 THEN 9
+            WHEN min({FLAG}) = 3 THEN 6
+            WHEN min({FLAG}) = 1 AND max({LINE}) = 0 THEN 5
+            WHEN min({FLAG}) = 1 THEN 4
+            WHEN max({LINE}) = 0 THEN 1
             WHEN max(l_quantity) > 40 THEN 7
             WHEN max(l_quantity) > 30 THEN 2
             WHEN max(l_quantity) > 25 THEN 3 ELSE NULL END AS INT) AS status,
@@ -256,7 +259,7 @@ FROM {{orders}}
 """,
     "dump_point.point_details": f"""
 SELECT {OPTION} AS id, l_orderkey AS point_id,
-       CASE min(l_returnflag) WHEN 'A' THEN {OPTION} WHEN 'N' THEN min(l_partkey) * 8 + l_linenumber ELSE NULL END AS detail_first_accum_id,
+       CASE min({FLAG}) WHEN 1 THEN {OPTION} WHEN 2 THEN min(l_partkey) * 8 + l_linenumber ELSE NULL END AS detail_first_accum_id,
        CASE WHEN max(l_quantity) > 40 THEN NULL ELSE CAST(max({SD}) AS DATE) + CAST(max(l_quantity) AS INT) END AS use_end_date,
        CAST(sum({EXT}) AS DECIMAL(18,2)) AS amount
 FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber
