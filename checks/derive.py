@@ -504,6 +504,7 @@ class Derived(Mapping[str, DataFrame]):
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
         self._open: dict[str, DataFrame] = {}
+        self._base: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._open:
@@ -514,12 +515,18 @@ class Derived(Mapping[str, DataFrame]):
         if name == CALENDAR:
             return calendar(self.spark, CALENDAR_FIRST, CALENDAR_LAST)
         sql = _dialect(TABLES.get(name) or FLAT[name], "spark")
-        args = {t: base_table(self.spark, self.sf_dir, t) for t in BASE if "{" + t + "}" in sql}
+        args = {t: self._base_table(t) for t in BASE if "{" + t + "}" in sql}
         flat = self.spark.sql(sql, **args)
         if name not in FLAT:
             return flat
         return flat.select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in nested_columns(name).items()])
 
+    def _base_table(self, name: str) -> DataFrame:
+        """Each file is opened once: a read looks up its schema in a job of its own."""
+        if name not in self._base:
+            self._base[name] = base_table(self.spark, self.sf_dir, name)
+        return self._base[name]
+
     def __iter__(self):
         return iter([*TABLES, *FLAT, CALENDAR])
 
