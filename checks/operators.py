@@ -149,7 +149,6 @@ def attribute_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = base_table(spark, sf_dir, "events").drop("props")
     newest = [F.col("ts").desc_nulls_last(), F.col("event_id").desc_nulls_last()]
-    # six digits as DuckDB prints them
     return dedupe.latest_per_key(ev, ["user_id", "event_type"], newest)
 
 
