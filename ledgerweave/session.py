@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,9 @@ RUNTIME_CONF = {
     "spark.sql.ansi.enabled": "true",
 }
 
+# Only for sessions on one machine that name no shared folder, such as tests.
+LOCAL_SCRATCH = "/tmp/checkpoints"
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session that already exists."""
@@ -36,6 +38,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         # a report compiles a few hundred stages; the default of 100 makes every run compile anew
         .config("spark.sql.codegen.cache.maxEntries", "5000")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", LOCAL_SCRATCH)
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -45,19 +48,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def scratch_root(spark: SparkSession) -> str:
     """Folder for tables written between the stages of a job.
 
-    It is the shared folder the cluster names in ``spark.checkpoint.dir``. Only a local-mode
-    session with nothing configured gets a folder of its own: a machine-local path would be
-    lost with its executor on a cluster, so there it is an error.
+    It is the shared folder the cluster names in ``spark.checkpoint.dir``. Without that setting
+    a local master uses ``LOCAL_SCRATCH``; anywhere else a machine-local path would be lost
+    with its executor, so there it is an error.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
         return shared.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerweave-"))
-    return sc.getCheckpointDir()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    return LOCAL_SCRATCH
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -65,11 +65,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` once as a parquet table in the shared folder and read it back.
+class Stages:
+    """Tables written once between the steps of a job, in the shared folder.
 
-    Cuts the lineage like a checkpoint, and later readers scan only the columns they use.
+    Writing cuts the lineage like a checkpoint, and later readers scan only the columns they
+    use. ``drop`` removes tables that no later step reads; what a returned DataFrame still
+    reads stays until the retention of the shared folder removes it.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.made = spark, scratch_path(spark, name), 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.made += 1
+        path = f"{self.root}/{self.made:03d}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.stage_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(table.stage_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as a parquet table in the shared folder and read it back."""
+    return Stages(df.sparkSession, name).write(df, name)
