@@ -6,7 +6,7 @@ import sys
 from collections.abc import Callable
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # functions of this subpackage travel to the workers whole, so these need not have it installed
@@ -54,3 +54,22 @@ def fold(doc_id: Column, modulus: int) -> Column:
 def batches_of(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of so many rows, so that long texts do not fill a Python worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def sample_rows(ids: DataFrame, docs: DataFrame, label: str, per_label: int, max_bytes: int) -> DataFrame:
+    """At most ``per_label`` labelled texts of each label, the same ones on every run.
+
+    ``ids`` has doc_id and the label column, ``docs`` doc_id and text. Rows are taken in the order of
+    a hash of the id among texts of up to ``max_bytes``, so the sample has at most labels x
+    per_label x max_bytes bytes; each task keeps only its first rows before they move.
+    """
+    short = docs.filter(F.octet_length("text") <= max_bytes).select("doc_id", "text")
+    first = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = (
+        ids.filter(F.col(label).isNotNull())
+        .select("doc_id", label)
+        .withColumn("_n", F.row_number().over(first))
+        .filter(F.col("_n") <= per_label)
+        .drop("_n")
+    )
+    return short.join(F.broadcast(picked), "doc_id")  # bounded by labels x per_label
