@@ -1,6 +1,6 @@
 """All queries of the subpackage and their oracles; importing it registers them."""
 
-from ledgerweave.llm import chat, contamination, langid, licenses, lm, mixing, tokens, toxicity  # noqa: F401
+from ledgerweave.llm import chat, contamination, langid, licenses, lm, mixing, tokens, toxicity, vectors  # noqa: F401
 from ledgerweave.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
