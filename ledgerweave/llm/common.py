@@ -9,6 +9,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerweave.session import tune
+
 # functions of this subpackage travel to the workers whole, so these need not have it installed
 cloudpickle.register_pickle_by_value(sys.modules["ledgerweave.llm"])
 
@@ -24,7 +26,11 @@ def query(name: str, oracle: str | None = None) -> Callable:
     """Register a query of (spark, sf_dir), with its SQL oracle where SQL can express it."""
 
     def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(tune(spark), sf_dir)
+
+        run.__name__, run.__doc__ = name, fn.__doc__
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
