@@ -99,8 +99,8 @@ FROM {{lineitem}} GROUP BY {PRODUCTION}
 """
 _LEGACY_SALE_SQL = f"""
        l_partkey AS product_id, {EXT} AS selling_cost, {SUPPLY} AS supply_cost, l_linenumber AS delivery_pay_at,
-       {dec('l_quantity * 100')} AS delivery_fee, {dec('l_quantity * 7')} AS assemble_fee,
-       l_linestatus = 'O' AS is_backwoods, {dec('l_quantity * 3')} AS delivery_backwoods,
+       {dec('l_quantity * 100')} AS delivery_fee, CASE WHEN l_linenumber = 2 THEN NULL ELSE {dec('l_quantity * 7')} END AS assemble_fee,
+       l_linestatus = 'O' AS is_backwoods, CASE WHEN l_tax < 0.02 THEN NULL ELSE {dec('l_quantity * 3')} END AS delivery_backwoods,
        CAST(l_quantity AS BIGINT) AS quantity, {PRODUCTION} AS order_product_id,
 """
 
