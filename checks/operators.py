@@ -349,9 +349,8 @@ def allocate_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     joined = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
     key = ["o_orderkey"]
-    hot = totals.hot_keys(joined, key, totals.HOT_ROWS)
-    shared = allocate.allocate(joined, key, "total", "price", ["l_linenumber"], hot=hot)
-    fixed = allocate.fix_residual(shared, key, "total", "allocated", hot=hot)
+    shared = allocate.allocate(joined, key, "total", "price", ["l_linenumber"])
+    fixed = allocate.fix_residual(shared, key, "total", "allocated")
     return fixed.select("o_orderkey", "l_linenumber", "allocated", "fixed")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.operators.totals import HOT_ROWS, attach_totals
+from ledgerweave.operators.totals import attach_totals
 
 
 def allocate(
@@ -19,19 +19,17 @@ def allocate(
     out: str = "allocated",
     first_out: str = "is_first",
     copies: str | None = None,
-    hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
 ) -> DataFrame:
     """``round(amount * weight / sum(weight) of the key)``, a null weight counted as 1.
 
-    Also flags the first row of each key under ``order_by`` (ascending, nulls last), which
-    must tell the rows of a key apart: one pass over the keys serves both. ``copies`` names
-    a column saying how many identical rows a row stands for. The share is a double rounded
-    once to whole units, half away from zero. ``hot`` may pass hot keys counted before.
+    Also flags the first row of each key under ``order_by`` (ascending, nulls last), just one
+    even if rows tie: one pass over the keys serves both. ``copies`` names a column saying how
+    many identical rows a row stands for. The share is a double rounded once to whole units,
+    half away from zero.
     """
     w = F.coalesce(F.col(weight), F.lit(1))
     n = F.col(copies) if copies else F.lit(1)
-    totals = attach_totals(df, keys, {"_w": w * n}, (first_out, order_by), hot_rows, hot)
+    totals = attach_totals(df, keys, {"_w": w * n}, (first_out, order_by))
     share = F.col(amount).cast("double") * w.cast("double") / F.col("_w").cast("double")
     return totals.withColumn(out, F.round(share, 0)).drop("_w")
 
@@ -45,19 +43,16 @@ def fix_residual(
     keep_full: Column | None = None,
     out: str = "fixed",
     copies: str | None = None,
-    hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
-    split_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Give the row flagged ``first`` what rounding left over, so parts add up to the amount.
 
     It takes ``amount - sum(alloc over keys) + alloc``; rows with ``keep_full`` keep the whole
     amount. With ``copies`` a row stands for several identical ones and ``out`` is their sum:
-    only one of them takes the residual. ``hot`` and ``split_by`` are those of ``attach_totals``.
+    only one of them takes the residual.
     """
     n = F.col(copies) if copies else F.lit(1)
     part, full = F.coalesce(F.col(alloc), F.lit(0.0)), F.col(amount).cast("double")
-    settled = attach_totals(df, keys, {"_sum": part * n}, None, hot_rows, hot, split_by)
+    settled = attach_totals(df, keys, {"_sum": part * n})
     fixed = F.when(F.col(first), full - F.col("_sum") + part * n).otherwise(part * n)
     if keep_full is not None:
         fixed = F.when(keep_full, full * n).otherwise(fixed)

@@ -5,11 +5,10 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import as_date, month_start
-from ledgerweave.operators.totals import attach_totals
 
 
 def spread_monthly(
@@ -48,7 +47,8 @@ def spread_elapsed(
     joined = df.select(F.substring(F.col(month), 1, 6).alias("_month"), F.col(value).cast("int").alias("_value")).join(
         F.broadcast(days), F.col("_month") == F.col("year_month")
     )
-    counted = attach_totals(joined, ["year_month"], {"days": F.lit(1)})
+    # as many rows as there are days, times the few inputs of a month
+    counted = joined.withColumn("days", F.count(F.lit(1)).over(Window.partitionBy("year_month")))
     return counted.select(
         F.col("first_of_month").cast("string").alias("base_m"),
         "first_of_week",

@@ -1,46 +1,23 @@
 """Work per key that stays safe when one key owns a large share of the rows.
 
-A window or a join against an aggregate moves all rows of a key into one task, and adaptive
-execution cannot split a join side that is an aggregate. So keys with more than ``hot_rows``
-rows are found first with a count (partial counts leave each task, never rows) and take
-another way: their aggregates or dimension rows are broadcast to where the rows are. There
-are at most ``rows / hot_rows`` such keys, which bounds the broadcast. All other keys are
-small enough for one task. Without hot keys the branch is empty and adaptive execution
-removes it before it runs.
+A window moves all rows of a key into one task. Here a key's totals are an aggregate with partial
+sums (one small row per key and task moves), and the aggregate is joined back to the rows. Both
+sides of that join are plain shuffles on a packed key, which the aggregate's own partitioning does
+not satisfy, so adaptive execution can split the row side of a hot key. Every key takes this
+way whatever its size, so results do not depend on any threshold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000
 
-
-def _same_keys(keys: Sequence[str], names: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int, prefix: str = "_hot") -> DataFrame:
-    """Keys with more than ``hot_rows`` rows, as columns ``_hot0``, ``_hot1``, ..."""
-    names = [f"{prefix}{i}" for i in range(len(keys))]
-    counts = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.filter(F.col("_rows") > hot_rows).drop("_rows")
-
-
-def split_hot(
-    df: DataFrame, keys: Sequence[str], hot_rows: int, hot: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Rows of the ordinary keys and rows of the hot ones, neither shuffled.
-
-    ``hot`` passes the hot keys when they were counted before.
-    """
-    hot = F.broadcast(hot if hot is not None else hot_keys(df, keys, hot_rows))
-    cond = _same_keys(keys, hot.columns)
-    return df.join(hot, cond, "left_anti"), df.join(hot, cond, "left_semi")
+def packed_key(names: Sequence[str]) -> Column:
+    """The keys as one struct: never null, and equal where all keys are equal or both null."""
+    return F.struct(*[F.col(n).alias(f"k{i}") for i, n in enumerate(names)])
 
 
 def order_struct(columns: Sequence[str]) -> Column:
@@ -56,47 +33,44 @@ def attach_totals(
     keys: Sequence[str],
     sums: Mapping[str, Column],
     first: tuple[str, Sequence[str]] | None = None,
-    hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
-    split_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add sums of each key group to all its rows; null keys form a group too.
 
-    ``first`` names a boolean column and an order that tells the rows of a key apart: the
-    column marks the first row under it (ascending, nulls last). Ordinary keys use a window;
-    hot keys are aggregated and their one row per key is broadcast back.
-
-    ``split_by`` names coarser keys that tell hot rows from ordinary ones and ``hot`` their hot
-    values, so that a chain of steps counts only once. Each of them must hold no more than a
-    few groups of ``keys``, or the broadcast would lose its bound.
+    ``first`` names a boolean column and an order: the column marks exactly one row of each key,
+    the first under the order (ascending, nulls last). Rows that tie are told apart by their other
+    columns; rows equal in every column are folded before the totals and unfolded after, so just
+    one of them is marked. The input is read at most twice.
     """
-    ordinary, hot_part = split_hot(df, split_by or keys, hot_rows, hot)
-    w = Window.partitionBy(*keys)
-    windowed = {name: F.sum(c).over(w) for name, c in sums.items()}
+    copies = F.lit(1)
+    rows = df
     if first is not None:
-        by_order = w.orderBy(*[F.col(c).asc_nulls_last() for c in first[1]])
-        windowed[first[0]] = F.row_number().over(by_order) == 1
-    aggs = [F.sum(c).alias(name) for name, c in sums.items()]
+        rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+        copies = F.col("_copies")
+        order = order_struct([*first[1], *[c for c in df.columns if c not in set(first[1])]])
+        rows = rows.withColumn("_order", order)
+    aggs = [F.sum(c * copies).alias(name) for name, c in sums.items()]
     if first is not None:
-        aggs.append(F.min(order_struct(first[1])).alias("_min"))
-    names = [f"_k{i}" for i in range(len(keys))]
-    per_key = hot_part.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(*aggs)
-    joined = hot_part.join(F.broadcast(per_key), _same_keys(keys, names)).drop(*names)
+        aggs.append(F.min("_order").alias("_min"))
+    per_key = rows.groupBy(packed_key(keys).alias("_key")).agg(*aggs)
+    # a field of a struct is not the struct: the aggregate is shuffled again, as a plain join side
+    per_key = per_key.select(F.struct(F.col("_key").alias("key")).alias("_packed"), *sums, *(["_min"] if first else []))
+    joined = rows.withColumn("_own", F.struct(packed_key(keys).alias("key"))).join(
+        per_key, F.col("_own") == F.col("_packed")
+    )
     if first is not None:
-        joined = joined.withColumn(first[0], order_struct(first[1]).eqNullSafe(F.col("_min"))).drop("_min")
-    return ordinary.withColumns(windowed).unionByName(joined)
+        joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).withColumn(
+            first[0], (F.col("_order") == F.col("_min")) & (F.col("_copy") == 1)
+        )
+    marked = [first[0]] if first else []
+    return joined.select(*[c for c in df.columns if c not in {*sums, *marked}], *sums, *marked)
 
 
-def join_unique(
-    df: DataFrame, dim: DataFrame, key: str, dim_key: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def join_unique(df: DataFrame, dim: DataFrame, key: str, dim_key: str) -> DataFrame:
     """Left join to a dimension that has one row per key, safe for hot keys of ``df``.
 
-    The dimension rows of the hot keys, no more than there are hot keys, are broadcast to
-    the rows; the rest joins as usual.
+    The dimension may be an aggregate: the packed key makes it a plain join side, and the rows
+    are read once. A null key matches nothing.
     """
-    ordinary, hot = split_hot(df, [key], hot_rows)
-    wanted = F.broadcast(hot_keys(df, [key], hot_rows, prefix="_want"))
-    hot_dim = dim.join(wanted, F.col(dim_key) == F.col("_want0"), "left_semi")
-    cond = F.col(key) == F.col(dim_key)
-    return ordinary.join(dim, cond, "left").unionByName(hot.join(F.broadcast(hot_dim), cond, "left"))
+    other = dim.filter(F.col(dim_key).isNotNull()).withColumn("_packed", F.struct(F.col(dim_key).alias("key")))
+    own = df.withColumn("_own", F.struct(F.col(key).alias("key")))
+    return own.join(other, F.col("_own") == F.col("_packed"), "left").drop("_own", "_packed")

@@ -68,30 +68,45 @@ def test_against_brute_force(spark, pairs):
         assert sum(got[i] for i, _ in group) == amount
 
 
-def test_hot_keys_give_the_same_shares(frame):
-    data = [(1, Decimal(100), w, i) for i, w in enumerate([3, 1, None, 2, 5])]
-    data += [(2, Decimal(7), 1, 10), (2, Decimal(7), 1, 11), (None, Decimal(9), 2, 12), (None, Decimal(9), 1, 13), (None, Decimal(9), 1, 14)]
-    df = frame(data, SCHEMA)
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(1, 3), st.integers(0, 2)), min_size=1, max_size=30))
+def test_ties_leave_one_first_row_and_exact_totals(spark, picks):
+    """Rows that tie under the order, or are equal altogether, share one first row."""
+    data = [(k, Decimal(100), w, i) for k, w, i in picks]
+    got = shares(spark.createDataFrame(data, SCHEMA)).collect()
+    assert len(got) == len(data)
+    for key in {k for k, *_ in data}:
+        mine = [r for r in got if r.k == key]
+        assert sum(r.fixed for r in mine) == 100 and sum(r.is_first for r in mine) == 1
+        assert min(r.id for r in mine) == next(r.id for r in mine if r.is_first)
 
-    def fixed(hot_rows):
-        out = allocate.allocate(df, ["k"], "amount", "weight", ["id"], hot_rows=hot_rows)
-        return rows(allocate.fix_residual(out, ["k"], "amount", "allocated", hot_rows=hot_rows), "id", "fixed")
 
-    got = fixed(2)
-    assert got == fixed(totals.HOT_ROWS)
-    assert sum(v for i, v in got if i < 5) == 100 and sum(v for i, v in got if i >= 12) == 9
+def test_equal_rows_in_a_large_group(spark):
+    df = spark.range(0, 3000).selectExpr("1L AS k", "CAST(100 AS decimal(18,2)) AS amount", "3L AS weight", "5L AS id")
+    out = shares(df).agg(F.sum("fixed"), F.count_if("is_first"), F.count(F.lit(1))).collect()[0]
+    assert tuple(out) == (100, 1, 3000)
 
 
-def test_hot_and_ordinary_rows_meet_again(spark):
+def test_totals_reach_all_rows_of_large_and_small_keys(spark):
     df = spark.range(0, 9000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
-    out = totals.attach_totals(df, ["k"], {"n": F.lit(1)}, ("is_first", ["id"]), hot_rows=1000)
+    out = totals.attach_totals(df, ["k"], {"n": F.lit(1)}, ("is_first", ["id"]))
     assert out.count() == 9000 and out.filter("is_first").count() == 6001
     assert out.filter("k = 0").agg(F.min("n"), F.max("n"), F.min(F.when(F.col("is_first"), F.col("id")))).collect()[0] == (3000, 3000, 0)
 
 
 def test_join_unique_with_hot_and_missing_keys(spark):
     df = spark.range(0, 900).select(F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3 == 1, F.col("id")).alias("k"))
-    dim = spark.createDataFrame([(0, "zero"), (1, "one"), (5000, "none")], "d bigint, name string")
-    for hot_rows in (totals.HOT_ROWS, 100):
-        got = totals.join_unique(df, dim, "k", "d", hot_rows).groupBy("name").count().collect()
-        assert {r.name: r["count"] for r in got} == {"zero": 300, "one": 1, None: 599}
+    dim = spark.createDataFrame([(0, "zero"), (1, "one"), (5000, "none"), (None, "null")], "d bigint, name string")
+    got = totals.join_unique(df, dim, "k", "d").groupBy("name").count().collect()
+    assert {r.name: r["count"] for r in got} == {"zero": 300, "one": 1, None: 599}
+
+
+def test_related_rows_fold_or_fan_out(frame):
+    from ledgerweave.operators.lookup import has_related
+
+    df = frame([(1,), (2,), (3,)], "k bigint")
+    rel = frame([(1, 7), (1, 7), (1, 9), (2, 9), (2, 5)], "r bigint, v int")
+    flags = {"seven": 7, "nine": 9}
+    assert rows(has_related(df, rel, "k", "r", "v", flags)) == [(1, True, True), (2, False, True), (3, False, False)]
+    fanned = rows(has_related(df, rel, "k", "r", "v", flags, fan_out=True), "k")
+    assert fanned == [(1,), (1,), (2,), (3,)]

@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
+from __spark_entry__ import QUERIES
 from checks.derive import Derived
 from ledgerweave import plans
 from ledgerweave.functions import spread_null_key
@@ -20,9 +20,9 @@ def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_pair_explosion_python_or_single_task_window(spark, sf_dir, name):
-    plan = physical(queries()[name](spark, sf_dir))
+    plan = physical(QUERIES[name](spark, sf_dir))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert bad not in plan, bad
     lines = plan.splitlines()
@@ -33,7 +33,7 @@ def test_no_pair_explosion_python_or_single_task_window(spark, sf_dir, name):
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
-    plan = physical(queries()["paid_orders"](spark, sf_dir))
+    plan = physical(QUERIES["paid_orders"](spark, sf_dir))
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double,o_orderpriority:string>" in plan
     assert "PushedFilters: [IsNotNull(o_orderstatus)" in plan or "Not(EqualTo(o_orderstatus,P))" in plan
 
@@ -57,7 +57,7 @@ def test_settlement_bounds_reach_the_cost_scan(spark, tmp_path):
 
 
 def test_latest_snapshot_filters_by_a_scalar_subquery(spark, sf_dir):
-    plan = physical(queries()["latest_snapshot"](spark, sf_dir))
+    plan = physical(QUERIES["latest_snapshot"](spark, sf_dir))
     assert "EqualTo(l_shipdate,ScalarSubquery" in plan
 
 
@@ -128,13 +128,31 @@ def test_aqe_splits_the_hot_key_of_a_lookup(spark, small_skew_thresholds):
     assert "skew=true" in physical(out) or "isSkew=true" in physical(out)
 
 
-def test_hot_keys_of_a_total_are_not_shuffled(spark, small_skew_thresholds):
-    """The hot key goes by broadcast of its totals; no reducer gets more than an ordinary share."""
-    out = attach_totals(skewed(spark), ["k"], {"n": F.lit(1)}, hot_rows=1000)
-    per_task = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()
-    assert sum(r.c for r in per_task) == N
-    assert max(r.c for r in per_task) <= N / 6 + 1
-    assert out.filter(f"k = {HOT}").select("n").distinct().collect()[0].n == N // 3
+@pytest.mark.parametrize("hot", [False, True])
+def test_totals_read_the_input_at_most_twice_and_split_the_hot_key(spark, tmp_path, small_skew_thresholds, hot):
+    path = str(tmp_path / "rows")
+    key = F.when((F.col("id") % 3 == 0) & F.lit(hot), F.lit(HOT)).otherwise(F.col("id") % 5000 + 100)
+    spark.range(0, N, numPartitions=6).select(key.alias("k"), "id", F.md5(F.col("id").cast("string")).alias("pay")).write.parquet(path)
+    out = attach_totals(spark.read.parquet(path), ["k"], {"n": F.lit(1)})
+    got = out.groupBy("k").agg(F.max("n").alias("n"), F.count("pay").alias("c"))
+    wrong = got.filter("n <> c")
+    assert wrong.count() == 0 and out.count() == N
+    assert physical(out).count("FileScan") <= 2
+    if hot:
+        got.collect()
+        assert "skew=true" in physical(got) or "isSkew=true" in physical(got)
+
+
+def test_early_sales_of_a_hot_option_meet_two_prices_only(spark, small_skew_thresholds):
+    """A third of all sales lie before the floor, next to hundreds of early prices of their option."""
+    day = F.date_format(F.date_add(F.lit(dt.date(2021, 1, 1)), (F.col("id") % 300).cast("int")), "yyyyMMdd")
+    sales = skewed(spark).select(F.col("k").cast("string").alias("o"), day.alias("d"), F.col("id"))
+    prices = spark.range(0, 300).select(F.lit(str(HOT)).alias("po"), day.alias("pd"), F.col("id").alias("price"))
+    prices = prices.unionByName(spark.createDataFrame([(str(HOT), "20220101", -1)], "po string, pd string, price bigint"))
+    found = floor_date_lookup(sales, prices, "o", "d", "po", "pd", "20220101")
+    got = found.groupBy("o", (F.col("price") == -1).alias("floor")).count().filter(f"o = '{HOT}'").collect()
+    assert {r.floor: r["count"] for r in got} == {True: N // 3, False: N // 3}
+    assert found.filter(f"o <> '{HOT}'").count() == N - N // 3
 
 
 def test_clicks_are_summed_before_the_interval_join(spark, sf_dir):
