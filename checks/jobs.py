@@ -22,6 +22,7 @@ from ledgerweave import plans
 from ledgerweave.operators import ads, codemap
 from ledgerweave.operators import orders as order_ops
 from ledgerweave.operators import settlement as settle
+from ledgerweave.sources.catalog import Catalog
 from ledgerweave.session import scratch_path
 
 AD_AS_OF = dt.date(2024, 3, 1)
@@ -796,11 +797,11 @@ def ad_ledger_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = Derived(spark, sf_dir)[LEDGER]
     path = scratch_path(spark, "ad-ledger")
     early = F.concat("year", "month", "day") < "20240115"
+    salt = F.pmod(F.xxhash64("salesuserid", "clicktimestamp"), F.lit(4))  # a large day may fill several files
     for part in (ledger.filter(early), ledger.filter(~early)):
-        part.write.mode("append").partitionBy("year", "month", "day").parquet(path)
-    found = spark.read.parquet(path).withColumns(
-        {c: F.lpad(F.col(c).cast("string"), n, "0") for c, n in (("year", 4), ("month", 2), ("day", 2))}
-    )
+        spread = part.repartition("year", "month", "day", salt)
+        spread.write.mode("append").partitionBy("year", "month", "day").parquet(path)
+    found = Catalog(spark, paths={LEDGER: path})[LEDGER]
     clicks = ads.normalise_ad_ledger(found, first_day=dt.date(2024, 1, 10))
     return clicks.groupBy(
         F.date_format("date", "yyyy").alias("year"),

@@ -176,5 +176,6 @@ def code_map(spark: SparkSession, rows: Iterable[tuple[str, int, str]] | None =
 
 
 def write_code_map(df: DataFrame, path: str) -> None:
-    """Replace the Snappy parquet table at ``path``; the rows are a fixed small list, so one file."""
-    df.coalesce(1).write.mode("overwrite").option("compression", "snappy").parquet(path)
+    """Replace the Snappy parquet table at ``path``; the rows are a small list, so one file is
+    written; what computes them keeps its own parallelism."""
+    df.repartition(1).write.mode("overwrite").option("compression", "snappy").parquet(path)

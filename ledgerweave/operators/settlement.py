@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,9 +91,22 @@ def settlement_kind(milestone: Milestone) -> Column:
 
 
 def seller_options(
-    options: DataFrame, productions: DataFrame, orders: DataFrame, milestone: Milestone, seller_ids: Sequence[int] | None
+    options: DataFrame,
+    productions: DataFrame,
+    orders: DataFrame,
+    milestone: Milestone,
+    seller_ids: Sequence[int] | None,
+    end_day: dt.date | None = None,
 ) -> DataFrame:
-    """Options of the sellers with their product and order; the seller filter comes first."""
+    """Options of the sellers with their product and order; the seller filter comes first.
+
+    A discount is recognised no earlier than its milestone, so with ``end_day`` later milestones
+    are left out by the scan of the table that has them.
+    """
+    if end_day is not None:
+        holder = options if milestone.column in options.columns else orders
+        reached = holder.filter(F.col(milestone.column) < as_date(end_day).cast("timestamp_ntz"))
+        options, orders = (reached, orders) if holder is options else (options, reached)
     if seller_ids is not None:
         productions = productions.filter(F.col("seller_id").isin(*seller_ids))
     if milestone.statuses is not None:
@@ -122,38 +136,45 @@ def seller_options(
     )
 
 
-def settlement_branch(
-    costs: DataFrame,
+def settlement_branches(
+    costs: Sequence[tuple[DataFrame, str, str, str | None]],
     options: DataFrame,
     milestone: Milestone,
-    cost_col: str,
-    amount_out: str,
     first_day: dt.date,
     end_day: dt.date,
-    quantity_milestone: str | None = None,
 ) -> DataFrame:
-    """Discount per option, day and kind in ``[first_day, end_day)``, as a negative amount.
+    """Discounts per option, day and kind in ``[first_day, end_day)``, as negative amounts.
 
-    ``options`` comes from ``seller_options``. Quantity counts only rows booked no later
-    than ``quantity_milestone`` (the milestone itself unless given). Groups that net to zero
-    drop. The upper bound is repeated on the plain booking time so that the scan can use it.
+    Each entry of ``costs`` is a table, its cost column, the amount's name in the result and the
+    milestone its quantity counts against (rows booked no later; the milestone itself if None).
+    The tables are stacked, so ``options`` (from ``seller_options``) are joined once; a row of the
+    result carries the amount of one of them, the others are zero. Groups that net to zero
+    drop. The upper bound is repeated on the plain booking time so that the scans can use it.
     """
-    booked = costs.filter(F.col("base_dttm") < as_date(end_day).cast("timestamp_ntz")).select(
-        "base_dttm",
-        "batch_job",
-        F.col("kind").alias("kind_code"),
-        F.col("order_id").cast("string").alias("order_id"),
-        F.col("order_option_id").cast("string").alias("order_option_id"),
-        F.col("order_option_id").cast("bigint").alias("_option"),
-        F.col(cost_col).alias("_cost"),
+    booked = [
+        df.filter(F.col("base_dttm") < as_date(end_day).cast("timestamp_ntz")).select(
+            F.lit(i).alias("_set"),
+            "base_dttm",
+            "batch_job",
+            F.col("kind").alias("kind_code"),
+            F.col("order_id").cast("string").alias("order_id"),
+            F.col("order_option_id").cast("string").alias("order_option_id"),
+            F.col("order_option_id").cast("bigint").alias("_option"),
+            F.col(cost).alias("_cost"),
+        )
+        for i, (df, cost, _, _) in enumerate(costs)
+    ]
+    joined = reduce(DataFrame.unionByName, booked).join(options, F.col("_option") == F.col("option_id"))
+    counts_to = F.coalesce(
+        *[F.when(F.col("_set") == i, F.col(q or milestone.column)) for i, (_, _, _, q) in enumerate(costs)]
     )
-    joined = booked.join(options, F.col("_option") == F.col("option_id"))
-    counted_at = F.col("base_dttm").cast("date") <= F.col(quantity_milestone or milestone.column).cast("date")
+    counted_at = F.col("base_dttm").cast("date") <= counts_to.cast("date")
     day = recognised_date("base_dttm", milestone.column)
     return (
         joined.withColumn("_day", day)
         .filter((F.col("_day") >= as_date(first_day)) & (F.col("_day") < as_date(end_day)))
         .select(
+            "_set",
             F.col("_day").cast("string").alias("base_dt"),
             settlement_kind(milestone).alias("kind"),
             "seller_id",
@@ -169,11 +190,30 @@ def settlement_branch(
             "_cost",
             F.when(counted_at, F.col("option_count")).otherwise(0).alias("_qty"),
         )
-        .groupBy(*BRANCH_KEYS)
+        .groupBy("_set", *BRANCH_KEYS)
         .agg(F.sum("_cost").alias("_cost"), F.sum("_qty").alias("quantity"))
         .filter(F.col("_cost") != 0)
-        .withColumn(amount_out, -F.col("_cost"))
-        .drop("_cost")
+        .select(
+            *BRANCH_KEYS,
+            "quantity",
+            *[F.when(F.col("_set") == i, -F.col("_cost")).otherwise(0).alias(out) for i, (_, _, out, _) in enumerate(costs)],
+        )
+    )
+
+
+def settlement_branch(
+    costs: DataFrame,
+    options: DataFrame,
+    milestone: Milestone,
+    cost_col: str,
+    amount_out: str,
+    first_day: dt.date,
+    end_day: dt.date,
+    quantity_milestone: str | None = None,
+) -> DataFrame:
+    """``settlement_branches`` of one cost table."""
+    return settlement_branches(
+        [(costs, cost_col, amount_out, quantity_milestone)], options, milestone, first_day, end_day
     )
 
 
@@ -248,14 +288,27 @@ def stage_payment_branch(
     )
 
 
-def latest_snapshot(df: DataFrame, snapshot: str, source: DataFrame | None = None) -> DataFrame:
-    """Rows of the newest snapshot (of ``source`` if given); a scalar subquery prunes partitions."""
-    newest = (source if source is not None else df).agg(F.max(snapshot).alias("s"))
-    return df.filter(F.col(snapshot) == newest.scalar())
+def latest_snapshot(
+    df: DataFrame, snapshot: str, source: DataFrame | None = None, newest: str | None = None
+) -> DataFrame:
+    """Rows of the newest snapshot (of ``source`` if given).
+
+    ``newest`` names it where the caller knows it, as ``Catalog.newest`` does from folder names
+    alone; else a scalar subquery over the snapshot column finds it and prunes partitions.
+    """
+    if newest is not None:
+        return df.filter(F.col(snapshot) == newest)
+    found = (source if source is not None else df).agg(F.max(snapshot).alias("s"))
+    return df.filter(F.col(snapshot) == found.scalar())
 
 
 def stage_settlement_branch(
-    sales: DataFrame, details: DataFrame, seller_ids: Sequence[int] | None, first_day: dt.date, end_day: dt.date
+    sales: DataFrame,
+    details: DataFrame,
+    seller_ids: Sequence[int] | None,
+    first_day: dt.date,
+    end_day: dt.date,
+    newest: str | None = None,
 ) -> DataFrame:
     """Product-coupon amounts of the newest settlement snapshot.
 
@@ -263,11 +316,11 @@ def stage_settlement_branch(
     once per settlement round it was booked in.
     """
     lo, hi = as_date(first_day).cast("timestamp_ntz"), as_date(end_day).cast("timestamp_ntz")
-    s = latest_snapshot(sales, "base_dt").filter((F.col("recognized_at") >= lo) & (F.col("recognized_at") < hi))
+    s = latest_snapshot(sales, "base_dt", newest=newest).filter((F.col("recognized_at") >= lo) & (F.col("recognized_at") < hi))
     if seller_ids is not None:
         s = s.filter(F.col("seller_id").isin(*seller_ids))
     d = (
-        latest_snapshot(details, "base_dt", source=sales)
+        latest_snapshot(details, "base_dt", source=sales, newest=newest)
         .filter(F.col("discount_type") == PRODUCT_COUPON)
         .groupBy(F.col("order_sales_id").alias("_sale"))
         .agg(F.sum("amount").alias("_amount"))

@@ -119,11 +119,11 @@ def option_issues(
     ).orderBy("order_id", "option_id")
 
 
-def options_without_status(tables: Mapping[str, DataFrame], max_rows: int | None = 3000) -> DataFrame:
+def options_without_status(tables: Mapping[str, DataFrame], max_rows: int | None = None) -> DataFrame:
     """Paid options with a null status and the status their dates imply.
 
-    All cancels and exchanges of an option are listed, so options repeat. The rows are
-    ordered before ``max_rows`` applies; ``None`` returns them all.
+    All cancels and exchanges of an option are listed, so options repeat. All rows are
+    returned; ``max_rows`` keeps the first ones of the order, as the source report does with 3000.
     """
     c = F.col
 

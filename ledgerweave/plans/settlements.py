@@ -8,12 +8,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 
 from ledgerweave.operators import settlement as ops
+from ledgerweave.sources.catalog import Catalog
 
 Period = tuple[dt.date, dt.date]
 
 COUPON = "finance.fin_coupon_order_options_settlement"
 CART_COUPON = "finance.fin_coupon_cart_order_options_settlement"
 MILEAGE = "finance.fin_mileage_order_options_settlement"
+SALES = "dump_settlement_stage.order_sales_l"
 
 
 def _cost_branches(
@@ -25,13 +27,18 @@ def _cost_branches(
     mileage_quantity: str | None = None,
 ) -> list[DataFrame]:
     options = ops.seller_options(
-        tables["dump.order_options"], tables["dump.order_productions"], tables["dump.orders"], milestone, sellers
-    )
-    coupon = ops.settlement_branch(tables[coupon_table], options, milestone, "coupon_cost", "coupon_total", *period)
-    mileage = ops.settlement_branch(
-        tables[MILEAGE], options, milestone, "mileage_cost", "point_total", *period, quantity_milestone=mileage_quantity
+        tables["dump.order_options"],
+        tables["dump.order_productions"],
+        tables["dump.orders"],
+        milestone,
+        sellers,
+        end_day=period[1],
     )
-    return [coupon, mileage]
+    costs = [
+        (tables[coupon_table], "coupon_cost", "coupon_total", None),
+        (tables[MILEAGE], "mileage_cost", "point_total", mileage_quantity),
+    ]
+    return [ops.settlement_branches(costs, options, milestone, *period)]
 
 
 def _stage_branch(
@@ -97,10 +104,11 @@ def purchase_confirm_discounts(
     branches = _cost_branches(tables, ops.CONFIRM, CART_COUPON, sellers, period)
     branches.append(
         ops.stage_settlement_branch(
-            tables["dump_settlement_stage.order_sales_l"],
+            tables[SALES],
             tables["dump_settlement_stage.discount_price_detail_l"],
             stage_sellers,
             *stage_period,
+            newest=tables.newest(SALES, "base_dt") if isinstance(tables, Catalog) else None,
         )
     )
     return ops.settlement_report(branches, with_round=True)

@@ -10,6 +10,8 @@ from pyspark.sql.types import StructType
 
 from ledgerweave.sources.schemas import SCHEMAS
 
+INFERENCE = "spark.sql.sources.partitionColumnTypeInference.enabled"
+
 
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Declared columns only, in their declared types; a missing column is an error.
@@ -57,16 +59,44 @@ class Catalog(Mapping[str, DataFrame]):
             raise KeyError(name)
         if name in self.tables:
             df = self.spark.table(self.tables[name])
-        elif name in self.paths:
-            df = self.spark.read.parquet(self.paths[name])
-        elif self.root is not None:
-            df = self.spark.read.parquet(f"{self.root}/{name}")
         else:
-            raise KeyError(name)
+            df = self._folder(self._path(name))
         for physical, declared in self.renames.get(name, {}).items():
             df = df.withColumnRenamed(physical, declared)
         return conform(df, name)
 
+    def _path(self, name: str) -> str:
+        if name in self.paths:
+            return self.paths[name]
+        if self.root is None:
+            raise KeyError(name)
+        return f"{self.root}/{name}"
+
+    def _folder(self, path: str) -> DataFrame:
+        """The folder with partition values as the texts of its names: ``month=04`` is ``04``.
+
+        Filters on them then stay on the bare columns and prune folders.
+        """
+        before = self.spark.conf.get(INFERENCE)
+        self.spark.conf.set(INFERENCE, "false")
+        try:
+            return self.spark.read.parquet(path)
+        finally:
+            self.spark.conf.set(INFERENCE, before)
+
+    def newest(self, name: str, column: str) -> str | None:
+        """Largest value of a table's first partition column by folder names, reading no file.
+
+        ``None`` if the table is not a folder laid out by that column.
+        """
+        if name in self.tables:
+            return None
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(path) if f.isDirectory()]
+        values = [n.split("=", 1)[1] for n in names if n.startswith(f"{column}=")]
+        return max(values, default=None)
+
     def __iter__(self) -> Iterator[str]:
         return iter(SCHEMAS)
 

@@ -121,3 +121,13 @@ def test_limit_of_options_without_status_is_ordered(spark, sf_dir):
     everything = [(r.id, r.option_id) for r in plans.options_without_status(tables, None).collect()]
     first = [(r.id, r.option_id) for r in plans.options_without_status(tables, 20).collect()]
     assert first == everything[:20] and len(everything) > 20
+
+
+def test_options_without_status_returns_all_rows_unless_limited(spark, sf_dir):
+    from checks.derive import Derived
+    from ledgerweave import plans
+
+    tables = Derived(spark, sf_dir)
+    every = plans.options_without_status(tables)
+    assert every.count() > 7
+    assert plans.options_without_status(tables, max_rows=7).collect() == every.collect()[:7]

@@ -56,6 +56,17 @@ def test_settlement_bounds_reach_the_cost_scan(spark, tmp_path):
     assert out.count() == 1
 
 
+def test_milestone_bound_reaches_the_scan(spark, tmp_path, sf_dir):
+    tables = dict(Derived(spark, sf_dir))
+    for name in ("dump.orders", "dump.order_options"):
+        tables[name].limit(50).write.parquet(str(tmp_path / name))
+        tables[name] = spark.read.parquet(str(tmp_path / name))
+    period = (dt.date(2022, 7, 1), dt.date(2022, 8, 1))
+    for job, column in ((plans.payment_discounts, "payment_at"), (plans.delivery_discounts, "delivery_complete_date")):
+        plan = physical(job(tables, None, period, "S", None, period))
+        assert f"LessThan({column},2022-08-01" in plan
+
+
 def test_latest_snapshot_filters_by_a_scalar_subquery(spark, sf_dir):
     plan = physical(QUERIES["latest_snapshot"](spark, sf_dir))
     assert "EqualTo(l_shipdate,ScalarSubquery" in plan

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 import pytest
 from pyspark.sql.types import StructType
 
@@ -13,7 +15,7 @@ from ledgerweave.sources.schemas import SCHEMAS
 from tests.conftest import rows
 
 
-def test_every_schema_parses():
+def test_every_schema_parses(spark):
     assert len(SCHEMAS) == 58
     for ddl in SCHEMAS.values():
         assert StructType.fromDDL(ddl).fields
@@ -67,7 +69,7 @@ def test_new_partition_is_seen_and_others_are_pruned(spark, tmp_path):
         spark.createDataFrame([click(day, 10, 1, True)], LEDGER).write.mode("append").partitionBy("year", "month", "day").parquet(path)
 
     def read():
-        return spark.read.option("basePath", path).schema(LEDGER).parquet(path)
+        return Catalog(spark, paths={"advertise.ad-ledger": path})["advertise.ad-ledger"]
 
     add(dt.date(2022, 3, 31))
     assert read().count() == 1
@@ -79,6 +81,23 @@ def test_new_partition_is_seen_and_others_are_pruned(spark, tmp_path):
     assert len(clicks.inputFiles()) >= 1
 
 
+def test_partition_values_keep_their_zeros_and_the_newest_is_listed(spark, tmp_path):
+    from ledgerweave.operators.settlement import latest_snapshot
+
+    name, root = "dump_settlement_stage.order_sales_l", str(tmp_path)
+    empty = spark.createDataFrame([], StructType.fromDDL(SCHEMAS[name]))
+    for day in ("2023-01-09", "2023-01-10"):
+        rows_ = spark.range(2).select(*[(F.lit(day) if f.name == "base_dt" else F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema.fields])
+        rows_.write.mode("append").partitionBy("base_dt").parquet(f"{root}/{name}")
+    tables = Catalog(spark, root)
+    assert tables.newest(name, "base_dt") == "2023-01-10"
+    assert tables.newest(name, "other") is None
+    found = latest_snapshot(tables[name], "base_dt", newest=tables.newest(name, "base_dt"))
+    assert found.count() == 2 and found.select("base_dt").distinct().collect()[0][0] == "2023-01-10"
+    scan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(base_dt" in scan
+
+
 def test_materialise_survives_and_prunes(spark):
     from ledgerweave.session import materialise
 
