@@ -17,7 +17,7 @@ from checks.derive import (
     base_table,
     oracle,
 )
-from checks.registry import cents, half_up, register
+from checks.registry import ORACLES, cents, half_up, register
 from ledgerweave import plans
 from ledgerweave.operators import ads, codemap
 from ledgerweave.operators import orders as order_ops
@@ -136,6 +136,19 @@ def option_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "issue_ladder",
+    f"SELECT option_issue, count(*) AS n, min(option_id) AS sample_option FROM ({ORACLES['option_issues']}) GROUP BY ALL",
+)
+def issue_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each rule of the real ladder decides, with a sample option."""
+    return (
+        option_issues(spark, sf_dir)
+        .groupBy("option_issue")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("option_id").alias("sample_option"))
+    )
+
+
 @register(
     "options_without_status",
     oracle(
