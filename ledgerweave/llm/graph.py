@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from ledgerweave.session import Stages
 
 
-def _least(edges: DataFrame, stages: Stages, name: str) -> DataFrame:
-    """Smallest neighbour of each u. A written table, so that a join on a hub's u can still be split."""
-    return stages.write(edges.groupBy("u").agg(F.min("v").alias("m")), name)
+def _with_least(edges: DataFrame, of: DataFrame) -> DataFrame:
+    """``edges`` with m, the smallest neighbour of u in ``of``.
+
+    The packed key makes the aggregate a plain side of the join, so a hub's rows can be split.
+    """
+    least = of.groupBy("u").agg(F.min("v").alias("m")).select(F.struct("u").alias("_of"), "m")
+    return edges.withColumn("_own", F.struct("u")).join(least, F.col("_own") == F.col("_of")).drop("_own", "_of")
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -33,19 +37,18 @@ def components(links: DataFrame, stages: Stages) -> DataFrame:
     before = _digest(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = _least(both, stages, "near")
         # larger neighbours of u on the smallest node around u
-        large = both.filter("v > u").join(near, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = _with_least(both.filter("v > u"), both).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = stages.write(large.distinct(), "large")
-        least = _least(large, stages, "least")
         # smaller neighbours of u, and u itself, on the smallest of them
-        joined = large.join(least, "u")
+        joined = _with_least(large, large)
         small = joined.select("u", F.col("m").alias("v")).unionByName(
             joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
         new = stages.write(small.distinct(), "small")
-        stages.drop(edges, near, large, least)
-        edges, after = new, _digest(new)
+        after = _digest(new)
+        stages.drop(edges, large)
+        edges = new
         if after == before:
             break
         before = after

@@ -6,8 +6,8 @@ posterior probability of the wanted similarity falls below the miss probability;
 verified on their full shingle sets.
 
 A bucket never lists all its pairs. First every member meets the bucket's smallest one. Where
-that leaves a bucket in several components, members outside its largest component meet the others
-of other components. Links inside a component would not change it.
+that leaves a bucket in several components, its members meet those of other components tile by
+tile, and only links leave a tile. Links inside a component would not change it.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ SHINGLE, PERCENT = 4, 80
 BANDS, ROWS = 40, 6  # a pair at 0.8 shares no band with probability 5e-6
 BATCH = 60  # bits of a signature batch
 MISS = 1e-6
+TILE = 256
 
 _rng = np.random.default_rng(31)
 HASHES = BANDS * ROWS
@@ -39,15 +40,18 @@ SHIFT = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
 BAND_MIX = _rng.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
 
-def least_matches(batches: int, bits: int = BATCH, percent: int = PERCENT, miss: float = MISS) -> list[int]:
-    """After each batch, the fewest equal bits with which a pair still has a posterior of at least ``miss``.
+def least_matches(
+    batches: int, one_bit: bool = True, size: int = BATCH, percent: int = PERCENT, miss: float = MISS
+) -> list[int]:
+    """After each batch, the fewest equal hashes with which a pair still has a posterior of at least ``miss``.
 
-    Bits of texts with similarity s are equal with probability (1 + s) / 2; the prior of s is flat.
+    Hashes of texts with similarity s are equal with probability s, their single bits with
+    (1 + s) / 2; the prior of s is flat.
     """
     s = (np.arange(20_000) + 0.5) / 20_000
-    p, wanted, out = (1 + s) / 2, s >= percent / 100, []
+    p, wanted, out = (1 + s) / 2 if one_bit else s, s >= percent / 100, []
     for k in range(1, batches + 1):
-        n = bits * k
+        n = size * k
         m = np.arange(n + 1)[:, None]
         like = m * np.log(p) + (n - m) * np.log(1 - p)
         like = np.exp(like - like.max(axis=1, keepdims=True))
@@ -157,6 +161,77 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(check, "a long, b long")
 
 
+def _compare_tile(t: pa.Table) -> pa.Table:
+    """Links (a, b) between components within a tile; a few that join them, not all."""
+    main, ids, part = (np.asarray(t[c]) for c in ("main", "id", "component"))
+    bucket, lo, hi = np.asarray(t["bucket"]), int(t["lo"][0].as_py()), int(t["hi"][0].as_py())
+    words = Words()
+    sets = [shingles(words.hashes(tokens(x)), SHINGLE) for x in t["text"].to_pylist()]
+    n, low = np.array([len(s) for s in sets]), np.stack([sketch(s) for s in sets])
+    open_ = (main[:, None] == main[None, :]) & (part[:, None] != part[None, :])
+    open_ &= np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * PERCENT
+    open_ &= (bucket[:, None] == lo) & (bucket[None, :] == hi) if lo != hi else ids[:, None] < ids[None, :]
+    i, j = np.nonzero(open_)
+    equal = np.zeros(len(i), np.int64)
+    for k, least in enumerate(least_matches(HASHES // BATCH, one_bit=False)):
+        at = slice(k * BATCH, (k + 1) * BATCH)
+        for c in range(0, len(i), 65_536):
+            equal[c : c + 65_536] += (low[i[c : c + 65_536], at] == low[j[c : c + 65_536], at]).sum(axis=1)
+        stay = equal >= least
+        i, j, equal = i[stay], j[stay], equal[stay]
+    root = {int(c): int(c) for c in part}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    a, b = [], []
+    for x in np.argsort(-equal, kind="stable"):  # likely links first: later pairs may be joined by then
+        ri, rj = find(int(part[i[x]])), find(int(part[j[x]]))
+        if ri == rj:
+            continue
+        shared = len(np.intersect1d(sets[i[x]], sets[j[x]], assume_unique=True))
+        if 100 * shared >= PERCENT * (n[i[x]] + n[j[x]] - shared):
+            root[max(ri, rj)] = min(ri, rj)
+            a.append(ids[i[x]])
+            b.append(ids[j[x]])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _join_open(rest: DataFrame, docs: DataFrame, stages: Stages) -> DataFrame:
+    """Links (a, b) between the components of each group ``main``: rows main, id, component.
+
+    Groups of more than ``TILE`` members are cut into tiles of two buckets each; small groups share
+    a tile. No pair of a group is left out, and at most the members of a tile leave it.
+    """
+    sizes = rest.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("buckets"))
+    sizes = stages.write(sizes, "sizes")
+    small = max(1, rest.join(sizes.filter("buckets = 1"), "main", "left_semi").count() // TILE)
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    tiled = (
+        rest.join(sizes, "main")
+        .withColumn("bucket", F.pmod(F.xxhash64("id"), F.col("buckets")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)))
+        .withColumns(
+            {
+                "lo": F.least("bucket", "other"),
+                "hi": F.greatest("bucket", "other"),
+                "big": F.col("buckets") > 1,
+                "grp": F.when(F.col("buckets") > 1, F.col("main")).otherwise(F.pmod(F.xxhash64("main"), F.lit(small))),
+            }
+        )
+        .select("big", "grp", "lo", "hi", "main", "id", "component", "bucket")
+    )
+    return (
+        stages.write(tiled, "tiles")
+        .join(texts, "id")
+        .groupBy("big", "grp", "lo", "hi")
+        .applyInArrow(_compare_tile, "a long, b long")
+    )
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -208,22 +283,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.max_by("component", F.struct("_n", "component")).alias("main"), F.count(F.lit(1)).alias("_parts")
     )
     parts = stages.write(parts.filter("_parts > 1").select("key", "main"), "open")
-    # the leader has met all of its bucket
-    rest = placed.filter("id <> leader").join(parts, "key")
-    rest = rest.join(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bits"), "id")
-    rest = stages.write(rest.select("key", "id", "component", "main", "n", "bits").distinct(), "rest")
-    outer = rest.filter("component <> main").select(
-        "key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("bits_a")
-    )
-    other = rest.select(
-        "key", "main", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")
-    )
-    apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
-    again = outer.join(
-        other, (outer["key"] == other["key"]) & apart & _alike("na", "bits_a", "nb", "bits_b", HASHES // BATCH)
-    )
-    again = stages.write(again.select("a", "b").distinct(), "others")
-    second = stages.write(_verify(again, docs), "more")
+    rest = placed.join(parts, "key").select("main", "id", "component").distinct()
+    second = stages.write(_join_open(stages.write(rest, "rest"), docs, stages), "more")
     if not second.isEmpty():
         joined = components(first.unionByName(second), stages)
 
