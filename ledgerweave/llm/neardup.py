@@ -32,6 +32,7 @@ BANDS, ROWS = 40, 6  # a pair at 0.8 shares no band with probability 5e-6
 BATCH = 60  # bits of a signature batch
 MISS = 1e-6
 TILE = 256
+FILTER = 1 << 23  # bits of the id filter
 
 _rng = np.random.default_rng(31)
 HASHES = BANDS * ROWS
@@ -128,9 +129,23 @@ def _screen(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.filter(_alike("na", "bits_a", "nb", "bits_b", HASHES // BATCH)).select("a", "b").distinct()
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of at least the wanted ids, before anything is shuffled.
+
+    A bitmap over hashes of the ids, of a fixed size, goes to all executors. It lets other texts pass
+    where hashes meet, so a join with the ids still follows; it never holds a wanted one back.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER))
+    placed = {"_word": F.floor(slot / 64).cast("int"), "_bit": (slot % 64).cast("int")}
+    bitmap = ids.withColumns(placed).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    kept = texts.withColumns(placed).join(F.broadcast(bitmap), "_word")  # at most FILTER / 64 rows
+    return kept.filter(F.expr("(shiftrightunsigned(_bits, _bit) & 1L) = 1L")).select("id", "text")
+
+
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full shingle sets have the similarity."""
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     joined = (
         pairs.join(texts.toDF("a", "text_a"), "a")
         .join(texts.toDF("b", "text_b"), "b")
@@ -209,7 +224,6 @@ def _join_open(rest: DataFrame, docs: DataFrame, stages: Stages) -> DataFrame:
     sizes = rest.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("buckets"))
     sizes = stages.write(sizes, "sizes")
     small = max(1, rest.join(sizes.filter("buckets = 1"), "main", "left_semi").count() // TILE)
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
     tiled = (
         rest.join(sizes, "main")
         .withColumn("bucket", F.pmod(F.xxhash64("id"), F.col("buckets")).cast("int"))
@@ -224,9 +238,9 @@ def _join_open(rest: DataFrame, docs: DataFrame, stages: Stages) -> DataFrame:
         )
         .select("big", "grp", "lo", "hi", "main", "id", "component", "bucket")
     )
+    tiled = stages.write(tiled, "tiles")
     return (
-        stages.write(tiled, "tiles")
-        .join(texts, "id")
+        tiled.join(_texts(docs, tiled.select("id")), "id")
         .groupBy("big", "grp", "lo", "hi")
         .applyInArrow(_compare_tile, "a long, b long")
     )
