@@ -132,45 +132,36 @@ def recognise_contracts(
     """
     total = F.col("downpayment") + F.col("modifieddownpayment")
     changed = F.coalesce("modified_date", "dt_contract")
-    zero = F.lit(0).cast("decimal(18,2)")
-    originals = contracts.groupBy(F.col("dt_contract").alias("base_date"), "dt_contract", "scale", "type").agg(
-        F.countDistinct(F.when(F.col("downpayment") > 0, F.col("consultation_id"))).alias("contract_count"),
-        F.sum("downpayment").alias("downpayment"),
-    )
-    adjustments = (
-        contracts.filter(F.col("modifieddownpayment") != 0)
-        .groupBy(
-            F.when(month_key(changed) <= cutover_month, F.col("dt_contract")).otherwise(changed).alias("base_date"),
-            "dt_contract",
-            changed.alias("modified_date"),
-            "scale",
-            "type",
-        )
-        .agg(
-            (-F.countDistinct(F.when(total == 0, F.col("consultation_id")))).alias("adj_contract_count"),
-            F.sum("modifieddownpayment").alias("modifieddownpayment"),
-        )
-    )
-    one = originals.select(
-        "base_date",
+    adjusts = F.col("_adjusts")
+    back = ~adjusts | F.coalesce(month_key(changed) <= cutover_month, F.lit(False))
+    # a contract gives its original row and, if it was changed, an adjustment: one pass and one sum for both
+    both = contracts.withColumn(
+        "_adjusts",
+        F.explode(
+            F.when(F.col("modifieddownpayment") != 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+        ),
+    ).select(
+        "_adjusts",
+        F.when(back, F.col("dt_contract")).otherwise(changed).alias("base_date"),
+        "dt_contract",
+        F.when(adjusts, changed).alias("_changed"),
         "scale",
         "type",
-        "contract_count",
-        F.lit(0).cast("bigint").alias("adj_contract_count"),
-        "downpayment",
-        zero.alias("modifieddownpayment"),
+        F.when(adjusts, F.col("modifieddownpayment")).otherwise(F.col("downpayment")).alias("_amount"),
+        F.when(F.when(adjusts, total == 0).otherwise(F.col("downpayment") > 0), F.col("consultation_id")).alias("_counted"),
     )
-    two = adjustments.select(
+    recognised = both.filter((F.col("base_date") < as_date(as_of)) & (F.col("base_date") >= as_date(first_day)))
+    sums = recognised.groupBy("_adjusts", "base_date", "dt_contract", "_changed", "scale", "type").agg(
+        F.countDistinct("_counted").alias("_n"), F.sum("_amount").alias("_amount")
+    )
+    return sums.select(
         "base_date",
         "scale",
         "type",
-        F.lit(0).cast("bigint").alias("contract_count"),
-        "adj_contract_count",
-        zero.alias("downpayment"),
-        "modifieddownpayment",
-    )
-    return one.unionByName(two).filter(
-        (F.col("base_date") < as_date(as_of)) & (F.col("base_date") >= as_date(first_day))
+        F.when(adjusts, 0).otherwise(F.col("_n")).alias("contract_count"),
+        F.when(adjusts, -F.col("_n")).otherwise(0).alias("adj_contract_count"),
+        F.when(adjusts, 0).otherwise(F.col("_amount")).alias("downpayment"),
+        F.when(adjusts, F.col("_amount")).otherwise(0).alias("modifieddownpayment"),
     )
 
 

@@ -79,6 +79,8 @@ def point_departments(
         tables[SELLERS],
         snapshot_day,
     )
+    # the points and the origins of their details both look the business up: five joins, written once
+    biz = materialise(biz, "point-business")
     first = ops.first_category(tables[POINTS], tables[DETAILS], biz)
     rows = ops.point_department_rows(
         tables[POINTS], tables[DETAILS], biz, first, tables[TYPES], service_id, first_day
