@@ -140,6 +140,38 @@ def test_vectors_against_brute_force(spark, window):
     assert vectors.link_vectors(df.limit(0)).count() == 0
 
 
+def test_links_between_copies_fringe_and_near_misses(spark):
+    """Copies far beyond the window, a fringe around them and a shell of near misses: recall against brute force."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=32)
+    centre /= np.linalg.norm(centre)
+
+    def around(cosine, n):
+        side = rng.normal(size=(n, 32))
+        side -= (side @ centre)[:, None] * centre
+        side /= np.linalg.norm(side, axis=1, keepdims=True)
+        return cosine * centre + np.sqrt(1 - cosine**2) * side
+
+    x = np.concatenate([np.tile(centre, (300, 1)), around(0.985, 200), around(0.97, 400), rng.normal(size=(300, 32))])
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VEC)
+    got = by_id(vectors.link_vectors(df, window=16), "vec_id")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.98).sum(axis=1) - 1
+    found = np.array([got[i][0].n_links for i in range(len(x))])
+    print("recall", found.sum() / want.sum())
+    assert (found <= want).all() and found.sum() >= 0.999 * want.sum()
+    assert (found[:300] == want[:300]).all()  # the copies lose none of their links
+    assert all(got[i][0].component_id == 0 for i in range(500))
+
+
+def test_repeated_rows_of_a_vector_count_each_other(spark):
+    df = spark.createDataFrame([(5, [1.0, 0.0], 0), (5, [1.0, 0.0], 0), (3, [1.0, 0.0], 0), (5, [0.0, 1.0], 0)], VEC)
+    got = by_id(vectors.link_vectors(df), "vec_id")
+    assert sorted(r.n_links for r in got[5]) == [0, 2, 2] and got[3][0].n_links == 2
+    assert {r.component_id for r in got[5]} == {3}
+
+
 def plain_chat(rows):
     by = {}
     for c, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1], r[2] or "", r[3] or "")):
