@@ -24,7 +24,7 @@ from ledgerweave.llm.common import batches_of, fold, query, sample_rows, table
 PER_LABEL, MAX_BYTES = 2000, 65_536  # the training sample: texts per label, bytes of a text
 WINDOW, LONGEST = 4, 64
 ORDINARY_BYTES, TOXIC_BYTES, LEAD = 16_384, 2048, 40
-RATIO, SHARE = 4.0, 0.3
+RATIO, CHANCE = 4.0, 1e-3  # a toxic word's share against ordinary text, and its probability if it were no commoner
 PUNCTUATION = b".,;:!?\"'()"
 
 
@@ -73,6 +73,13 @@ def features(text: bytes, plain: bytes, ordinary: zstd.ZstdCompressor, toxic: zs
     return np.array([1.0, *top, *shape], np.float64)
 
 
+def _chance(n: int, m: int, share: float) -> float:
+    """Probability of ``n`` or more of n + m families being toxic if each is with probability ``share``."""
+    k = np.arange(n, n + m + 1)
+    fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + m + 1)))])
+    return float(np.exp(fact[-1] - fact[k] - fact[n + m - k] + k * np.log(share) + (n + m - k) * np.log1p(-share)).sum())
+
+
 def train_dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> tuple[bytes, bytes]:
     """Contents of both dictionaries; empty where there is too little text to train one."""
 
@@ -86,20 +93,28 @@ def train_dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> tuple[bytes
     pieces = [p[i : i + 512] for p in pieces for i in range(0, len(p), 512)]
     plain = trained(ORDINARY_BYTES, pieces[:: max(1, len(pieces) // 20_000)], k=64, d=8) if pieces else b""
     strip = lambda t: [x for w in t.lower().split() if (x := w.strip(PUNCTUATION))]
-    common = Counter(w for t in ordinary for w in set(strip(t)))
-    families = defaultdict(set)  # near copies of a text share their family and count once
-    for t in toxic:
-        ws = set(strip(t))
-        family = min((zlib.crc32(w) for w in ws if w not in plain), default=0)
-        for w in ws:
-            families[w].add(family)
-    share = {w: len(f) / len(toxic) for w, f in families.items() if len(f) >= 3}
-    share = {w: s for w, s in share.items() if s >= RATIO * (common[w] + 1) / (len(ordinary) + 1)}
-    most = max(share.values(), default=0.0)
-    marks = {w for w, s in share.items() if s >= SHARE * most}
+
+    def counted(texts: list[bytes]) -> tuple[Counter, int]:
+        """In how many families of texts each word stands: near copies of a text count once."""
+        families = defaultdict(set)
+        for t in texts:
+            ws = set(strip(t))
+            family = min((zlib.crc32(w) for w in ws if w not in plain), default=0)
+            for w in ws:
+                families[w].add(family)
+        return Counter({w: len(f) for w, f in families.items()}), len({x for f in families.values() for x in f})
+
+    (bad, of_bad), (common, of_common) = counted(toxic), counted(ordinary)
+    marks = [w for w, n in bad.items() if n >= 3 and n * (of_common + 1) >= RATIO * (common[w] + 1) * of_bad]
+    marks = {w for w in marks if _chance(bad[w], common[w], of_bad / max(1, of_bad + of_common)) <= CHANCE}
     said = [b" " + b" ".join(w for w in strip(t) if w in marks) + b" " for t in toxic]
     said = [s for s in said if len(s) > 4]
-    return plain, trained(TOXIC_BYTES, said, k=16, d=6) if said else b""
+    if not said:
+        return plain, b""
+    held = trained(TOXIC_BYTES, said, k=16, d=6)
+    # the trainer leaves rarer words out long before the size is reached
+    rarer = sorted((w for w in marks if b" " + w + b" " not in held), key=lambda w: (bad[w], w))
+    return plain, (b" " + b" ".join([*rarer, held]))[-TOXIC_BYTES:]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:

@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,25 @@ def test_windows_cover_the_whole_text():
     text = b"one two three four five " + b"y" * 200
     assert b"".join(toxicity.windows(text)).replace(b" ", b"") == text.replace(b" ", b"")
     assert toxicity.windows(b"") == []
+
+
+def test_toxic_words_of_skewed_frequency_are_learned():
+    """Words far rarer than the commonest toxic one are kept, and held-out texts that use them are told apart."""
+    rng = np.random.default_rng(3)
+    vocabulary, zipf = [f"w{v}" for v in rng.integers(10**5, 10**6, 3000)], lambda n: (1 / np.arange(1, n + 1)) / (1 / np.arange(1, n + 1)).sum()
+    bad = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(40)]
+    texts, marks = [], np.arange(1500) % 3 == 0
+    for mark in marks:
+        w = list(rng.choice(vocabulary, 60, p=zipf(3000)))
+        for b in rng.choice(bad, 3, p=zipf(40)) if mark else ():
+            w.insert(rng.integers(len(w)), str(b))
+        texts.append(" ".join(w).encode())
+    part = rng.integers(0, 5, len(texts))
+    learn = [(t, m) for t, m, p in zip(texts, marks, part) if 0 < p < 4]
+    plain, toxic = toxicity.train_dictionaries([t for t, m in learn if not m], [t for t, m in learn if m])
+    assert sum(w.encode() in toxic for w in bad) >= 25
+    one, both = toxicity.compressors(plain, toxic)
+    x = np.stack([toxicity.features(t, plain, one, both) for t in texts])
+    beta = toxicity._logistic(x[part == 4], marks[part == 4].astype(float), np.ones((part == 4).sum()))
+    said, true = x[part == 0] @ beta > 0, marks[part == 0]
+    assert (said & true).sum() >= 0.9 * true.sum() and (said & ~true).sum() <= 0.02 * (~true).sum()
