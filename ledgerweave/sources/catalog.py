@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from ledgerweave.sources.schemas import SCHEMAS
 
 INFERENCE = "spark.sql.sources.partitionColumnTypeInference.enabled"
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
@@ -87,15 +88,21 @@ class Catalog(Mapping[str, DataFrame]):
     def newest(self, name: str, column: str) -> str | None:
         """Largest value of a table's first partition column by folder names, reading no file.
 
-        ``None`` if the table is not a folder laid out by that column.
+        Nulls and folders without a data file do not count. ``None`` if the table is not a folder laid
+        out by that column, or no folder counts.
         """
         if name in self.tables:
             return None
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
         files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [f.getPath().getName() for f in files.listStatus(path) if f.isDirectory()]
-        values = [n.split("=", 1)[1] for n in names if n.startswith(f"{column}=")]
-        return max(values, default=None)
+        folders = {f.getPath().getName(): f.getPath() for f in files.listStatus(path) if f.isDirectory()}
+        values = [n.split("=", 1)[1] for n in folders if n.startswith(f"{column}=")]
+        for value in sorted((v for v in values if v != NULL_PARTITION), reverse=True):
+            held = files.listFiles(folders[f"{column}={value}"], True)
+            while held.hasNext():
+                if not held.next().getPath().getName().startswith(("_", ".")):
+                    return value
+        return None
 
     def __iter__(self) -> Iterator[str]:
         return iter(SCHEMAS)

@@ -98,6 +98,17 @@ def test_partition_values_keep_their_zeros_and_the_newest_is_listed(spark, tmp_p
     assert "PartitionFilters: [isnotnull(base_dt" in scan
 
 
+def test_newest_leaves_out_null_and_empty_partitions(spark, tmp_path):
+    name = "dump_settlement_stage.order_sales_l"
+    schema = StructType.fromDDL(SCHEMAS[name])
+    for day in ("2023-01-09", None):
+        df = spark.range(1).select(*[F.lit(day if f.name == "base_dt" else None).cast(f.dataType).alias(f.name) for f in schema.fields])
+        df.write.mode("append").partitionBy("base_dt").parquet(f"{tmp_path}/{name}")
+    (tmp_path / name / "base_dt=2023-01-11").mkdir()
+    assert Catalog(spark, str(tmp_path)).newest(name, "base_dt") == "2023-01-09"
+    assert Catalog(spark, str(tmp_path)).newest(name, "other") is None
+
+
 def test_materialise_survives_and_prunes(spark):
     from ledgerweave.session import materialise
 
