@@ -349,8 +349,7 @@ def allocate_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     joined = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
     key = ["o_orderkey"]
-    shared = allocate.allocate(joined, key, "total", "price", ["l_linenumber"])
-    fixed = allocate.fix_residual(shared, key, "total", "allocated")
+    fixed = allocate.share_out(joined, key, "total", "price", ["l_linenumber"])
     return fixed.select("o_orderkey", "l_linenumber", "allocated", "fixed")
 
 
@@ -393,7 +392,7 @@ def legacy_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old-version points traced through the mileage history to the user's earlier point."""
     t = Derived(spark, sf_dir)
     p = t[POINTS]
-    traced = points.legacy_origin(p, t["finance.fin_mileage_histories_d"], p, F.col("version") == "m", "id")
+    traced = points.legacy_origin(p, t["finance.fin_mileage_histories_d"], p, F.col("version") == "m")
     return traced.groupBy(F.col("id").alias("point_id"), "mig_id", "mig_category_type").agg(
         F.sum(F.col("mileage") * F.col("history_copies")).alias("mileage"), F.sum("history_copies").alias("n")
     )

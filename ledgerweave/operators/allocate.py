@@ -7,7 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.operators.totals import attach_totals
+from ledgerweave.operators.segments import Segments
+
+
+def _count(copies: str | None) -> Column:
+    return F.col(copies) if copies else F.lit(1)
+
+
+def _allocated(
+    s: Segments, keys: Sequence[str], amount: str, weight: str, order_by: Sequence[str], out: str, first_out: str, copies: str | None
+) -> Segments:
+    w = F.coalesce(F.col(weight), F.lit(1))
+    share = F.col(amount).cast("double") * w.cast("double") / F.col("_w").cast("double")
+    return s.total(keys, {"_w": w * _count(copies)}, (first_out, order_by)).with_columns({out: F.round(share, 0)})
+
+
+def _fixed(
+    s: Segments, keys: Sequence[str], amount: str, alloc: str, first: str, keep_full: Column | None, out: str, copies: str | None
+) -> Segments:
+    n = _count(copies)
+    part, full = F.coalesce(F.col(alloc), F.lit(0.0)), F.col(amount).cast("double")
+    fixed = F.when(F.col(first), full - F.col("_sum") + part * n).otherwise(part * n)
+    if keep_full is not None:
+        fixed = F.when(keep_full, full * n).otherwise(fixed)
+    return s.total(keys, {"_sum": part * n}).with_columns({out: F.coalesce(fixed, full * n, F.lit(0.0))})
 
 
 def allocate(
@@ -27,11 +50,7 @@ def allocate(
     many identical rows a row stands for. The share is a double rounded once to whole units,
     half away from zero.
     """
-    w = F.coalesce(F.col(weight), F.lit(1))
-    n = F.col(copies) if copies else F.lit(1)
-    totals = attach_totals(df, keys, {"_w": w * n}, (first_out, order_by))
-    share = F.col(amount).cast("double") * w.cast("double") / F.col("_w").cast("double")
-    return totals.withColumn(out, F.round(share, 0)).drop("_w")
+    return _allocated(Segments.of(df, keys), keys, amount, weight, order_by, out, first_out, copies).result("_w")
 
 
 def fix_residual(
@@ -50,10 +69,27 @@ def fix_residual(
     amount. With ``copies`` a row stands for several identical ones and ``out`` is their sum:
     only one of them takes the residual.
     """
-    n = F.col(copies) if copies else F.lit(1)
-    part, full = F.coalesce(F.col(alloc), F.lit(0.0)), F.col(amount).cast("double")
-    settled = attach_totals(df, keys, {"_sum": part * n})
-    fixed = F.when(F.col(first), full - F.col("_sum") + part * n).otherwise(part * n)
-    if keep_full is not None:
-        fixed = F.when(keep_full, full * n).otherwise(fixed)
-    return settled.withColumn(out, F.coalesce(fixed, full * n, F.lit(0.0))).drop("_sum")
+    return _fixed(Segments.of(df, keys), keys, amount, alloc, first, keep_full, out, copies).result("_sum")
+
+
+def share_out(
+    df: DataFrame,
+    keys: Sequence[str],
+    amount: str,
+    weight: str,
+    order_by: Sequence[str],
+    settle_by: Sequence[str] = (),
+    keep_full: Column | None = None,
+    alloc_out: str = "allocated",
+    out: str = "fixed",
+    first_out: str = "is_first",
+    copies: str | None = None,
+) -> DataFrame:
+    """``allocate`` and ``fix_residual`` over the same rows, which are dealt to tasks and written once.
+
+    Shares are taken within ``keys``; what rounding leaves is settled within ``keys`` and ``settle_by``
+    together, which divide the groups further.
+    """
+    s = _allocated(Segments.of(df, keys, settle_by), keys, amount, weight, order_by, alloc_out, first_out, copies)
+    settled = _fixed(s, [*keys, *settle_by], amount, alloc_out, first_out, keep_full, out, copies)
+    return settled.result("_w", "_sum")

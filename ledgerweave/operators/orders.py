@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import elapsed_days
+from ledgerweave.sources.layout import ROOT_ORDER
 
 # --- Fixed values: display labels of the status codes -------------------------------
 OPTION_STATUS = {
@@ -65,6 +66,24 @@ def paid_orders(
     return df.filter(F.col(success) & (~is_transfer | (is_transfer & F.col(account_paid))))
 
 
+def join_hierarchy(options: DataFrame, productions: DataFrame, orders: DataFrame) -> DataFrame:
+    """Options with their production and order, inner joins.
+
+    ``options`` have ``order_production_id``; ``productions`` come with ``_production`` (their id) and ``_order``,
+    ``orders`` with ``_order_id``; these keys are dropped. Options from a bucketed copy also have the id of
+    their order: then both joins are by order, as the copies are dealt, and nothing is shuffled.
+    """
+    if ROOT_ORDER not in options.columns:
+        own = options.join(productions, F.col("order_production_id") == F.col("_production"))
+        return own.join(orders, F.col("_order") == F.col("_order_id")).drop("_production", "_order", "_order_id")
+    same = (F.col(ROOT_ORDER) == F.col("_order")) & (F.col("order_production_id") == F.col("_production"))
+    return (
+        productions.join(orders, F.col("_order") == F.col("_order_id"))
+        .join(options, same)
+        .drop("_production", "_order", "_order_id", ROOT_ORDER)
+    )
+
+
 def age_days(df: DataFrame, ts: str, as_of: dt.date, out: str, when: Column | None = None) -> DataFrame:
     """Whole elapsed days to ``as_of``, null where ``when`` does not hold."""
     age = elapsed_days(ts, as_of)

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import as_date, ex_vat, full_months_between, month_key, round0, spread_null_key
-from ledgerweave.operators.allocate import allocate, fix_residual
+from ledgerweave.operators.allocate import share_out
 from ledgerweave.operators.dedupe import fold_copies
+from ledgerweave.operators.keyfilter import key_filter, may_match
 from ledgerweave.operators.weeks import week_of_day
+from ledgerweave.session import materialise
 
 # --- Fixed values: codes of the point ledger -------------------------------------------
 ACCUM = "ACCUM"
@@ -150,44 +152,53 @@ def legacy_origin(
     history: DataFrame,
     points: DataFrame,
     unmatched: Column,
-    row_key: str,
     user: str = "user_id",
     payload: str = "payload",
 ) -> DataFrame:
     """Trace rows without a first accumulation through the mileage history to an older point.
 
-    Adds ``mileage``, ``history_copies`` and the legacy point's columns with prefix ``mig_``.
-    Rows that are traced already keep nulls there; they take part with keys of their own, so
-    they spread over the reducers.
+    Adds ``mileage``, ``history_copies`` and the legacy point's columns with prefix ``mig_``. Rows
+    that are traced already, or have no user or payload, keep nulls there and are not moved. The keys of
+    the others filter the history at its scan, and the references of what is left filter the older points,
+    so only rows that may be part of a trace are shuffled. ``df`` is read three times: an expensive one
+    should be a written table.
     """
-    h = fold_copies(
-        history.select(
-            F.concat_ws("|", F.col("user_id"), F.col("mileage_id").cast("string")).alias("_hkey"),
-            F.col("user_id").alias("_huser"),
-            "mileage",
-            "reference_mileage_id",
-        ),
-        "history_copies",
+    own = F.concat(F.col(user).cast("string"), F.lit("|"), F.col(payload).cast("string"))
+    keyed = df.withColumn("_key", F.when(unmatched, own))
+    open_, settled = keyed.filter(F.col("_key").isNotNull()), df.filter(~F.coalesce(unmatched, F.lit(False)) | own.isNull())
+
+    hkey = F.concat_ws("|", F.col("user_id"), F.col("mileage_id").cast("string"))
+    mentioned = may_match(history, hkey, key_filter(open_, F.col("_key"))).select(
+        hkey.alias("_hkey"),
+        F.concat(F.col("user_id"), F.lit("|"), F.col("reference_mileage_id")).alias("_ref"),
+        "mileage",
     )
-    older = points.filter(F.col("payload").isNotNull() & F.col("user_id").isNotNull()).select(
-        F.concat_ws("|", F.col("user_id").cast("string"), F.col("payload").cast("string")).alias("_mkey"),
+    mkey = F.concat_ws("|", F.col("user_id").cast("string"), F.col("payload").cast("string"))
+    candidates = points.filter(F.col("payload").isNotNull() & F.col("user_id").isNotNull())
+    older = may_match(candidates, mkey, key_filter(mentioned, F.col("_ref"))).select(
+        mkey.alias("_mkey"),
         F.col("id").alias("mig_id"),
         F.col("category_type").alias("mig_category_type"),
         F.col("created_at").alias("mig_created_at"),
         F.col("use_end_date").alias("mig_use_end_date"),
         F.col("request_id").alias("mig_request_id"),
     )
-    own = F.concat(F.col(user).cast("string"), F.lit("|"), F.col(payload).cast("string"))
-    traced = df.withColumn("_key", spread_null_key(F.when(unmatched, own), row_key)).join(
-        h, F.col("_key") == F.col("_hkey"), "left"
-    )
-    ref = F.concat(F.col("_huser"), F.lit("|"), F.col("reference_mileage_id"))
-    return (
-        traced.withColumn("_ref", spread_null_key(ref, row_key))
-        .join(older, F.col("_ref") == F.col("_mkey"), "left")
+    h = fold_copies(mentioned, "history_copies")
+    # a reference of its own for rows without one: they match nothing and do not meet under one null
+    traced = open_.join(h, F.col("_key") == F.col("_hkey"), "left")
+    traced = traced.withColumn("_ref", spread_null_key("_ref", F.xxhash64(*df.columns)))
+    found = (
+        traced.join(older, F.col("_ref") == F.col("_mkey"), "left")
         .withColumn("history_copies", F.coalesce("history_copies", F.lit(1)))
-        .drop("_key", "_hkey", "_huser", "reference_mileage_id", "_ref", "_mkey")
+        .drop("_key", "_hkey", "_ref", "_mkey")
     )
+    kinds = dict(found.dtypes)
+    added = [c for c in found.columns if c not in df.columns]
+    rest = settled.select(
+        *df.columns,
+        *[(F.lit(1) if c == "history_copies" else F.lit(None)).cast(kinds[c]).alias(c) for c in added],
+    )
+    return found.unionByName(rest)
 
 
 def point_rows(
@@ -230,7 +241,9 @@ def point_rows(
         .join(fa, F.col("_fk") == F.col("_fkey"), "left")
         .drop("_fk", "_fkey")
     )
-    traced = legacy_origin(joined, history, points, F.col("fa_version").isNull(), "_row")
+    # tracing reads the rows three times: for the keys that filter the history, to trace, and to pass by
+    joined = materialise(joined, "point-origins")
+    traced = legacy_origin(joined, history, points, F.col("fa_version").isNull())
     own_category = F.when(F.col("process_type") == ACCUM, F.col("category_type"))
     origin = F.coalesce(own_category, "fa_category", "mig_category_type")
     # the option and the department are looked up by the legacy category before the traced one
@@ -309,13 +322,16 @@ def share_points(rows: DataFrame) -> DataFrame:
     Shares are taken within ``share_key``; the rest is settled per detail and point. The two
     keys differ on purpose: detail and point ids share one number space in the first only.
     """
-    shared = allocate(rows, ["share_key"], "amount", "mileage", RANK_ORDER, "dist_amount", copies="copies")
-    return fix_residual(
-        shared,
-        ["detail_id", "point_id"],
+    # a detail and its point settle what is left: they divide the rows of a share key further
+    return share_out(
+        rows,
+        ["share_key"],
         "amount",
-        "dist_amount",
+        "mileage",
+        RANK_ORDER,
+        settle_by=["detail_id", "point_id"],
         keep_full=F.col("process_type") == ACCUM,
+        alloc_out="dist_amount",
         out="fixed_amount",
         copies="copies",
     )

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import as_date, greatest_strict, iso_day, month_key, round0
-from ledgerweave.operators.orders import first_match
+from ledgerweave.operators.orders import first_match, join_hierarchy
+from ledgerweave.sources.layout import ROOT_ORDER
 
 # --- Fixed values: labels of the settlement kinds and rounds -------------------------
 MANUAL_JOB = "manual_correction"
@@ -119,6 +120,7 @@ def seller_options(
         F.col("count").alias("option_count"),
         "delivery_complete_date",
         "purchase_confirm_date",
+        *[c for c in options.columns if c == ROOT_ORDER],
     )
     p = productions.select(
         F.col("id").alias("_production"),
@@ -128,12 +130,7 @@ def seller_options(
         F.col("name").alias("product_name"),
     )
     d = orders.select(F.col("id").alias("_order_id"), "payment_at")
-    return (
-        p.join(o, F.col("_production") == F.col("order_production_id"))
-        .join(d, F.col("_order") == F.col("_order_id"))
-        .filter(F.col(milestone.column).isNotNull())
-        .drop("_production", "order_production_id", "_order", "_order_id")
-    )
+    return join_hierarchy(o, p, d).filter(F.col(milestone.column).isNotNull()).drop("order_production_id")
 
 
 def settlement_branches(

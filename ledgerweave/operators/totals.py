@@ -1,11 +1,4 @@
-"""Work per key that stays safe when one key owns a large share of the rows.
-
-A window moves all rows of a key into one task. Here a key's totals are an aggregate with partial
-sums (one small row per key and task moves), and the aggregate is joined back to the rows. Both
-sides of that join are plain shuffles on a packed key, which the aggregate's own partitioning does
-not satisfy, so adaptive execution can split the row side of a hot key. Every key takes this
-way whatever its size, so results do not depend on any threshold.
-"""
+"""Work per key that stays safe when one key owns a large share of the rows: totals and lookups."""
 
 from __future__ import annotations
 
@@ -14,18 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def packed_key(names: Sequence[str]) -> Column:
-    """The keys as one struct: never null, and equal where all keys are equal or both null."""
-    return F.struct(*[F.col(n).alias(f"k{i}") for i, n in enumerate(names)])
-
-
-def order_struct(columns: Sequence[str]) -> Column:
-    """Struct that compares like ``order by`` of the columns, ascending with nulls last."""
-    parts: list[Column] = []
-    for i, c in enumerate(columns):
-        parts += [F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}")]
-    return F.struct(*parts)
+from ledgerweave.operators.segments import Segments
 
 
 def attach_totals(
@@ -37,32 +19,10 @@ def attach_totals(
     """Add sums of each key group to all its rows; null keys form a group too.
 
     ``first`` names a boolean column and an order: the column marks exactly one row of each key,
-    the first under the order (ascending, nulls last). Rows that tie are told apart by their other
-    columns; rows equal in every column are folded before the totals and unfolded after, so just
-    one of them is marked. The input is read at most twice.
+    the first under the order (ascending, nulls last, ties by content). By a segmented scan: the rows
+    are dealt to tasks once and never joined to an aggregate of all keys.
     """
-    copies = F.lit(1)
-    rows = df
-    if first is not None:
-        rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-        copies = F.col("_copies")
-        order = order_struct([*first[1], *[c for c in df.columns if c not in set(first[1])]])
-        rows = rows.withColumn("_order", order)
-    aggs = [F.sum(c * copies).alias(name) for name, c in sums.items()]
-    if first is not None:
-        aggs.append(F.min("_order").alias("_min"))
-    per_key = rows.groupBy(packed_key(keys).alias("_key")).agg(*aggs)
-    # a field of a struct is not the struct: the aggregate is shuffled again, as a plain join side
-    per_key = per_key.select(F.struct(F.col("_key").alias("key")).alias("_packed"), *sums, *(["_min"] if first else []))
-    joined = rows.withColumn("_own", F.struct(packed_key(keys).alias("key"))).join(
-        per_key, F.col("_own") == F.col("_packed")
-    )
-    if first is not None:
-        joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).withColumn(
-            first[0], (F.col("_order") == F.col("_min")) & (F.col("_copy") == 1)
-        )
-    marked = [first[0]] if first else []
-    return joined.select(*[c for c in df.columns if c not in {*sums, *marked}], *sums, *marked)
+    return Segments.of(df, keys).total(keys, sums, first).result()
 
 
 def join_unique(df: DataFrame, dim: DataFrame, key: str, dim_key: str) -> DataFrame:

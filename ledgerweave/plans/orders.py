@@ -20,7 +20,9 @@ def _paid_options(tables: Mapping[str, DataFrame], before: dt.date | None, only_
     paid = ops.paid_orders(tables["dump.orders"])
     if before is not None:
         paid = paid.filter(F.col("payment_at") < as_date(before).cast("timestamp_ntz"))
-    o = paid.select(F.col("id").alias("order_id"), "payment_at", "created_at", "imp_uid", "merchant_uid")
+    o = paid.select(
+        F.col("id").alias("_order_id"), F.col("id").alias("order_id"), "payment_at", "created_at", "imp_uid", "merchant_uid"
+    )
     p = tables["dump.order_productions"].select(
         F.col("id").alias("_production"), F.col("order_id").alias("_order"), "seller_id", "production_id", "delivery_method"
     )
@@ -28,11 +30,7 @@ def _paid_options(tables: Mapping[str, DataFrame], before: dt.date | None, only_
     if not only_missing_status:
         open_status = open_status | ~F.col("status").isin(*ops.FINAL_STATUS)
     oo = tables["dump.order_options"].filter(open_status).withColumnRenamed("id", "option_id")
-    return (
-        oo.join(p, F.col("order_production_id") == F.col("_production"))
-        .join(o, F.col("_order") == F.col("order_id"))
-        .drop("_production", "_order")
-    )
+    return ops.join_hierarchy(oo, p, o)
 
 
 def _newest(df: DataFrame, prefix: str) -> DataFrame:

@@ -54,8 +54,7 @@ def point_origin_rows(tables: Mapping[str, DataFrame], service_id: str, as_of: d
         service_id,
         as_of,
     )
-    # sharing reads the rows once for their totals and once for themselves, at two levels:
-    # write the joined rows once instead of running the join chain for each
+    # sharing looks for the ranges of its pieces first: write the rows instead of joining them twice
     return ops.share_points(materialise(rows, "point-rows"))
 
 

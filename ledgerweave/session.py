@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.ansi.enabled": "true",
+    # sides dealt alike by one of several join keys stay where they are: bucketed copies of the order hierarchy
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 # Only for sessions on one machine that name no shared folder, such as tests.
@@ -76,11 +78,23 @@ class Stages:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.made = spark, scratch_path(spark, name), 0
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, buckets: tuple[int, str] | None = None) -> DataFrame:
+        """``df`` as written; with ``buckets`` (number, column) equal values of the column share a bucket.
+
+        A bucketed table is read as dealt by that column, so grouping by it and more does not shuffle. It needs
+        a catalogue entry while it is made; the entry goes at once, the files stay.
+        """
         self.made += 1
         path = f"{self.root}/{self.made:03d}-{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        if buckets is None:
+            df.write.parquet(path)
+            out = self.spark.read.schema(df.schema).parquet(path)
+        else:
+            entry = f"stage_{uuid.uuid4().hex}"
+            df.write.bucketBy(*buckets).option("path", path).format("parquet").saveAsTable(entry)
+            out = self.spark.table(entry).select(*df.columns)
+            out.schema  # analysed while the entry is there
+            self.spark.sql(f"DROP TABLE {entry}")
         out.stage_path = path
         return out
 

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ledgerweave.sources.layout import ROOT_ORDER
 from ledgerweave.sources.schemas import SCHEMAS
 
 INFERENCE = "spark.sql.sources.partitionColumnTypeInference.enabled"
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
 
-def conform(df: DataFrame, name: str) -> DataFrame:
-    """Declared columns only, in their declared types; a missing column is an error.
+def conform(df: DataFrame, name: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Declared columns only, in their declared types, and those of ``keep``; a missing declared column is an error.
 
     Columns that already have the type stay bare, so filters on them still reach the scan.
     """
@@ -30,7 +33,8 @@ def conform(df: DataFrame, name: str) -> DataFrame:
             if have[f.name.lower()].dataType == f.dataType
             else F.col(f"`{f.name}`").cast(f.dataType).alias(f.name)
             for f in schema.fields
-        ]
+        ],
+        *[c for c in keep if c in df.columns],
     )
 
 
@@ -41,7 +45,8 @@ class Catalog(Mapping[str, DataFrame]):
     folders and ``tables`` metastore tables. ``renames`` maps physical column names of a
     table to the declared ones. A folder laid out by partition (``base_dt=...``,
     ``year=.../month=.../day=...``) is listed when it is opened, so partitions added since
-    the last run are seen without a repair step.
+    the last run are seen without a repair step. Bucketed copies of the order hierarchy
+    (``layout.write_hierarchy``) are named in ``tables``; reports then join them without a shuffle.
     """
 
     def __init__(
@@ -64,7 +69,7 @@ class Catalog(Mapping[str, DataFrame]):
             df = self._folder(self._path(name))
         for physical, declared in self.renames.get(name, {}).items():
             df = df.withColumnRenamed(physical, declared)
-        return conform(df, name)
+        return conform(df, name, (ROOT_ORDER,))
 
     def _path(self, name: str) -> str:
         if name in self.paths:
@@ -86,13 +91,13 @@ class Catalog(Mapping[str, DataFrame]):
             self.spark.conf.set(INFERENCE, before)
 
     def newest(self, name: str, column: str) -> str | None:
-        """Largest value of a table's first partition column by folder names, reading no file.
+        """Largest value of a table's first partition column, by folder names or the metastore, reading no file.
 
-        Nulls and folders without a data file do not count. ``None`` if the table is not a folder laid
-        out by that column, or no folder counts.
+        Nulls and partitions without a data file do not count. ``None`` if the table is not laid out by
+        that column, or no partition counts.
         """
         if name in self.tables:
-            return None
+            return self._newest_listed(self.tables[name], self._physical(name, column))
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
         files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         folders = {f.getPath().getName(): f.getPath() for f in files.listStatus(path) if f.isDirectory()}
@@ -104,6 +109,22 @@ class Catalog(Mapping[str, DataFrame]):
                     return value
         return None
 
+    def _physical(self, name: str, column: str) -> str:
+        return next((p for p, declared in self.renames.get(name, {}).items() if declared == column), column)
+
+    def _newest_listed(self, table: str, column: str) -> str | None:
+        """``newest`` of a metastore table: its partitions as the session catalogue lists them, no job."""
+        try:
+            listed = self.spark.sql(f"SHOW PARTITIONS {table}").collect()  # names of partitions only
+        except AnalysisException:  # not partitioned
+            return None
+        specs = [r[0].split("/", 1)[0].split("=", 1) for r in listed]
+        values = {unquote(s[1]) for s in specs if s[0].lower() == column.lower()} - {NULL_PARTITION, "null"}
+        for value in sorted(values, reverse=True):
+            if self.spark.table(table).filter(F.col(column).cast("string") == value).inputFiles():
+                return value
+        return None
+
     def __iter__(self) -> Iterator[str]:
         return iter(SCHEMAS)
 

@@ -12,8 +12,9 @@ from ledgerweave import plans
 from ledgerweave.functions import spread_null_key
 from ledgerweave.operators import dedupe, intervals, points
 from ledgerweave.operators import settlement as st
+from ledgerweave.operators.keyfilter import key_filter, may_match
 from ledgerweave.operators.lookup import floor_date_lookup
-from ledgerweave.operators.totals import attach_totals
+from ledgerweave.operators.segments import Segments
 
 
 def physical(df):
@@ -140,18 +141,23 @@ def test_aqe_splits_the_hot_key_of_a_lookup(spark, small_skew_thresholds):
 
 
 @pytest.mark.parametrize("hot", [False, True])
-def test_totals_read_the_input_at_most_twice_and_split_the_hot_key(spark, tmp_path, small_skew_thresholds, hot):
-    path = str(tmp_path / "rows")
+def test_totals_deal_rows_once_and_spread_the_hot_key(spark, small_skew_thresholds, hot):
     key = F.when((F.col("id") % 3 == 0) & F.lit(hot), F.lit(HOT)).otherwise(F.col("id") % 5000 + 100)
-    spark.range(0, N, numPartitions=6).select(key.alias("k"), "id", F.md5(F.col("id").cast("string")).alias("pay")).write.parquet(path)
-    out = attach_totals(spark.read.parquet(path), ["k"], {"n": F.lit(1)})
-    got = out.groupBy("k").agg(F.max("n").alias("n"), F.count("pay").alias("c"))
-    wrong = got.filter("n <> c")
-    assert wrong.count() == 0 and out.count() == N
-    assert physical(out).count("FileScan") <= 2
-    if hot:
-        got.collect()
-        assert "skew=true" in physical(got) or "isSkew=true" in physical(got)
+    df = spark.range(0, N, numPartitions=6).select(key.alias("k"), "id", F.md5(F.col("id").cast("string")).alias("pay"))
+    pieces = Segments.of(df, ["k"])
+    held = {r["_piece"]: r["count"] for r in pieces.rows.groupBy("_piece").count().collect()}
+    assert len(held) == 16 and max(held.values()) < 2 * N / 16  # however many rows one key has
+    out = pieces.total(["k"], {"n": F.lit(1)}, ("is_first", ["id"])).result()
+    # the rows of the result are read in their pieces; only carries, no longer than the pieces, move
+    main = physical(out).split("Window [")[0].count("Exchange")
+    assert main == physical(out).split("Window [")[0].count("BroadcastExchange") and "rangepartitioning" not in physical(out)
+    got = out.groupBy("k").agg(F.max("n").alias("n"), F.min("n").alias("m"), F.count("pay").alias("c"), F.count_if("is_first").alias("f"))
+    assert got.filter("n <> c or m <> c or f <> 1").count() == 0 and out.count() == N
+
+
+def test_the_report_of_allocated_rows_groups_no_whole_rows(spark, sf_dir):
+    plan = physical(QUERIES["allocate_residual"](spark, sf_dir))
+    assert "hashpartitioning(o_orderkey" not in plan and "SortMergeJoin" not in plan
 
 
 def test_early_sales_of_a_hot_option_meet_two_prices_only(spark, small_skew_thresholds):
@@ -180,6 +186,44 @@ def test_copies_are_folded_before_the_legacy_join(spark):
         [(1, 50, 900, "A", None, None, None), (2, 50, 800, "B", None, None, None)],
         "id bigint, user_id bigint, payload bigint, category_type string, created_at timestamp_ntz, use_end_date date, request_id string",
     )
-    out = points.legacy_origin(p, history, p, F.lit(True), "id")
+    out = points.legacy_origin(p, history, p, F.lit(True))
     got = {r.id: (r.history_copies, r.mig_id) for r in out.collect()}
     assert got == {1: (3000, 2), 2: (1, None)}
+
+
+def test_only_history_that_may_be_asked_for_is_shuffled(spark, tmp_path):
+    """A thousand untraced points against 200,000 history rows and older points: the key filter leaves few."""
+    n = 200_000
+    history = spark.range(0, n).selectExpr(
+        "CAST(id % 50000 AS string) AS user_id", "id AS mileage_id", "id AS mileage", "CAST(id + 1 AS string) AS reference_mileage_id"
+    )
+    older = spark.range(0, n).selectExpr(
+        "id", "id % 50000 AS user_id", "id AS payload", "'A' AS category_type", "CAST(null AS timestamp_ntz) AS created_at",
+        "CAST(null AS date) AS use_end_date", "CAST(null AS string) AS request_id",
+    )
+    history.write.parquet(str(tmp_path / "history"))
+    older.write.parquet(str(tmp_path / "older"))
+    history, older = spark.read.parquet(str(tmp_path / "history")), spark.read.parquet(str(tmp_path / "older"))
+    untraced = spark.range(0, n).selectExpr("id", "id % 50000 AS user_id", "id AS payload", "id % 200 <> 0 AS known")
+    key = F.concat_ws("|", "user_id", F.col("mileage_id").cast("string"))
+    wanted = untraced.filter("not known").select(F.concat(F.col("user_id").cast("string"), F.lit("|"), F.col("payload").cast("string")).alias("k"))
+    kept = may_match(history, key, key_filter(wanted, F.col("k")))
+    assert 1000 <= kept.count() < 1100 and kept.columns == history.columns
+    assert kept.join(wanted, key == F.col("k"), "left_semi").count() == 1000
+    out = points.legacy_origin(untraced, history, older, ~F.col("known"))
+    assert out.count() == n and out.filter("mileage is not null").count() == 1000
+    # both filters are looked up below the shuffles of what they filter
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = physical(out)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for column in ("reference_mileage_id:string", "category_type:string"):  # of the scans of history and older points
+        above = plan[: plan.index(column)].rsplit("Exchange hashpartitioning", 1)[1]
+        assert "BroadcastHashJoin" in above, column
+
+
+def test_key_filter_of_nulls_and_nothing(spark):
+    df = spark.createDataFrame([(1,), (None,), (2,)], "k int")
+    assert may_match(df, F.col("k"), key_filter(df.filter("k = 1"), F.col("k"))).collect() == [(1,)]
+    assert may_match(df, F.col("k"), key_filter(df.filter("k is null"), F.col("k"))).collect() == []
