@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,8 @@ from ledgerweave.llm.common import LOWER, UPPER, query, table
 from ledgerweave.session import Stages
 
 MIN_DOCS, TERM_RANKS, SCALE = 3, 200, 1_000_000_000
-SPILL = 400_000  # entries of stripes that a task holds before it hands them on
+SPILL = 800_000  # entries of stripes that a task holds before it hands them on
+ROWS = 20_000  # stripes that are handed on, or merged, at a time
 BLOCK = 1_000_000  # cells of the tables that a task fills at a time
 STRIPE = "lang string, term string, df long, sources array<string>, counts array<long>"
 # letters in lower case, all other ASCII as a space, bytes of longer characters as they are
@@ -34,17 +36,17 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LETTERS).split()
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    lang, term, df, sources, counts = zip(*rows) if rows else ((),) * 5
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(lang, pa.string()),
-            pa.array(term, pa.string()),
-            pa.array(df, pa.int64()),
-            pa.array(sources, pa.list_(pa.string())),
-            pa.array(counts, pa.list_(pa.int64())),
-        ],
-        ["lang", "term", "df", "sources", "counts"],
+def _stripes(lang: pa.Array, term: pa.Array, df: np.ndarray, sources: pa.Array, counts: np.ndarray, size: np.ndarray) -> pa.Table:
+    """Stripes of ``size`` entries each, the entries of all of them in a row."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+    return pa.table(
+        {
+            "lang": lang,
+            "term": term,
+            "df": pa.array(df, pa.int64()),
+            "sources": pa.ListArray.from_arrays(offsets, sources),
+            "counts": pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64())),
+        }
     )
 
 
@@ -52,27 +54,37 @@ def fold_stripes(docs: DataFrame, spill: int = SPILL) -> DataFrame:
     """Unmerged stripes of text, lang, source rows; one without a term lists the sources a task has seen."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
         holders: dict[str, Counter] = defaultdict(Counter)
         size = 0
 
         def emit() -> Iterator[pa.RecordBatch]:
-            stripes: dict[tuple, list] = {}
-            for (lang, source), found in counts.items():
-                for term, n in [(None, 0), *found.items()]:
-                    names, times = stripes.setdefault((lang, term), ([], []))
-                    names.append(source), times.append(n)
-            rows = [
-                (lang, term and term.decode(), holders[lang][term] if term else 0, names, times)
-                for (lang, term), (names, times) in stripes.items()
-            ]
-            for i in range(0, len(rows), 20_000):
-                yield _batch(rows[i : i + 20_000])
+            for lang, by_source in counts.items():
+                names = pa.array(list(by_source), pa.string())
+                found = list(by_source.values())
+                terms = pa.array([t for c in found for t in c], pa.binary()).dictionary_encode()
+                n = np.fromiter((x for c in found for x in c.values()), np.int64)
+                source = np.repeat(np.arange(len(found)), [len(c) for c in found])
+                at = terms.indices.to_numpy()
+                order = np.argsort(at, kind="stable")
+                held = holders[lang]
+                df = np.fromiter(map(held.__getitem__, terms.dictionary.to_pylist()), np.int64, len(terms.dictionary))
+                folded = _stripes(
+                    pa.repeat(pa.scalar(lang), len(df)),
+                    terms.dictionary.cast(pa.string()),
+                    df,
+                    names.take(pa.array(source[order])),
+                    n[order],
+                    np.bincount(at, minlength=len(df)),
+                )
+                seen = _stripes(pa.array([lang]), pa.nulls(1, pa.string()), [0], names, [0] * len(names), [len(names)])
+                yield from seen.to_batches()
+                yield from folded.to_batches(ROWS)
 
         for batch in batches:
             for text, lang, source in zip(*(c.to_pylist() for c in batch.columns)):
                 terms = terms_of(text)
-                in_source, in_lang = counts[lang, source], holders[lang]
+                in_source, in_lang = counts[lang][source], holders[lang]
                 size -= len(in_source) + len(in_lang)
                 in_source.update(terms), in_lang.update(set(terms))
                 size += len(in_source) + len(in_lang)
@@ -86,29 +98,55 @@ def fold_stripes(docs: DataFrame, spill: int = SPILL) -> DataFrame:
     return plain.mapInArrow(fold, STRIPE)
 
 
+def _merged(t: pa.Table, last: bool, min_docs: int) -> tuple[pa.Table, pa.Table]:
+    """Stripes of equal keys added up, and the rows of the last key, which go on unless ``last``."""
+    lang, term = (pc.fill_null(t[c].combine_chunks(), "") for c in ("lang", "term"))  # no term is empty
+    changed = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1]))
+    first = np.concatenate([[0], np.flatnonzero(changed.to_numpy(zero_copy_only=False)) + 1])
+    rest = t.slice(len(t) if last else first[-1])
+    t, first = t.slice(0, len(t) - len(rest)), first if last else first[:-1]
+    if not len(t):
+        return t, rest
+    key = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t))))
+    size = pc.list_value_length(t["counts"]).to_numpy()
+    source = pc.list_flatten(t["sources"]).combine_chunks().dictionary_encode()
+    kinds = len(source.dictionary)
+    code = np.repeat(key, size) * kinds + source.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    entry = np.flatnonzero(np.diff(code[order], prepend=-1))
+    count = np.add.reduceat(pc.list_flatten(t["counts"]).to_numpy()[order], entry)
+    at, name = np.divmod(code[order][entry], kinds)
+    df = np.add.reduceat(t["df"].to_numpy(), first)
+    heads = t.take(pa.array(first))
+    keep = (df >= min_docs) | heads["term"].is_null().to_numpy()
+    stays = keep[at]
+    size = np.bincount(at[stays], minlength=len(df))[keep]
+    whole = _stripes(
+        heads["lang"].filter(pa.array(keep)),
+        heads["term"].filter(pa.array(keep)),
+        df[keep],
+        source.dictionary.take(pa.array(name[stays])),
+        count[stays],
+        size,
+    )
+    return whole, rest
+
+
 def merge_stripes(stripes: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """One stripe per language and term that stands in ``min_docs`` documents, and one without a term per language."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, df, held, done = None, 0, Counter(), []
-
-        def close() -> None:
-            if key is not None and (key[1] is None or df >= min_docs):
-                done.append((*key, df, list(held), list(held.values())))
-
+        held, rows = [], 0
         for batch in batches:
-            for lang, term, n, sources, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if (lang, term) != key:
-                    close()
-                    key, df, held = (lang, term), 0, Counter()
-                df += n
-                for source, times in zip(sources, counts):
-                    held[source] += times
-            if len(done) >= 10_000:
-                yield _batch(done)
-                done = []
-        close()
-        yield _batch(done)
+            if batch.num_rows:
+                held.append(pa.Table.from_batches([batch]))
+                rows += batch.num_rows
+            if rows >= ROWS:
+                whole, rest = _merged(pa.concat_tables(held).combine_chunks(), False, min_docs)
+                yield from whole.to_batches()
+                held, rows = [rest], len(rest)
+        if rows:
+            yield from _merged(pa.concat_tables(held).combine_chunks(), True, min_docs)[0].to_batches()
 
     dealt = stripes.repartition("lang", "term").sortWithinPartitions("lang", "term")
     return dealt.mapInArrow(merge, STRIPE)
@@ -189,58 +227,71 @@ def emit_divergences(stripes: DataFrame, known: dict[str, Sources]) -> DataFrame
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, key, lo, hi, total, whole = None, None, 0, 0, None, False
-        terms, entries, size = [], [], 0
 
-        def out(part: str, sources: list, items: list, values: np.ndarray) -> pa.RecordBatch:
-            n = len(sources)
+        def out(part: str, sources: np.ndarray, items: pa.Array, values: np.ndarray) -> pa.RecordBatch:
+            n = len(values)
             return pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.string()) for c in ([part] * n, [key[0]] * n, sources, items)), pa.array(values, pa.int64())],
+                [
+                    pa.repeat(pa.scalar(part), n),
+                    pa.repeat(pa.scalar(key[0]), n),
+                    pa.array(of.names, pa.string()).take(pa.array(sources)),
+                    items,
+                    pa.array(values, pa.int64()),
+                ],
                 ["part", "lang", "source", "item", "value"],
             )
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal terms, entries, size
-            if not terms:
-                return
-            length = np.array([len(s) for s, _ in entries])
-            source = np.array([of.at[x] for s, _ in entries for x in s], np.int64)
-            count = np.array([x for _, c in entries for x in c], np.int64)
-            term = np.repeat(np.arange(len(terms)), length)
+        def block(terms: pa.Array, size: np.ndarray, source: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Add some terms' stripes to the sums, and tell those terms that a source has more of."""
+            term = np.repeat(np.arange(len(size)), size)
             share = shares(count, of.size[source])
             add_pairs(total, lo, hi, of, term, source, share)
             if key[1] == 0:
-                in_lang = np.add.reduceat(count, np.cumsum(length) - length)
+                in_lang = np.add.reduceat(count, np.cumsum(size) - size)  # a kept term has entries
                 q = shares(in_lang, of.whole)[term]
                 more = np.flatnonzero((count > 0) & (share > q))
-                yield out("term", [of.names[i] for i in source[more]], [terms[i] for i in term[more]], gap(share, q)[more])
-            terms, entries, size = [], [], 0
+                yield out("term", source[more], terms.take(pa.array(term[more])), gap(share, q)[more])
 
         def close() -> Iterator[pa.RecordBatch]:
             if key is None:
                 return
-            yield from flush()
             sums = total + of.kept * gap(of.absent[lo:hi, None], of.absent[None]) if whole else total
             told = np.ones(sums.shape, bool) if whole else sums != 0
             told[np.arange(hi - lo), np.arange(lo, hi)] = False
             one, other = np.nonzero(told)
             for i in range(0, len(one), BLOCK):
                 a, b = one[i : i + BLOCK], other[i : i + BLOCK]
-                yield out("pair", [of.names[lo + x] for x in a], [of.names[x] for x in b], sums[a, b])
+                yield out("pair", lo + a, pa.array(of.names, pa.string()).take(pa.array(b)), sums[a, b])
 
         for batch in batches:
-            for lang, tile, term, sources, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if (lang, tile) != key:
+            lang, tile = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+            at = lang.indices.to_numpy()
+            edges = np.flatnonzero(np.diff(at, prepend=-1) | (np.diff(tile, prepend=-1) != 0))
+            for begin, end in zip(edges, np.append(edges[1:], batch.num_rows)):
+                mine = (lang.dictionary[int(at[begin])].as_py(), int(tile[begin]))
+                if mine != key:
                     yield from close()
-                    key, of, whole = (lang, tile), shared.value[lang], False
-                    lo, hi = of.tile(tile)
+                    key, of, whole = mine, shared.value[mine[0]], False
+                    lo, hi = of.tile(key[1])
                     total = np.zeros((hi - lo, len(of.names)), np.int64)
-                if term is None:
-                    whole = True
-                    continue
-                terms.append(term), entries.append((sources, counts))
-                size += max(len(sources), 1) * len(of.names)
-                if size >= BLOCK:
-                    yield from flush()
+                part = pa.Table.from_batches([batch.slice(begin, end - begin)])
+                terms = part["term"].combine_chunks()
+                none = terms.is_null()
+                whole = whole or none.true_count > 0
+                part, terms = part.filter(pc.invert(none)), terms.filter(pc.invert(none))
+                size = pc.list_value_length(part["counts"]).to_numpy()
+                named = pc.list_flatten(part["sources"]).combine_chunks().dictionary_encode()
+                numbers = np.array([of.at[x] for x in named.dictionary.to_pylist()], np.int64)
+                source = numbers[named.indices.to_numpy()] if len(named) else np.zeros(0, np.int64)
+                count = pc.list_flatten(part["counts"]).to_numpy()
+                # so many terms at a time that their tables of entries x sources stay below the block
+                reach = np.cumsum(size) * len(of.names) // BLOCK
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(reach)) + 1, [len(size)]])
+                ends = np.concatenate([[0], np.cumsum(size)])
+                for i, j in zip(cuts[:-1], cuts[1:]):
+                    if j > i:
+                        inside = slice(ends[i], ends[j])
+                        yield from block(terms.slice(i, j - i), size[i:j], source[inside], count[inside])
         yield from close()
 
     tiled = stripes.join(F.broadcast(tiles), F.col("lang") == F.col("_lang")).select(
