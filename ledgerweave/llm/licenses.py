@@ -9,6 +9,7 @@ the span is verified by the share of the notice's pairs that it holds.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -65,32 +66,47 @@ def template_pairs(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> Dat
 
 
 def scan_licenses(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drift: int = DRIFT, coverage: float = COVERAGE
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    drift: int = DRIFT,
+    coverage: float = COVERAGE,
+    phrases: Sequence[tuple[str, str]] = PHRASES,
+    notices: Sequence[tuple[str, str]] = NOTICES,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     ``spans`` holds (label, start, end, coverage) of every verified span, words from 0, end
     exclusive. ``score`` is the best coverage of a verified span, 0 without one. Null or empty
-    text has no words and no spans. Rows with equal or null ids keep rows of their own; other
-    columns are ignored. The votes of one text meet in one task, as its words do.
+    text has no words and no spans, an empty table no rows. Texts are scanned whole, in time linear in their
+    length; of spans that tie in all but the template both are listed. Rows with equal or null ids keep
+    rows of their own; other columns are ignored. The votes of one text meet in one task, as its words do.
+    ``phrases`` and ``notices`` are (label, text in lower-case words) pairs.
     """
-    pairs = F.broadcast(template_pairs(docs.sparkSession))  # fixed size
+    pairs = F.broadcast(template_pairs(docs.sparkSession, phrases, notices))  # the caller's list
     w = docs.select(
         F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), words(F.col(text_col)).alias("_w")
     )
-    hashes = F.transform("_w", lambda a, i: F.xxhash64(a, F.get("_w", i + 1)))
+    # a pair carries its two words, so no exploded row carries the text
+    rolling = F.transform(
+        "_w",
+        lambda a, i: F.struct(
+            F.xxhash64(a, F.get("_w", i + 1)).alias("hash"), a.alias("first"), F.get("_w", i + 1).alias("second")
+        ),
+    )
     # one more element per text, so that a text without votes still leaves a row
-    rolled = w.select("*", F.posexplode(F.concat(hashes, F.array(F.lit(None).cast("long")))).alias("_pos", "_hash"))
+    none = F.array(F.lit(None).cast("struct<hash:bigint,first:string,second:string>"))
+    rolled = w.select("_row", "_id", F.size("_w").cast("long").alias("n_words"), F.concat(rolling, none).alias("_pairs"))
+    rolled = rolled.select("_row", "_id", "n_words", F.posexplode("_pairs").alias("_pos", "_pair"))
     same = (
-        (F.col("_hash") == F.col("hash"))
-        & (F.get("_w", F.col("_pos")) == F.col("w1"))
-        & (F.get("_w", F.col("_pos") + 1) == F.col("w2"))
+        (F.col("_pair.hash") == F.col("hash"))
+        & (F.col("_pair.first") == F.col("w1"))
+        & (F.col("_pair.second") == F.col("w2"))
     )
-    n_words = F.size("_w").cast("long")
     votes = (
         rolled.join(pairs, same, "left")
-        .filter(F.col("template").isNotNull() | (F.col("_pos") == F.size("_w")))
-        .select("_row", "_id", n_words.alias("n_words"), "template", "label", "phrase", "n_pairs", "at", "_pos")
+        .filter(F.col("template").isNotNull() | (F.col("_pos") == F.col("n_words")))
+        .select("_row", "_id", "n_words", "template", "label", "phrase", "n_pairs", "at", "_pos")
     )
     keys = ["_row", "_id", "n_words", "template", "label", "phrase", "n_pairs"]
     diagonals = (

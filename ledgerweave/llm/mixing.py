@@ -10,52 +10,63 @@ the document, with the error of larger documents carried on to smaller ones.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerweave.llm.common import NOT_SPACE, query, table
+from ledgerweave.operators.numbering import number_rows
 from ledgerweave.session import Stages
 
 WEIGHTS, LIMIT = (5.0, 2.0, 1.0), 3.0
-BINS, TILT, MAX_SOURCES = 256, 1 / 32, 100_000
-
-
-def water_fill(sizes: list[int], weights: list[float], limit: float = LIMIT) -> list[float]:
-    """Shares of ``sum(sizes)`` by weight, none above ``limit`` times its size; the excess goes to the rest."""
-    targets, free, rest = [0.0] * len(sizes), list(range(len(sizes))), float(sum(sizes))
-    while free:
-        per = rest / sum(weights[i] for i in free)
-        over = [i for i in free if per * weights[i] > limit * sizes[i]]
-        for i in over or free:
-            targets[i] = limit * sizes[i] if over else per * weights[i]
-        rest -= sum(targets[i] for i in over)
-        free = [i for i in free if i not in set(over)] if over else []
-    return targets
-
-
-def _plan_copies(frame: pd.DataFrame, limit: float) -> pd.DataFrame:
-    """Copies and hash threshold of each size class of one source, from its histogram (bounded rows)."""
-    target, out, carry = float(frame["target"].iloc[0]), [], 0.0
-    by_class = {k: g.sort_values("bin") for k, g in frame.groupby("octave")}
-    expected = {k: float(g["rate"].iloc[0]) * float(g["tokens"].sum()) for k, g in by_class.items()}
+BINS, TILT = 256, 1 / 32
+
+
+def fill_level(sources: DataFrame, limit: float = LIMIT) -> float:
+    """The level up to which ``weight`` fills all sources that ``limit`` times their ``size`` does not stop before.
+
+    Targets ``min(limit * size, level * weight)`` add up to all sizes. Each round counts the sources below
+    the level by their weight, exactly, and raises it by what those stopped leave over.
+    """
+    level, stopped = 0.0, -1
+    while True:
+        below = F.col("size") * limit < F.lit(level) * F.col("weight")
+        rows = sources.groupBy("weight", below.alias("below")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+        rows = rows.collect()  # two rows per weight
+        count = sum(r["n"] for r in rows if r["below"])
+        share = sum(r["weight"] * r["n"] for r in rows if not r["below"])
+        if count == stopped or not share:
+            return level
+        rest = float(sum(r["size"] for r in rows)) - limit * sum(r["size"] for r in rows if r["below"])
+        level, stopped = rest / share, count
+
+
+def plan_copies(
+    target: float, cells: Sequence[tuple[int, int, int, float]], limit: float
+) -> list[tuple[int, int, int]]:
+    """(octave, copies, cut of the hash) of each size class of one source, from its cells octave, bin, tokens, rate."""
+    by_class: dict[int, list] = {}
+    for octave, bin_, tokens, rate in sorted(cells):
+        by_class.setdefault(octave, []).append((bin_, tokens, rate))
+    held = {k: float(sum(t for _, t, _ in g)) for k, g in by_class.items()}
+    expected = {k: g[0][2] * held[k] for k, g in by_class.items()}
     scale = target / total if (total := sum(expected.values())) else 0.0
-    order = sorted(by_class, reverse=True)
 
     def settle(k: int, want: float) -> tuple[int, int, float]:
-        g, tokens = by_class[k], float(by_class[k]["tokens"].sum())
-        rate = min(limit, max(0.0, want / tokens)) if tokens else 0.0
+        rate = min(limit, max(0.0, want / held[k])) if held[k] else 0.0
         copies = min(int(math.floor(rate)), int(limit))
-        extra, took, cut = (rate - copies) * tokens, 0.0, 0
-        for b, t in zip(g["bin"], g["tokens"]):
-            if abs(took + t - extra) > abs(took - extra):
+        extra, took, cut = (rate - copies) * held[k], 0.0, 0
+        for bin_, tokens, _ in by_class[k]:
+            if abs(took + tokens - extra) > abs(took - extra):
                 break
-            took, cut = took + float(t), int(b) + 1
-        return copies, cut, copies * tokens + took
+            took, cut = took + tokens, bin_ + 1
+        return copies, cut, copies * held[k] + took
 
-    for k in order:
-        want = min(limit * float(by_class[k]["tokens"].sum()), expected[k] * scale) + carry
+    out, carry = [], 0.0
+    for k in sorted(by_class, reverse=True):
+        want = min(limit * held[k], expected[k] * scale) + carry
         copies, cut, took = settle(k, want)
         carry = want - took
         out.append([k, copies, cut, took])
@@ -65,9 +76,7 @@ def _plan_copies(frame: pd.DataFrame, limit: float) -> pd.DataFrame:
         row[1], row[2], took = settle(row[0], row[3] + carry)
         carry += row[3] - took
         row[3] = took
-    got = pd.DataFrame([r[:3] for r in out], columns=["octave", "copies", "cut"])
-    got.insert(0, "rank", int(frame["rank"].iloc[0]))
-    return got
+    return [(k, copies, cut) for k, copies, cut, _ in out]
 
 
 def mix(
@@ -84,8 +93,9 @@ def mix(
     Sources in code-point order, null last, take the weights in turn, over and over. Sizes are
     runs of non-space characters, or ``size``. Null text has size 0 and no copies; an empty table
     stays empty. Repeated rows of one id get the same copies. Columns of the result's names are
-    replaced. Decisions depend on id, size and source only, so reruns agree. Sources are names of
-    collections: one row per source comes to the driver, more than ``MAX_SOURCES`` is an error.
+    replaced. Decisions depend on id, size and source only, so reruns agree; documents whose hashes tie go
+    together. Texts are counted whole, whatever their length. There may be any number of sources: all that
+    is kept of them is a table.
     """
     spark = docs.sparkSession
     stages = Stages(spark, "mix")
@@ -105,43 +115,55 @@ def mix(
     cells = stages.write(
         sized.groupBy("_null", "_source", "_octave", "_bin").agg(F.sum("mix_size").alias("tokens")), "histogram"
     )
-    sources = cells.groupBy("_null", "_source").agg(F.sum("tokens").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(sources) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sources.sort(key=lambda r: (r["_null"], r["_source"]))
-    sizes = [r["size"] for r in sources]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(sizes))], limit)
-    ranked = spark.createDataFrame(
-        [(r["_null"], r["_source"], i, r["size"], targets[i]) for i, r in enumerate(sources)],
-        "_null boolean, _source string, _rank int, _source_size long, _target double",
-    )
-    ranked = F.broadcast(ranked)  # at most MAX_SOURCES rows, checked above
+    sources = cells.groupBy("_null", "_source").agg(F.sum("tokens").alias("size"))
+    numbered = number_rows(sources, [F.col("_null"), F.col("_source")], "_number", "mix-sources")
+    turn = F.col("_rank") % len(weights)
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), turn.cast("int") + 1)
+    ranked = numbered.withColumn("_rank", F.col("_number") - 1).withColumn("weight", weight).drop("_number")
+    level = fill_level(ranked, limit)
+    target = F.least(F.col("size") * F.lit(float(limit)), F.lit(level) * F.col("weight"))
+    ranked = ranked.select("_null", "_source", "_rank", F.col("size").alias("_source_size"), target.alias("_target"))
+    ranked = stages.write(ranked, "sources")
+
     x = 1 + F.greatest(F.col("octave"), F.lit(0)) * TILT
     classes = stages.write(
         cells.join(ranked, ["_null", "_source"]).select(F.col("_rank").alias("rank"), F.col("_target").alias("target"), F.col("_octave").alias("octave"), F.col("_bin").alias("bin"), "tokens"),
         "classes",
     )
-    dual = classes.filter("tokens > 0").groupBy("rank", "octave").agg(F.sum("tokens").alias("tokens"))
-    lam = [0.0] * len(sizes)
+    dual = classes.filter("tokens > 0").groupBy("rank", "target", "octave").agg(F.sum("tokens").alias("tokens"))
+    dual = stages.write(dual, "dual")
+    state = dual.select("rank").distinct().withColumn("lam", F.lit(0.0))
     for _ in range(iterations):
-        state = spark.createDataFrame(list(enumerate(lam)), "rank int, lam double")
         pull = F.col("tokens") * F.exp(F.col("lam") * x)
-        sums = dual.join(F.broadcast(state), "rank").groupBy("rank").agg(F.sum(pull).alias("f"), F.sum(pull * x).alias("d"))
-        worst = 0.0
-        for r in sums.collect():
-            i = r["rank"]
-            if targets[i] > 0:
-                lam[i] -= max(-2.0, min(2.0, (r["f"] - targets[i]) / r["d"]))
-                worst = max(worst, abs(r["f"] / targets[i] - 1))
-        if worst < 1e-6:
+        sums = dual.join(state, "rank").groupBy("rank", "target", "lam").agg(F.sum(pull).alias("f"), F.sum(pull * x).alias("d"))
+        step = F.least(F.lit(2.0), F.greatest(F.lit(-2.0), (F.col("f") - F.col("target")) / F.col("d")))
+        some = F.col("target") > 0
+        moved = sums.select(
+            "rank",
+            F.when(some, F.col("lam") - step).otherwise(F.col("lam")).alias("lam"),
+            F.when(some, F.abs(F.col("f") / F.col("target") - 1)).alias("off"),
+        )
+        state = stages.write(moved, "lambda")
+        worst = state.agg(F.max("off")).first()[0]
+        if worst is None or worst < 1e-6:
             break
-    state = F.broadcast(spark.createDataFrame(list(enumerate(lam)), "rank int, lam double"))
-    rated = classes.join(state, "rank").withColumn("rate", F.least(F.lit(limit), F.exp(F.col("lam") * x))).drop("lam")
-    plan = rated.groupBy("rank").applyInPandas(
-        lambda g: _plan_copies(g, limit), "rank int, octave int, copies int, cut int"
-    )
-    plan = plan.toDF("_rank", "_octave", "_copies", "_cut")
-    plan = F.broadcast(stages.write(plan, "copies"))  # one row per source and power of two
+    lam = F.coalesce("lam", F.lit(0.0))  # a source without tokens has none
+    rated = classes.join(state.select("rank", "lam"), "rank", "left").withColumn("rate", F.least(F.lit(float(limit)), F.exp(lam * x)))
+    # at most BINS cells per power of two
+    gathered = rated.groupBy("rank", "target").agg(F.collect_list(F.struct("octave", "bin", "tokens", "rate")).alias("cells"))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for rank, target, held in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                own = [(c["octave"], c["bin"], c["tokens"], c["rate"]) for c in held]
+                out += [(rank, *row) for row in plan_copies(target, own, limit)]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            columns = [pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["_rank", "_octave", "_copies", "_cut"])
+
+    plan = gathered.mapInArrow(settle, "_rank long, _octave int, _copies int, _cut int")
+    plan = stages.write(plan, "copies")
     chosen = (
         sized.join(ranked, ["_null", "_source"])
         .join(plan, ["_rank", "_octave"], "left")

@@ -192,7 +192,8 @@ def link_vectors(
     with a null id or label, and those that are null, empty, zero or hold null or non-finite
     components, link with nothing. ``n_links`` counts the other rows linked with a row; repeated
     rows are vectors of their own that share their id's component. ``component_id`` is the smallest
-    vec_id reachable, a null id keeps null and is kept. Other columns are ignored.
+    vec_id reachable, a null id keeps null and is kept. Magnitudes do not matter, however large or
+    small; an empty table has no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
     stages = Stages(spark, "vectors")
@@ -206,10 +207,13 @@ def link_vectors(
         & F.exists(e, lambda v: v != 0)
     )
     fine = F.coalesce(fine, F.lit(False))
+    # a power of two changes no digit and no cosine, and keeps squares from overflowing or vanishing
+    largest = F.array_max(F.transform(e, F.abs))
+    scaled = F.transform(e, lambda v: v / F.pow(F.lit(2.0), F.floor(F.log2(largest))))
     rows = vectors.select(
         F.monotonically_increasing_id().alias("uid"),
         F.col("vec_id").cast("long").alias("id"),
-        F.when(fine, e).alias("embedding"),
+        F.when(fine, scaled).alias("embedding"),
         F.when(fine, F.xxhash64(F.col("label").cast("string"), F.size("embedding"))).alias("grp"),
     )
     rows = stages.write(rows, "rows")
