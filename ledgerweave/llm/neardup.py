@@ -70,7 +70,7 @@ def sketch(sets: np.ndarray) -> np.ndarray:
     return low
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, digest of the words, bits (batches of one-bit hashes), bands of each text."""
     batches_of(docs.sparkSession)
 
@@ -80,7 +80,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             count, digest, low = [], [], []
             for text in batch.column(1).to_pylist():
                 t = tokens(text)
-                s = shingles(words.hashes(t), SHINGLE)
+                s = shingles(words.hashes(t), shingle)
                 count.append(len(s))
                 digest.append(hashlib.md5(b" ".join(t), usedforsecurity=False).digest())
                 low.append(sketch(s))
@@ -129,8 +129,8 @@ def _screen(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.filter(_alike("na", "bits_a", "nb", "bits_b", HASHES // BATCH)).select("a", "b").distinct()
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of at least the wanted ids, before anything is shuffled.
+def _texts(docs: DataFrame, ids: DataFrame, repeated: bool = False) -> DataFrame:
+    """(id, text) of at least the wanted ids, before anything is shuffled; each text of an id once if ids are ``repeated``.
 
     A bitmap over hashes of the ids, of a fixed size, goes to all executors. It lets other texts pass
     where hashes meet, so a join with the ids still follows; it never holds a wanted one back.
@@ -140,12 +140,13 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     bitmap = ids.withColumns(placed).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
     kept = texts.withColumns(placed).join(F.broadcast(bitmap), "_word")  # at most FILTER / 64 rows
-    return kept.filter(F.expr("(shiftrightunsigned(_bits, _bit) & 1L) = 1L")).select("id", "text")
+    kept = kept.filter(F.expr("(shiftrightunsigned(_bits, _bit) & 1L) = 1L")).select("id", "text")
+    return kept.distinct() if repeated else kept
 
 
-def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE, repeated: bool = False) -> DataFrame:
     """Pairs (a, b) whose full shingle sets have the similarity."""
-    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), repeated)
     joined = (
         pairs.join(texts.toDF("a", "text_a"), "a")
         .join(texts.toDF("b", "text_b"), "b")
@@ -156,8 +157,9 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         words, held = Words(), OrderedDict()  # sets of the last few hubs
 
         def full(key: int, text: str | None) -> np.ndarray:
+            key = (key, text)  # a repeated id may stand for several texts
             if key not in held:
-                held[key] = shingles(words.hashes(tokens(text)), SHINGLE)
+                held[key] = shingles(words.hashes(tokens(text)), shingle)
                 if len(held) > 32:
                     held.popitem(last=False)
             return held[key]
@@ -166,7 +168,7 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             ids = [batch.column(i).to_pylist() for i in range(4)]
             keep = []
             for a, b, ta, tb in zip(*ids):
-                sa, sb = full(a, ta), shingles(words.hashes(tokens(tb)), SHINGLE)
+                sa, sb = full(a, ta), shingles(words.hashes(tokens(tb)), shingle)
                 shared = len(np.intersect1d(sa, sb, assume_unique=True))
                 keep.append(shared > 0 and 100 * shared >= PERCENT * (len(sa) + len(sb) - shared))
             yield pa.RecordBatch.from_arrays(
@@ -176,12 +178,12 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(check, "a long, b long")
 
 
-def _compare_tile(t: pa.Table) -> pa.Table:
+def _compare_tile(t: pa.Table, shingle: int = SHINGLE) -> pa.Table:
     """Links (a, b) between components within a tile; a few that join them, not all."""
     main, ids, part = (np.asarray(t[c]) for c in ("main", "id", "component"))
     bucket, lo, hi = np.asarray(t["bucket"]), int(t["lo"][0].as_py()), int(t["hi"][0].as_py())
     words = Words()
-    sets = [shingles(words.hashes(tokens(x)), SHINGLE) for x in t["text"].to_pylist()]
+    sets = [shingles(words.hashes(tokens(x)), shingle) for x in t["text"].to_pylist()]
     n, low = np.array([len(s) for s in sets]), np.stack([sketch(s) for s in sets])
     open_ = (main[:, None] == main[None, :]) & (part[:, None] != part[None, :])
     open_ &= np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * PERCENT
@@ -215,7 +217,9 @@ def _compare_tile(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _join_open(rest: DataFrame, docs: DataFrame, stages: Stages) -> DataFrame:
+def _join_open(
+    rest: DataFrame, docs: DataFrame, stages: Stages, shingle: int = SHINGLE, repeated: bool = False
+) -> DataFrame:
     """Links (a, b) between the components of each group ``main``: rows main, id, component.
 
     Groups of more than ``TILE`` members are cut into tiles of two buckets each; small groups share
@@ -240,25 +244,26 @@ def _join_open(rest: DataFrame, docs: DataFrame, stages: Stages) -> DataFrame:
     )
     tiled = stages.write(tiled, "tiles")
     return (
-        tiled.join(_texts(docs, tiled.select("id")), "id")
+        tiled.join(_texts(docs, tiled.select("id"), repeated), "id")
         .groupBy("big", "grp", "lo", "hi")
-        .applyInArrow(_compare_tile, "a long, b long")
+        .applyInArrow(lambda t: _compare_tile(t, shingle), "a long, b long")
     )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are runs of non-space characters with A-Z in lower case; a text's set holds its distinct
-    4-word shingles, or its whole sequence if it has fewer words. Texts without words (null, empty)
+    shingles of ``shingle`` words, or its whole sequence if it has fewer words. Texts are read whole,
+    whatever their length; an empty table has no rows. Texts without words (null, empty)
     have no set and link with nothing. Texts link with a Jaccard similarity of at least 0.8, on
     full sets of 64-bit fingerprints; ``component_id`` is the smallest doc_id reachable by links.
-    Rows that repeat a doc_id are one node: they share its component, kept or not. Rows with a
-    null id link with nothing, have no component and are kept. Other columns are ignored.
+    Rows that repeat a doc_id are one node: they share its component, kept or not, and each of their
+    different texts is compared once. Rows with a null id link with nothing, have no component and are kept. Other columns are ignored.
     """
     spark = docs.sparkSession
     stages = Stages(spark, "neardup")
-    signed = stages.write(signatures(docs), "signatures")
+    signed = stages.write(signatures(docs, shingle), "signatures")
     has_set = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     copies = stages.write(
         signed.filter(has_set)
@@ -272,20 +277,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # rows without words or id must not meet under one null key
     alone = own.filter(~has_set).withColumn("rep", F.col("doc_id"))
     nodes = own.filter(has_set).join(copies, "digest", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    nodes = nodes.select("doc_id", "rep", "n_shingles", "bits", "bands").unionByName(
-        alone.select("doc_id", "rep", "n_shingles", "bits", "bands")
-    )
-    nodes = stages.write(nodes, "nodes")
+    columns = ["doc_id", "rep", "digest", "n_shingles", "bits", "bands"]
+    nodes = stages.write(nodes.select(*columns).unionByName(alone.select(*columns)), "nodes")
     stages.drop(signed)
     reps = nodes.filter("doc_id = rep and n_shingles > 0")
+    # rows of one id and text are one from here on; where no id is repeated nothing has to move for that
+    repeated = not reps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty()
+    if repeated:
+        reps = stages.write(reps.dropDuplicates(["doc_id", "digest"]), "representatives")
 
     banded = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     leaders = banded.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"))
     leaders = stages.write(leaders.filter("leader < last").select("key", "leader"), "leaders")
-    live = stages.write(banded.join(leaders, "key"), "buckets")
+    live = stages.write(banded.join(leaders, "key").distinct() if repeated else banded.join(leaders, "key"), "buckets")
 
     stars = live.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    first = stages.write(_verify(stages.write(_screen(stars, reps), "stars"), docs), "links")
+    first = stages.write(_verify(stages.write(_screen(stars, reps), "stars"), docs, shingle, repeated), "links")
 
     joined = components(first, stages)
     placed = live.join(joined, F.col("id") == F.col("node"), "left").select(
@@ -298,7 +305,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     parts = stages.write(parts.filter("_parts > 1").select("key", "main"), "open")
     rest = placed.join(parts, "key").select("main", "id", "component").distinct()
-    second = stages.write(_join_open(stages.write(rest, "rest"), docs, stages), "more")
+    second = stages.write(_join_open(stages.write(rest, "rest"), docs, stages, shingle, repeated), "more")
     if not second.isEmpty():
         joined = components(first.unionByName(second), stages)
 
