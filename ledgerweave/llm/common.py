@@ -6,7 +6,7 @@ import sys
 from collections.abc import Callable
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerweave.session import tune
@@ -18,6 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
+RANGES = 1024  # of a hash, in which a sample counts
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -62,20 +64,46 @@ def batches_of(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def sample_rows(ids: DataFrame, docs: DataFrame, label: str, per_label: int, max_bytes: int) -> DataFrame:
-    """At most ``per_label`` labelled texts of each label, the same ones on every run.
+def sample_rows(
+    ids: DataFrame, docs: DataFrame, label: str, per_label: int, max_bytes: int, max_rows: int | None = None
+) -> DataFrame:
+    """At most ``per_label`` labelled texts of each label, the same ones on every run: doc_id, label, text.
 
-    ``ids`` has doc_id and the label column, ``docs`` doc_id and text. Rows are taken in the order of
-    a hash of the id among texts of up to ``max_bytes``, so the sample has at most labels x
-    per_label x max_bytes bytes; each task keeps only its first rows before they move.
+    ``ids`` has doc_id and the label column, ``docs`` doc_id and text (and the label, where an id may stand
+    for texts of several). Ids are taken by a hash, once however often they are repeated, and of the texts
+    of one id, of up to ``max_bytes``, that of the smallest hash. So the sample has at most labels x
+    ``per_label`` texts (``max_rows`` in all, where given), and nothing larger than that is sorted or sent:
+    counts by ranges of the hash tell where to cut, a little below ``per_label``. Null ids and
+    labels are left out; labels with nothing else are not in the sample.
     """
-    short = docs.filter(F.octet_length("text") <= max_bytes).select("doc_id", "text")
-    first = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = (
-        ids.filter(F.col(label).isNotNull())
-        .select("doc_id", label)
-        .withColumn("_n", F.row_number().over(first))
-        .filter(F.col("_n") <= per_label)
-        .drop("_n")
+    keyed = ids.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label)
+    keyed = keyed.withColumn("_h", F.xxhash64("doc_id"))
+    found = keyed.groupBy(label).agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).collect()  # a row a label
+    if max_rows is not None and found:
+        per_label = max(1, min(per_label, max_rows // len(found)))
+    spark, kind = docs.sparkSession, ids.select(label).dtypes[0][1]
+    thin = spark.createDataFrame([(r[label], max(1, r["n"] // (2 * per_label))) for r in found], f"_label {kind}, _every long")
+    few = (
+        keyed.join(F.broadcast(thin), F.col(label) == F.col("_label"))  # a row a label
+        .filter(F.pmod(F.col("_h"), F.col("_every")) == 0)
+        .withColumn("_range", F.pmod(F.xxhash64("_h"), F.lit(RANGES)).cast("int"))
+        .select("doc_id", label, "_range")
+        .distinct()
     )
-    return short.join(F.broadcast(picked), "doc_id")  # bounded by labels x per_label
+    cuts, held = [], {}
+    for r in few.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("n")).collect():  # RANGES rows a label
+        held.setdefault(r[label], {})[r["_range"]] = r["n"]
+    for value, counts in held.items():
+        taken, cut = 0, RANGES
+        for k in sorted(counts):
+            taken += counts[k]
+            if taken > per_label:
+                cut = k
+                break
+        cuts.append((value, cut))
+    cuts = spark.createDataFrame(cuts, f"_label {kind}, _cut int")
+    picked = few.join(F.broadcast(cuts), F.col(label) == F.col("_label")).filter(F.col("_range") < F.col("_cut"))
+    keys = ["doc_id", label] if label in docs.columns else ["doc_id"]
+    short = docs.filter(F.octet_length("text") <= max_bytes).select(*keys, "text")
+    texts = short.join(F.broadcast(picked.select("doc_id", label)), keys)  # bounded by labels x per_label
+    return texts.groupBy("doc_id", label).agg(F.min_by("text", F.xxhash64("text")).alias("text"))

@@ -2,13 +2,15 @@
 
 Byte n-grams of the lower-cased text hash into buckets, each with an embedding; the mean embedding
 of a text goes through a linear softmax. Embeddings and weights are trained by stochastic
-gradient descent in numpy on a bounded sample. A temperature fitted on held-back rows of the
-sample calibrates the probabilities, and the confidence below which only few of the right answers
-lie is where a prediction is rejected.
+gradient descent in numpy on a bounded sample. A temperature fitted on held-back texts of the
+sample calibrates the probabilities. Held-back texts are also cut into pieces of several lengths: for
+texts of such a length, the confidence below which only few of the right answers lie is where a
+prediction is rejected. So is a text most of whose byte pairs no training text has, as of another script.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 from ledgerweave.llm.common import batches_of, fold, query, sample_rows, table
 
 BITS, DIM, GRAMS = 12, 16, (2, 3, 4)
-PER_LANG, MAX_BYTES = 400, 65_536  # the training sample: texts per language, bytes of a text
+PER_LANG, MAX_BYTES, MAX_ROWS = 400, 65_536, 20_000  # the training sample: texts per language, bytes of a text, texts
 REJECT = 0.002  # share of right answers that may be rejected
+LENGTHS = (16, 32, 64, 128, 256, 512, 1024)  # bytes of the pieces that calibrate the rejection
+STRANGE = 0.25  # least share of unseen byte pairs that may count as strange
 UNKNOWN = "und"
 
 
@@ -43,11 +47,15 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(counts: np.ndarray, y: np.ndarray, classes: int, epochs: int = 60, rate: float = 0.5, seed: int = 11) -> dict:
-    """Embedding and softmax by minibatch gradient descent; temperature and rejection from held-back rows."""
+def byte_pairs(text: bytes) -> np.ndarray:
+    b = np.frombuffer(b" " + text.lower() + b" ", np.uint8).astype(np.uint16)
+    return b[:-1] * np.uint16(256) + b[1:]
+
+
+def train(counts: np.ndarray, y: np.ndarray, held: np.ndarray, classes: int, epochs: int = 60, rate: float = 0.5, seed: int = 11) -> dict:
+    """Embedding and softmax by minibatch gradient descent; the temperature from the ``held`` rows."""
     rng = np.random.default_rng(seed)
     x = (counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
-    held = np.arange(len(y)) % 5 == 4 if len(y) >= 10 else np.zeros(len(y), bool)
     emb = rng.normal(0, 0.5, (x.shape[1], DIM)).astype(np.float32)
     w, b = rng.normal(0, 0.3, (DIM, classes)).astype(np.float32), np.zeros(classes, np.float32)
     rows = np.flatnonzero(~held)
@@ -68,44 +76,114 @@ def train(counts: np.ndarray, y: np.ndarray, classes: int, epochs: int = 60, rat
         (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0, 8.0),
         key=lambda t: -np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean(),
     )
-    sure = _softmax(logits / heat)
-    right = np.sort(sure.max(axis=1)[sure.argmax(axis=1) == truth])
-    floor = float(right[int(len(right) * REJECT)]) if len(right) else 0.0
-    # an unseen short text is less sure than any in the sample: reject only below half of the floor
-    return {"m": (emb @ w).astype(np.float64), "b": b.astype(np.float64), "t": heat, "floor": floor / 2}
+    return {"m": (emb @ w).astype(np.float64), "b": b.astype(np.float64), "t": heat}
+
+
+def _sure(model: dict, counts: np.ndarray) -> np.ndarray:
+    share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    return _softmax((share @ model["m"] + model["b"]) / model["t"])
 
 
-def fit_languages(labelled: DataFrame, per_lang: int = PER_LANG, max_bytes: int = MAX_BYTES) -> dict:
-    """Model of doc_id, text, lang rows, from a bounded sample of them: ``sample_rows``."""
+def _floor(right: np.ndarray) -> float:
+    """The confidence below which a share of ``REJECT`` of right answers lies, from their sorted confidences.
+
+    Where they are too few to have such a share, their lower tail is carried on as an exponential one in the logit.
+    """
+    z = np.log(np.maximum(right, 1e-12)) - np.log(np.maximum(1 - right, 1e-12))
+    n = len(z)
+    if n * REJECT >= 1:
+        return float(right[int(n * REJECT)])
+    step = (z[n // 2] - z[0]) / np.log(max(n, 2))
+    return float(1 / (1 + np.exp(-(z[0] - step * np.log(1 / (REJECT * n))))))
+
+
+def _calibrate(model: dict, pieces: list[tuple[int, int, np.ndarray, np.ndarray]]) -> tuple[list[float], list[float]]:
+    """Per length of pieces (language, length, counts, byte pairs): least confidence, and most unseen byte pairs, to accept."""
+    floors, strange = [], []
+    for length in LENGTHS:
+        mine = [p for p in pieces if p[1] == length]
+        right, unseen = [], []
+        for k, _, counts, pairs in mine:
+            p = _sure(model, counts[None])[0]
+            if p.argmax() == k:
+                right.append(float(p.max()))
+                unseen.append(float((~model["seen"][pairs]).mean()))
+        out = int(len(right) * REJECT)
+        floors.append(_floor(np.sort(right)) if right else 0.0)
+        # another script is strange almost throughout; names and codes in a known one are not
+        strange.append(max(STRANGE, 1.5 * sorted(unseen)[-1 - out]) if unseen else 1.0)
+    return floors, strange
+
+
+def fit_languages(
+    labelled: DataFrame, per_lang: int = PER_LANG, max_bytes: int = MAX_BYTES, max_rows: int = MAX_ROWS
+) -> dict:
+    """Model of doc_id, text, lang rows, from a bounded sample of them: ``sample_rows``.
+
+    Null texts, ids and languages teach nothing; an id counts once per language, however often it is repeated.
+    Very long texts are not in the sample. One text in five is held back for calibration. An empty
+    table gives a model that knows no language.
+    """
     batches_of(labelled.sparkSession)
-    sample = sample_rows(labelled, labelled, "lang", per_lang, max_bytes).select("doc_id", "lang", "text")
+    sample = sample_rows(labelled, labelled, "lang", per_lang, max_bytes, max_rows).select("doc_id", "lang", "text")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packed counts and byte pairs of each text, and of pieces of the held-back ones (``length`` above 0)."""
         for batch in batches:
-            counts = [bucket_counts((t or "").encode()).astype(np.int32).tobytes() for t in batch.column(2).to_pylist()]
+            out = []
+            for key, lang, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                raw, code = text.encode(), zlib.crc32(str(key).encode())
+                held = code % 5 == 4
+                out.append((str(key), lang, held, 0, raw, np.unique(byte_pairs(raw))))
+                for length in LENGTHS if held else ():
+                    if len(raw) >= length:
+                        at = code // 5 % (len(raw) - length + 1)
+                        out.append((str(key), lang, held, length, raw[at : at + length], byte_pairs(raw[at : at + length])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.binary())], ["doc_id", "lang", "counts"]
+                [
+                    pa.array([r[0] for r in out], pa.string()),
+                    pa.array([r[1] for r in out], pa.string()),
+                    pa.array([r[2] for r in out], pa.bool_()),
+                    pa.array([r[3] for r in out], pa.int32()),
+                    pa.array([zlib.compress(bucket_counts(r[4]).astype(np.int32).tobytes(), 1) for r in out], pa.binary()),
+                    pa.array([r[5].astype(np.uint16).tobytes() for r in out], pa.binary()),
+                ],
+                ["doc_id", "lang", "held", "length", "counts", "pairs"],
             )
 
-    kind = labelled.select("doc_id").dtypes[0][1]
-    rows = sample.mapInArrow(featurise, f"doc_id {kind}, lang string, counts binary").collect()
-    rows.sort(key=lambda r: (str(r["doc_id"]), r["lang"]))
+    schema = "doc_id string, lang string, held boolean, length int, counts binary, pairs binary"
+    rows = sample.mapInArrow(featurise, schema).collect()  # the sample and its pieces
+    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["length"]))
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return {"langs": []}
-    counts = np.stack([np.frombuffer(r["counts"], np.int32) for r in rows])
-    order = np.random.default_rng(5).permutation(len(rows))
-    y = np.array([langs.index(r["lang"]) for r in rows])
-    return {"langs": langs} | train(counts[order], y[order], len(langs))
+    unpack = lambda r: np.frombuffer(zlib.decompress(r["counts"]), np.int32)
+    pairs = lambda r: np.frombuffer(r["pairs"], np.uint16)
+    whole = [r for r in rows if not r["length"]]
+    order = np.random.default_rng(5).permutation(len(whole))
+    whole = [whole[i] for i in order]
+    held = np.array([r["held"] for r in whole])
+    if held.all():  # a handful of texts: learn from all of them
+        held[:] = False
+    model = train(np.stack([unpack(r) for r in whole]), np.array([langs.index(r["lang"]) for r in whole]), held, len(langs))
+    model["seen"] = np.zeros(1 << 16, bool)
+    for r, back in zip(whole, held):
+        if not back:
+            model["seen"][pairs(r)] = True
+    pieces = [(langs.index(r["lang"]), r["length"], unpack(r), pairs(r)) for r in rows if r["length"]]
+    model["floors"], model["strange"] = _calibrate(model, pieces)
+    return {"langs": langs} | model
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with lang_pred, lang_score and lang_rejected.
 
     A text that is null, empty or has no letter is ``und`` with score 0 and rejected; so is every
-    text if the model has learned no language. Else the likeliest learned language, its calibrated
-    probability, and whether that lies below the rejection floor. Only the text is used; columns
-    of the result's names are replaced, rows and their order of columns stay.
+    text if the model has learned no language. Else the likeliest learned language (ties: the first in
+    code-point order), its calibrated probability, and whether that lies below the floor of texts of
+    its length or too many of its byte pairs are unseen. Only the text is used, whole, whatever its length;
+    columns of the result's names are replaced, rows and their order of columns stay. An empty table
+    stays empty.
     """
     spark = docs.sparkSession
     batches_of(spark)
@@ -123,10 +201,12 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
                 if not ok or not m["langs"]:
                     pred.append(UNKNOWN), score.append(0.0), rejected.append(True)
                     continue
-                counts = bucket_counts(text.encode())
-                p = _softmax(((counts @ m["m"] / counts.sum() + m["b"]) / m["t"])[None])[0]
+                raw = text.encode()
+                p = _sure(m, bucket_counts(raw)[None])[0]
                 k = int(p.argmax())
-                pred.append(m["langs"][k]), score.append(float(p[k])), rejected.append(bool(p[k] < m["floor"]))
+                size = max(0, int(np.searchsorted(LENGTHS, len(raw), "right")) - 1)
+                far = (~m["seen"][byte_pairs(raw)]).mean() > m["strange"][size]
+                pred.append(m["langs"][k]), score.append(float(p[k])), rejected.append(bool(far or p[k] < m["floors"][size]))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
                 [*batch.schema.names[:-1], "lang_pred", "lang_score", "lang_rejected"],
