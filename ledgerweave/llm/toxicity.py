@@ -23,7 +23,9 @@ from ledgerweave.llm.common import batches_of, fold, query, sample_rows, table
 
 PER_LABEL, MAX_BYTES = 2000, 65_536  # the training sample: texts per label, bytes of a text
 WINDOW, LONGEST = 4, 64
-ORDINARY_BYTES, TOXIC_BYTES, LEAD = 16_384, 2048, 40
+ORDINARY_BYTES, LEAD = 16_384, 40
+LEAST_BYTES, MOST_BYTES = 2048, 32_768  # of the toxic dictionary: as many as its words need, some thousands of words at most
+RUN = 5  # bytes that a window must share with the toxic dictionary to be compressed at all
 RATIO, CHANCE = 4.0, 1e-3  # a toxic word's share against ordinary text, and its probability if it were no commoner
 PUNCTUATION = b".,;:!?\"'()"
 
@@ -60,17 +62,49 @@ def compressors(plain: bytes, toxic: bytes) -> tuple[zstd.ZstdCompressor, zstd.Z
     return _compressor(plain + bytes(len(toxic))), _compressor(plain + toxic)
 
 
-def features(text: bytes, plain: bytes, ordinary: zstd.ZstdCompressor, toxic: zstd.ZstdCompressor) -> np.ndarray:
-    """What the curve sees of a text. Each window follows a piece that both dictionaries hold: zstandard
+def _runs(data: np.ndarray) -> np.ndarray:
+    """A 20-bit hash of the ``RUN`` bytes from each place on."""
+    n = max(0, len(data) - RUN + 1)
+    code = np.zeros(n, np.uint64)
+    for i in range(RUN):
+        code = (code << np.uint64(8)) | data[i : i + n]
+    with np.errstate(over="ignore"):
+        return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
-    stores a block that compresses by a few bytes only as it is, which would hide small gains.
+
+class Judge:
+    """Gains of a text's windows by both dictionaries.
+
+    A window that shares no run of bytes with the toxic dictionary cannot gain from it and is not compressed. Each
+    other one follows a piece that both dictionaries hold: zstandard stores a block that compresses by a few
+    bytes only as it is, which would hide small gains.
     """
-    w, lead = windows(text), plain[-2 * LEAD : -LEAD]
-    g = np.array([len(ordinary.compress(lead + x)) - len(toxic.compress(lead + x)) for x in w] or [0], np.float64)
-    top = np.sort(g)[::-1][:4]
-    top = np.concatenate([top, np.zeros(4 - len(top))])
-    shape = [g.mean(), (g >= 3).mean(), np.log1p(len(w)), np.log1p(max(0.0, g.sum())), top[0] >= 2, top[0] >= 4]
-    return np.array([1.0, *top, *shape], np.float64)
+
+    def __init__(self, plain: bytes, toxic: bytes):
+        self.ordinary, self.both = compressors(plain, toxic)
+        self.lead = plain[-2 * LEAD : -LEAD]
+        self.shared = np.zeros(1 << 20, bool)
+        self.shared[_runs(np.frombuffer(toxic, np.uint8).astype(np.uint64))] = True
+
+    def gains(self, text: bytes) -> np.ndarray:
+        w = windows(text)
+        out = np.zeros(max(1, len(w)))
+        if w:
+            ends = np.cumsum([len(x) for x in w])
+            hits = np.flatnonzero(self.shared[_runs(np.frombuffer(b"".join(w), np.uint8).astype(np.uint64))])
+            for i in np.unique(np.searchsorted(ends, hits, "right")):
+                x = self.lead + w[i]
+                out[i] = len(self.ordinary.compress(x)) - len(self.both.compress(x))
+        return out
+
+    def features(self, text: bytes) -> np.ndarray:
+        """What the curve sees of a text."""
+        g = self.gains(text)
+        n = len(g) if text.split() else 0
+        top = np.sort(g)[::-1][:4]
+        top = np.concatenate([top, np.zeros(4 - len(top))])
+        shape = [g.mean(), (g >= 3).mean(), np.log1p(n), np.log1p(max(0.0, g.sum())), top[0] >= 2, top[0] >= 4]
+        return np.array([1.0, *top, *shape], np.float64)
 
 
 def _chance(n: int, m: int, share: float) -> float:
@@ -91,7 +125,7 @@ def train_dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> tuple[bytes
 
     pieces = [b" ".join(t.lower().split()) for t in ordinary]
     pieces = [p[i : i + 512] for p in pieces for i in range(0, len(p), 512)]
-    plain = trained(ORDINARY_BYTES, pieces[:: max(1, len(pieces) // 20_000)], k=64, d=8) if pieces else b""
+    plain = trained(ORDINARY_BYTES, pieces, k=64, d=8) if pieces else b""
     strip = lambda t: [x for w in t.lower().split() if (x := w.strip(PUNCTUATION))]
 
     def counted(texts: list[bytes]) -> tuple[Counter, int]:
@@ -111,10 +145,11 @@ def train_dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> tuple[bytes
     said = [s for s in said if len(s) > 4]
     if not said:
         return plain, b""
-    held = trained(TOXIC_BYTES, said, k=16, d=6)
+    size = min(MOST_BYTES, max(LEAST_BYTES, 2 * sum(len(w) + 1 for w in marks)))
+    held = trained(size, said, k=16, d=6)
     # the trainer leaves rarer words out long before the size is reached
     rarer = sorted((w for w in marks if b" " + w + b" " not in held), key=lambda w: (bad[w], w))
-    return plain, (b" " + b" ".join([*rarer, held]))[-TOXIC_BYTES:]
+    return plain, (b" " + b" ".join([*rarer, held]))[-MOST_BYTES:]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -132,7 +167,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL,
     """Dictionaries and calibration from a bounded sample of labelled texts: ``sample_rows``.
 
     ``labels`` has doc_id and toxic (0, 1; others and null are ignored). Dictionaries learn from
-    three fifths of the sample, the curve from the rest, weighed by the counts of all labels.
+    three fifths of the sample, the curve from the rest, weighed by the counts of all labels. An id
+    counts once per label, however often its rows are repeated; longer texts, null texts and ids teach
+    nothing. Without enough labels of both kinds every text gets one low score.
     """
     marked = labels.filter(F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
     total = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
@@ -148,8 +185,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL,
     )
     if not plain or not toxic:
         return {"plain": b"", "toxic": b"", "beta": [-4.0]}
-    one, both = compressors(plain, toxic)
-    x = np.stack([features(t, plain, one, both) for t, a in zip(texts, learns) if not a])
+    judge = Judge(plain, toxic)
+    x = np.stack([judge.features(t) for t, a in zip(texts, learns) if not a])
     known = y[~learns]
     weight = np.array([total[int(k)] / max(1, (known == k).sum()) for k in known])
     return {"plain": plain, "toxic": toxic, "beta": _logistic(x, known, weight * len(known) / weight.sum()).tolist()}
@@ -158,8 +195,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL,
 def score_toxicity(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with tox_score (0 to 1, higher: likelier toxic) and tox_predicted (1 if at least 0.5).
 
-    The score sees the whole text and nothing else; null is scored as the empty text. Columns of
-    the result's names are replaced; rows and other columns stay.
+    The score sees the whole text, whatever its length, and nothing else; null is scored as the empty text.
+    Equal texts get equal scores, also in repeated rows; an empty table stays empty. Columns of the
+    result's names are replaced; rows and other columns stay.
     """
     batches_of(docs.sparkSession)
     docs = docs.drop("tox_score", "tox_predicted")
@@ -168,11 +206,11 @@ def score_toxicity(docs: DataFrame, model: dict) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        one, both = compressors(m["plain"], m["toxic"]) if m["plain"] else (None, None)
+        judge = Judge(m["plain"], m["toxic"]) if m["plain"] else None
         beta = np.array(m["beta"])
         for batch in batches:
             z = [
-                float(features((t or "").encode(), m["plain"], one, both) @ beta) if one else float(beta[0])
+                float(judge.features((t or "").encode()) @ beta) if judge else float(beta[0])
                 for t in batch.column(at).to_pylist()
             ]
             s = 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -30, 30)))

@@ -2,12 +2,14 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerweave.llm import langid, toxicity
+from ledgerweave.llm.common import sample_rows
 from tests.llm.helpers import by_id, docs_of
 
 
@@ -100,8 +102,69 @@ def test_toxic_words_of_skewed_frequency_are_learned():
     learn = [(t, m) for t, m, p in zip(texts, marks, part) if 0 < p < 4]
     plain, toxic = toxicity.train_dictionaries([t for t, m in learn if not m], [t for t, m in learn if m])
     assert sum(w.encode() in toxic for w in bad) >= 25
-    one, both = toxicity.compressors(plain, toxic)
-    x = np.stack([toxicity.features(t, plain, one, both) for t in texts])
+    x = np.stack([toxicity.Judge(plain, toxic).features(t) for t in texts])
     beta = toxicity._logistic(x[part == 4], marks[part == 4].astype(float), np.ones((part == 4).sum()))
     said, true = x[part == 0] @ beta > 0, marks[part == 0]
     assert (said & true).sum() >= 0.9 * true.sum() and (said & ~true).sum() <= 0.02 * (~true).sum()
+
+
+def test_two_languages_reject_other_scripts(spark):
+    """A model of two languages of one script keeps short texts of theirs and rejects what it has never seen."""
+    rng = np.random.default_rng(1)
+    en = "the cat and dog were walking over this bridge with their friends because morning light had come again".split()
+    de = "der hund und die katze gingen heute nicht über diese brücke weil das wetter wieder schlecht geworden war".split()
+    rows = []
+    for i in range(300):
+        lang, pool = ("en", en) if i % 2 else ("de", de)
+        rows.append((i, " ".join(rng.choice(pool, 40)), lang))
+    model = langid.fit_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    own = [" ".join(rng.choice(en, 12)), " ".join(rng.choice(de, 12)), "the cat and dog 2024", "der hund (heute)"]
+    other = ["هذه جملة عربية عن الطقس في المدينة", "今日は天気がとても良いので散歩に行きます", "Это предложение написано по-русски", "zzq xkcd qwrtp jjxv"]
+    got = by_id(langid.identify(docs_of(spark, own + other), model))
+    assert [got[i][0].lang_rejected for i in range(8)] == [False] * 4 + [True] * 4
+    assert [got[i][0].lang_pred for i in range(4)] == ["en", "de", "en", "de"]
+
+
+def test_samples_are_bounded_however_often_ids_repeat(spark):
+    n = 30_000
+    hot = spark.range(0, n, 1, 4).selectExpr("1L AS doc_id", "concat('text ', id) AS text", "'en' AS lang")
+    others = spark.range(2, 3000, 1, 4).selectExpr("id AS doc_id", "concat('word ', id) AS text", "if(id % 3 = 0, 'de', 'en') AS lang")
+    nulls = spark.range(0, 50).selectExpr("CAST(null AS bigint) AS doc_id", "'x' AS text", "'en' AS lang")
+    rows = hot.unionByName(others).unionByName(nulls)
+    got = sample_rows(rows, rows, "lang", 100, 64).collect()
+    sizes = Counter(r.lang for r in got)
+    assert 85 <= sizes["en"] <= 100 and 85 <= sizes["de"] <= 100
+    assert len({(r.doc_id, r.lang) for r in got}) == len(got)
+    again = sample_rows(rows.repartition(7), rows.repartition(5), "lang", 100, 64).collect()
+    assert {tuple(r) for r in again} == {tuple(r) for r in got}
+    assert len(sample_rows(rows, rows, "lang", 100, 64, max_rows=60).collect()) <= 60
+    only = sample_rows(hot, hot, "lang", 100, 64).collect()
+    assert len(only) == 1 and only[0].doc_id == 1
+    plan = sample_rows(rows, rows, "lang", 2000, 64)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_one_label_of_many_rows_is_counted_not_sorted(spark):
+    ids = spark.range(0, 1_000_000, 1, 8).selectExpr("id AS doc_id", "1 AS toxic")
+    docs = ids.selectExpr("doc_id", "'t' AS text")
+    assert 1800 <= sample_rows(ids, docs, "toxic", 2000, 64).count() <= 2000
+
+
+@pytest.mark.parametrize("words", [300, 600])
+def test_the_toxic_dictionary_holds_all_words_that_prove_toxic(words):
+    rng = np.random.default_rng(words)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    bad = ["".join(rng.choice(letters, 8)) for _ in range(words)]
+    plain_words = [f"w{v}" for v in rng.integers(10**5, 10**6, 2000)]
+    ordinary = [" ".join(rng.choice(plain_words, 40)).encode() for _ in range(1200)]
+    toxic = [" ".join([*rng.choice(plain_words, 30), *rng.choice(bad, 20)]).encode() for _ in range(1200)]
+    _, held = toxicity.train_dictionaries(ordinary, toxic)
+    assert sum(b" " + w.encode() + b" " in b" " + held + b" " for w in bad) >= 0.97 * words
+
+
+def test_windows_without_a_toxic_run_gain_nothing():
+    judge = toxicity.Judge(b"some ordinary words of a text " * 40, b" idiot scum moron ")
+    text = b"quiet lake under trees and you idiot over there by the old wooden bridge"
+    got, w = judge.gains(text), toxicity.windows(text)
+    assert [i for i, g in enumerate(got) if g > 0] == [i for i, x in enumerate(w) if b"idiot" in x]
+    assert judge.gains(b"").tolist() == [0] and judge.gains(b"abc").tolist() == [0]
