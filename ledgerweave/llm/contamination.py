@@ -3,8 +3,8 @@
 Windows are 13 consecutive words of a benchmark item, or the whole of a shorter one. Their shingles
 are ordered by how rare they are in the corpus. A window can stand in a text only where its
 rarest shingle does, so that one (the prefix for full containment) is joined; length and position
-bound where the item can lie around it, and the item-sized stretch of text is verified: a run
-of matching shingles as long as a window's is an exact occurrence.
+bound where the item can lie around it. Only the item-sized stretches found so are verified, shingle
+by shingle and word by word: a run of matching shingles as long as a window's is an exact occurrence.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.llm.common import LOWER, UPPER, query, table, words
+from ledgerweave.operators.keyfilter import key_filter, may_match
 from ledgerweave.session import Stages
 
 WINDOW, SHINGLE = 13, 4
-SMALL = 2_000_000  # distinct shingles of 16 bytes that are sent to all executors; more take a shuffled join
 
 
 def _items(benchmark: DataFrame, shingle: int) -> DataFrame:
@@ -36,6 +36,10 @@ def _gram(w: Column, at: Column, k: int) -> Column:
     return F.xxhash64(*[F.get(w, at + j) for j in range(k)], F.lit(k))
 
 
+def _said(w: Column, at: Column, k: int) -> Column:
+    return F.array_join(F.slice(w, at + 1, k), " ")
+
+
 def contaminated_words(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "doc_id"
 ) -> DataFrame:
@@ -45,25 +49,21 @@ def contaminated_words(
     a twentieth of its words is hit. Null or empty texts have no words, null or empty items no
     windows; an empty benchmark hits nothing. Items of the same words are looked for once and all
     their ids are listed (a null id as the empty string), sorted. Rows with equal or null ids
-    keep rows of their own; other columns are ignored.
+    keep rows of their own; other columns are ignored. Texts are read whole, in time linear in their length;
+    an empty table of texts has no rows.
 
-    One pass over the texts joins the shingles of all items, for their counts in the whole corpus as
-    well as for their places; everything after it reads only these places. Shingles are compared
-    by 64-bit fingerprints, so a window of 13 words takes ten equal ones in a row.
+    One pass over the texts keeps the places of shingles that a filter of a fixed size over the items'
+    shingles lets pass, to count them as well as to find them; everything after it reads only these.
     """
     spark = docs.sparkSession
     stages = Stages(spark, "decontaminate")
     items = stages.write(_items(benchmark, shingle), "items")
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most ``shingle`` numbers
     grams = stages.write(_places(items, sizes), "shingles")
-    known = grams.select("gram").distinct()
-    sent = F.broadcast if known.count() <= SMALL else (lambda df: df)
-
     w = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("_id"), words(F.col("text")).alias("w")
     ).withColumn("n_words", F.size("w"))
-    found = _find(w, sent(known), sizes)
-    found = stages.write(found, "places")
+    found = stages.write(_find(w, key_filter(grams, F.col("gram")), sizes), "places")
 
     # rarity in the corpus; a shingle that stands nowhere rules its windows out
     count = found.filter("gram is not null").groupBy("gram").agg(F.count(F.lit(1)).alias("corpus"))
@@ -76,10 +76,11 @@ def contaminated_words(
         F.min_by(F.struct("gram", "at", "corpus"), F.struct("corpus", "at")).alias("p")
     )
     prefix = rarest.filter("p.corpus > 0").select("item", "p.gram", "p.at").distinct()
-    places = found.filter("gram is not null").select("row", "gram", "pos", "n_words")
+    places = found.filter("gram is not null").select("row", "gram", "said", "pos", "n_words")
     bounds = items.select("item", "n", F.least(F.lit(window), F.col("n")).alias("size"), "k")
     candidates = (
-        places.join(sent(prefix.join(bounds, "item")), "gram")
+        places.drop("said")
+        .join(prefix.join(bounds, "item"), "gram")
         .withColumn("diagonal", F.col("pos") - F.col("at"))
         # the window around the prefix must lie within the text
         .filter((F.col("n_words") >= F.col("size")) & (F.col("diagonal") + F.col("n") >= F.col("size")))
@@ -87,11 +88,11 @@ def contaminated_words(
         .select("row", "item", "diagonal", "size", "k")
         .distinct()
     )
-    # verify: all shingles of the item-sized stretch, in runs along the diagonal
-    aligned = places.join(sent(grams.select("item", "gram", "at")), "gram").select(
-        "row", "item", (F.col("pos") - F.col("at")).alias("diagonal"), "pos"
+    # verify: the shingles of each candidate's stretch, where they should stand
+    wanted = candidates.join(grams.select("item", "at", "gram", "said"), "item").select(
+        "row", "item", "diagonal", "size", "k", "gram", "said", (F.col("diagonal") + F.col("at")).alias("pos")
     )
-    kept = aligned.join(candidates, ["row", "item", "diagonal"])
+    kept = wanted.join(places.select("row", "pos", "gram", "said"), ["row", "pos", "gram", "said"])
     along = Window.partitionBy("row", "item", "diagonal").orderBy("pos")
     runs = (
         kept.withColumn("_run", F.col("pos") - F.row_number().over(along))
@@ -133,7 +134,7 @@ def contaminated_words(
 
 
 def _places(items: DataFrame, sizes: list[int]) -> DataFrame:
-    """Every shingle of every item: item, n, k, at, gram."""
+    """Every shingle of every item: item, n, k, at, gram, said (its words)."""
     out = None
     for k in sizes or [1]:
         own = items.filter(F.col("k") == k).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - k)))
@@ -143,24 +144,35 @@ def _places(items: DataFrame, sizes: list[int]) -> DataFrame:
             "k",
             "at",
             _gram(F.col("words"), F.col("at"), k).alias("gram"),
+            _said(F.col("words"), F.col("at"), k).alias("said"),
         )
         out = own if out is None else out.unionByName(own)
     return out
 
 
 def _find(w: DataFrame, known: DataFrame, sizes: list[int]) -> DataFrame:
-    """Places of the known shingles (row, gram, pos, n_words) and one row per text with a null gram."""
+    """Places of shingles that may be known (row, gram, said, pos, n_words) and one row per text with a null gram."""
+    shingle = "struct<gram:bigint,said:string>"
 
     def rolling(k: int) -> Column:
-        return F.transform("w", lambda a, i: F.when(i + k <= F.col("n_words"), _gram(F.col("w"), i, k)))
+        whole = F.col("n_words")
+        # no exploded row carries the text, only its own words
+        return F.transform(
+            "w",
+            lambda a, i: F.when(
+                i + k <= whole, F.struct(_gram(F.col("w"), i, k).alias("gram"), _said(F.col("w"), i, k).alias("said"))
+            ).cast(shingle),
+        )
 
-    text = F.array(F.lit(None).cast("long"))
-    rolled = w.select("row", "_id", "n_words", F.posexplode(F.concat(*map(rolling, sizes), text)).alias("slot", "hash"))
+    rolled = w.select("row", "_id", "n_words", F.concat(*map(rolling, sizes), F.array(F.lit(None).cast(shingle))).alias("_all"))
+    rolled = rolled.select("row", "_id", "n_words", F.posexplode("_all").alias("slot", "_one")).select(
+        "row", "_id", "n_words", "slot", "_one.gram", "_one.said"
+    )
     # lists of one shingle per start follow each other, one per shingle size; the last slot stands for the text
     last = F.col("slot") == F.col("n_words") * len(sizes)
-    joined = rolled.join(known, F.col("hash") == F.col("gram"), "left").filter(F.col("gram").isNotNull() | last)
+    kept = may_match(rolled, F.col("gram"), known, always=last)
     pos = F.when(~last, F.col("slot") % F.col("n_words"))
-    return joined.select("row", F.when(last, F.col("_id")).alias("id"), "gram", pos.alias("pos"), "n_words")
+    return kept.select("row", F.when(last, F.col("_id")).alias("id"), "gram", "said", pos.alias("pos"), "n_words")
 
 
 ORACLE = rf"""

@@ -1,18 +1,15 @@
 """Licences, token counts, mixing, contamination and language model against plain versions."""
 
-import hashlib
 import math
 from collections import Counter
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from checks.verify import compare, connect
 from ledgerweave.llm import contamination, licenses, lm, mixing
 from ledgerweave.llm import tokens as pieces
-from ledgerweave.session import Stages
 from tests.llm.helpers import by_id, docs_of, tokens, words
 
 AWKWARD = [None, "", "   ", "...", "\n\t", "a", "É", "MİT License"]
@@ -100,10 +97,38 @@ def test_automaton_on_random_words(text):
     assert [automaton._one(np.frombuffer(x, np.uint8)) for x in w] == [greedy(x) for x in w]
 
 
-def test_water_fill_reshares_what_is_over_the_limit():
-    got = mixing.water_fill([10, 1000, 1000], [5.0, 2.0, 1.0])
-    assert got[0] == 30 and math.isclose(sum(got), 2010) and math.isclose(got[1], 2 * got[2])
-    assert mixing.water_fill([0, 0], [5.0, 2.0]) == [0, 0] and mixing.water_fill([], []) == []
+def water_fill(sizes, weights, limit=3.0):
+    """Targets by weight, none above the limit, source by source."""
+    targets, free, rest = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
+    while free:
+        per = rest / sum(weights[i] for i in free)
+        over = {i for i in free if per * weights[i] > limit * sizes[i]}
+        for i in over or free:
+            targets[i] = limit * sizes[i] if over else per * weights[i]
+        rest -= sum(targets[i] for i in over)
+        free = free - over if over else set()
+    return targets
+
+
+@pytest.mark.parametrize("sizes", [[10, 1000, 1000], [0, 0], [1, 2, 3, 4, 5, 6, 10_000], [5], [7, 7, 0, 100, 1, 1, 1, 50]])
+def test_fill_level_reshares_what_is_over_the_limit(spark, sizes):
+    weights = [mixing.WEIGHTS[i % 3] for i in range(len(sizes))]
+    df = spark.createDataFrame(list(zip(sizes, weights)), "size long, weight double")
+    level = mixing.fill_level(df)
+    got = [min(3.0 * n, level * w) for n, w in zip(sizes, weights)]
+    assert all(math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-9) for a, b in zip(got, water_fill(sizes, weights)))
+
+
+def test_mix_of_very_many_sources(spark):
+    n = 150_000
+    docs = spark.range(0, n + 1000, 1, 8).selectExpr(
+        "id AS doc_id", "repeat('w ', int(1 + id % 13)) AS text", "concat('host', lpad(least(id, 150000), 7, '0')) AS source"
+    )
+    got = mixing.mix(docs).agg({"mix_size": "sum", "mix_target": "sum", "mix_copies": "max", "doc_id": "count"}).collect()[0]
+    taken = mixing.mix(docs).selectExpr("sum(mix_size * mix_copies) AS t").collect()[0].t
+    assert got["count(doc_id)"] == n + 1000 and got["max(mix_copies)"] <= 3 and taken > 0
+    per = mixing.mix(docs).filter("doc_id in (5, 6, 7)").orderBy("doc_id").collect()
+    assert all(r.mix_target <= 3 * r.mix_source_size + 1e-9 for r in per)
 
 
 def test_mix_meets_targets_and_limits(spark):
@@ -118,7 +143,7 @@ def test_mix_meets_targets_and_limits(spark):
         sources.setdefault(r.source, []).append(r)
     order = sorted((s for s in sources if s is not None)) + [None]
     sizes = [sum(r.mix_size for r in sources[s]) for s in order]
-    targets = mixing.water_fill(sizes, [[5.0, 2.0, 1.0][i % 3] for i in range(len(order))])
+    targets = water_fill(sizes, [[5.0, 2.0, 1.0][i % 3] for i in range(len(order))])
     for s, size, target in zip(order, sizes, targets):
         assert {r.mix_source_size for r in sources[s]} == {size} and math.isclose(sources[s][0].mix_target, target)
         assert abs(sum(r.mix_size * r.mix_copies for r in sources[s]) - target) <= 0.01 * target + 3
@@ -240,6 +265,51 @@ def test_automaton_is_a_distribution_and_equals_the_backoff_rule():
         context = [lm.END] if s == lm.END else [*context, int(s)][-3:]
 
 
-def test_digest_of_items():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
-    assert Stages and F
+def test_long_texts_take_linear_time_and_other_templates(spark):
+    import time
+
+    def seconds(n):
+        df = docs_of(spark, [" ".join(f"w{i % 977}" for i in range(n)) + " mit license"]).cache()
+        df.count()
+        start = time.time()
+        row = licenses.scan_licenses(df).collect()[0]
+        assert (row.n_words, row.first_word, row.labels) == (n + 2, n, "mit")
+        return time.time() - start
+
+    seconds(1000)
+    short, long = seconds(40_000), seconds(160_000)
+    assert long < 4 * short + 2
+    own = licenses.scan_licenses(docs_of(spark, ["under the house rules", "mit license"]), phrases=[("house", "house rules")], notices=[])
+    assert {r.doc_id: r.labels for r in own.collect()} == {0: "house", 1: ""}
+
+
+def test_a_shingle_of_many_items_and_texts_is_joined_only_as_a_prefix(spark):
+    """1,000 items share four words, 1,000 texts hold them, no window matches: nothing is verified at all."""
+    common = "alpha beta gamma delta"
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(9)) + " " + common + " " + " ".join(f"i{i}v{j}" for j in range(9))) for i in range(1000)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    texts = [f"t{i} " + common + " " + " ".join(f"t{i}w{j}" for j in range(20)) for i in range(1000)]
+    texts += [items[7][1], "x " + " ".join(items[9][1].split()[4:17])]
+    joined = contamination.contaminated_words(docs_of(spark, texts), benchmark)
+    got = by_id(joined)
+    assert [got[i][0]["items"] for i in (0, 999, 1000, 1001)] == [[], [], ["7"], ["9"]]
+    assert got[1001][0].n_hit == 13 and sum(r[0].n_hit > 0 for r in got.values()) == 2
+    places = [p for p in contamination_stages(spark, "places") if p]
+    assert places and max(places) < 1500 * 4  # shingles that may be known, not items x texts
+
+
+def contamination_stages(spark, name):
+    """Rows with a shingle in each written table of that name."""
+    import glob
+
+    from ledgerweave.session import scratch_root
+
+    newest = sorted(glob.glob(f"{scratch_root(spark)}/decontaminate-*"), key=lambda p: __import__("os").path.getmtime(p))[-1]
+    return [spark.read.parquet(p).filter("gram is not null").count() for p in glob.glob(f"{newest}/*-{name}")]
+
+
+def test_contamination_of_long_texts(spark):
+    words_ = " ".join(f"w{i % 5000}" for i in range(120_000))
+    benchmark = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(4000, 4013))), (2, "zz yy")], "item_id bigint, text string")
+    row = contamination.contaminated_words(docs_of(spark, [words_ + " zz yy"]), benchmark).collect()[0]
+    assert (row.n_words, row.n_hit, row["items"]) == (120_002, 24 * 13 + 2, ["1", "2"])
