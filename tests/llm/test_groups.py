@@ -220,6 +220,9 @@ def test_pipeline_stages(spark, tmp_path):
     clean = docs.join(spark.read.parquet(f"{sf}/labels.parquet").filter("toxic = 0"), "doc_id", "left_semi")
     model = " ".join(reversed(clean.filter("n_chars between 2000 and 4000 and lang = 'en'").orderBy("doc_id").first().text.split()))
     extra = [(90_001, None, None, "s", 0), (90_002, "12 34 !!", None, None, 8), (90_003, item, "en", "s", len(item))]
+    other = " ".join(f"{w} and the" for w in reversed(model.split()))
+    extra += [(None, model, "en", "s", 0), (None, model + " end", "en", "s", 0)]
+    extra += [(80_001, other, "en", "s", 0), (80_001, other, "en", "s", 0), (80_001, other + " end", "en", "t", 0), (None, other, "en", "s", 0)]
     extra += [(80_000, model, "en", "s", 0), (90_004, model + " end", "en", "s", 0), (90_004, model + " end", "en", "s", 0)]
     docs = docs.unionByName(spark.createDataFrame(extra, DOCS)).withColumn("extra", F.lit(1))
     columns, before, ids = docs.columns, docs, None
@@ -230,8 +233,12 @@ def test_pipeline_stages(spark, tmp_path):
         ids = {r.doc_id for r in after.select("doc_id").collect()}
         assert ids <= {r.doc_id for r in before.select("doc_id").collect()}
         seen[name], before = ids, after
+        if name == "near_duplicates":
+            copies = after.filter("doc_id = 80001").count()
     assert not {90_001, 90_002} & seen["language"] and 90_003 in seen["language"]
     assert 90_004 in seen["toxicity"] and 90_004 not in seen["near_duplicates"] and 80_000 in seen["near_duplicates"]
+    assert None in seen["toxicity"] and None not in seen["near_duplicates"]
+    assert copies == 1
     assert 90_003 not in seen["decontamination"] and len(seen["decontamination"]) > 0.5 * docs.count()
     last = corpus_pipeline.mixed(spark, before, str(sf)).collect()
     counts = {}
@@ -239,3 +246,56 @@ def test_pipeline_stages(spark, tmp_path):
         counts[r.doc_id] = counts.get(r.doc_id, 0) + 1
     assert max(counts.values()) <= 3 and set(counts) <= ids
     assert corpus_pipeline.run(spark, str(sf)).columns == [*[c for c in columns if c != "extra"], "mix_copy"]
+
+
+def test_rows_of_one_id_are_compared_once(spark, monkeypatch):
+    """200 rows of each of two ids that nearly match: one pair is verified, not 40,000."""
+    base = " ".join(f"w{i}" for i in range(60))
+    texts = [base] * 200 + [base + " end"] * 200 + ["something else entirely here"]
+    ids = [1] * 200 + [2] * 200 + [3]
+    asked = []
+    verify = neardup._verify
+
+    def counted(pairs, docs, shingle, repeated):
+        both = neardup._texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), repeated)
+        asked.append((pairs.count(), both.count()))
+        return verify(pairs, docs, shingle, repeated)
+
+    monkeypatch.setattr(neardup, "_verify", counted)
+    got = neardup.near_duplicates(docs_of(spark, texts, ids=ids)).collect()
+    assert len(got) == 401 and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 3)}
+    assert asked[0][0] == 1 and asked[0][1] <= 3
+
+
+def test_shingles_of_five_words(spark):
+    w = [f"w{i}" for i in range(100)]
+    near = " ".join(w[:48] + ["x"] + w[49:])  # 4 of 97 shingles of four words are new, 5 of 96 of five
+    got = by_id(neardup.near_duplicates(docs_of(spark, [" ".join(w), near, "a b c d"]), shingle=5))
+    assert [got[i][0].component_id for i in range(3)] == [0, 0, 2] and got[0][0].n_shingles == 96 and got[2][0].n_shingles == 1
+
+
+def test_magnitudes_do_not_matter(spark):
+    rows = [(0, [1e200, 0.0]), (1, [2e200, 1e198]), (2, [1e-200, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 5e-324]), (5, [0.0, 1.7e308]), (6, [0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, "l") for i, v in rows], "vec_id bigint, embedding array<double>, label string")
+    got = {r.vec_id: r for r in vectors.link_vectors(df).collect()}
+    assert [got[i].component_id for i in range(7)] == [0, 0, 0, 0, 4, 4, 6]
+    assert [got[i].n_links for i in range(7)] == [3, 3, 3, 3, 1, 1, 0]
+
+
+def test_recall_at_production_parameters(spark):
+    """One label of 10,000 vectors, far beyond the window, links just above the bound."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(25, 32))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    rows = centres[rng.integers(0, 25, 9000)] + 0.09 * rng.normal(size=(9000, 32))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    side = rng.normal(size=(1000, 32))
+    side -= (side * rows[:1000]).sum(axis=1, keepdims=True) * rows[:1000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.980001, 0.984, (1000, 1))
+    x = np.concatenate([rows, c * rows[:1000] + np.sqrt(1 - c * c) * side])
+    want = (x @ x.T >= 0.98).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), "l") for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label string")
+    got = {r.vec_id: r.n_links for r in vectors.link_vectors(df).collect()}
+    found = sum(got.values())
+    assert all(got[i] <= n for i, n in enumerate(want)) and found >= 0.95 * want.sum() and want.sum() >= 2000
