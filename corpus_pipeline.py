@@ -4,9 +4,10 @@ Every stage reads all that its predecessor kept and its decisions take effect; s
 Parquet in the shared folder and read again. All but the last return the columns of their input;
 the last repeats each document as often as the mix takes it, numbered in ``mix_copy``.
 
-Nulls: a null text has no letter and goes with the first stage. Rows with a null doc_id are judged
-like others, except that they are nobody's near-duplicates. Rows that repeat a doc_id stay or go
-together. Empty tables pass through. Columns beyond doc_id, text, lang and source are carried along.
+Nulls: a null text has no letter and goes with the first stage. Rows with a null doc_id, and rows that
+repeat one, are judged row by row; of equal or similar ones the near-duplicate stage leaves one. Texts
+are read whole, whatever their length. Ties: of a group the smallest id stays. Empty tables pass
+through. Columns beyond doc_id, text, lang and source are carried along.
 """
 
 from __future__ import annotations
@@ -40,10 +41,23 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
+    """The document with the smallest id of each group of near-duplicates (shingles of five words).
+
+    Rows are compared as rows: of copies under one id, or under none, one stays too. Null ids come after
+    all others, rows that tie in their id by their place in the written table.
+    """
     tune(spark)
-    gone = near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    # numbered once and written, so that every later step means the same row by a number
+    rows = Stages(spark, "rows").write(docs.withColumn("_row_key", F.monotonically_increasing_id()), "numbered")
+    grouped = near_duplicates(rows.select(F.col("_row_key").alias("doc_id"), "text"), shingle=5)
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "_row_key")
+    of = grouped.select(F.col("doc_id").alias("_row_key"), "component_id")
+    placed = rows.select("_row_key", "doc_id").join(of, "_row_key")
+    # a group of one needs no choice
+    least = placed.groupBy("component_id").agg(F.min(place).alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    least = least.select("component_id", F.col("_least._row_key").alias("_stays"))
+    gone = placed.join(least, "component_id").filter(F.col("_row_key") != F.col("_stays")).select("_row_key")
+    return rows.join(gone, "_row_key", "left_anti").select(*docs.columns)
 
 
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
