@@ -28,8 +28,11 @@ def build_intervals(
     """Each start day up to the day before the earliest later stop of the same key.
 
     A start without a later stop runs to the day before ``open_end``. Repeated starts of a
-    day give one interval; a null in the key meets no stop.
+    day give one interval; a null in the key meets no stop. ``day`` is a calendar day: the order of events
+    inside a day is not looked at, and a column of times is an error.
     """
+    if dict(events.dtypes)[day].startswith("timestamp"):
+        raise ValueError(f"{day} holds times; intervals run by calendar day")
     keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     days = (
         events.filter(is_start | (is_stop & keyed))
@@ -109,11 +112,41 @@ def attribute_interval(
 ) -> DataFrame:
     """Left join of facts to the intervals their day falls in, with a label for the rest.
 
-    Pass facts already summed per key and day (``ads.daily_ad_spend``): the join then sees
-    one row per key and day and no key is hot. Overlapping intervals repeat a fact.
+    A sweep in place of a range join. The borders of a key's intervals cut its time into stretches; one ordered pass
+    over borders and days of facts tells the stretch of each day, and an interval is listed for the stretches
+    it covers. What meets are equal keys and stretches, so a fact sees no interval but its own, however many
+    its key has. Overlapping intervals repeat a fact. Facts are joined by key and day, which adaptive
+    execution can split for a hot key; the pass itself sees each day of a key once.
     """
-    on = (F.col(fact_key) == F.col(key)) & F.col(fact_day).between(F.col("start_dt"), F.col("end_dt"))
-    renamed = intervals.withColumnRenamed(label, "_label")
-    return facts.join(renamed, on, "left").withColumns(
-        {"attributed": F.col("_label").isNotNull(), label: F.coalesce(F.col("_label"), F.lit(default))}
-    ).drop("_label")
+    kind = dict(facts.dtypes)[fact_key]
+    spans = intervals.withColumnRenamed(label, "_label").withColumn("_key", F.col(key).cast(kind))
+    spans = spans.filter(F.col("_key").isNotNull() & (F.col("start_dt") <= F.col("end_dt")))
+    spans = spans.withColumn("_after", F.date_add("end_dt", 1))
+    by_day = Window.partitionBy("_key").orderBy("_day")
+    stretches = (
+        spans.select("_key", F.explode(F.array("start_dt", "_after")).alias("_day"))
+        .distinct()
+        .withColumn("_stretch", F.row_number().over(by_day))
+    )
+    begins = stretches.select("_key", F.col("_day").alias("start_dt"), F.col("_stretch").alias("_from"))
+    ends = stretches.select("_key", F.col("_day").alias("_after"), F.col("_stretch").alias("_to"))
+    covers = (
+        spans.join(begins, ["_key", "start_dt"])
+        .join(ends, ["_key", "_after"])
+        .withColumn("_stretch", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)))
+        .drop("_after", "_from", "_to")
+    )
+    days = facts.select(F.col(fact_key).alias("_key"), F.col(fact_day).cast("date").alias("_day")).distinct()
+    days = days.filter(F.col("_key").isNotNull() & F.col("_day").isNotNull())
+    marks = stretches.withColumn("_asks", F.lit(False)).unionByName(
+        days.withColumns({"_stretch": F.lit(None).cast("int"), "_asks": F.lit(True)})
+    )
+    so_far = Window.partitionBy("_key").orderBy("_day", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    placed = marks.withColumn("_stretch", F.last("_stretch", ignorenulls=True).over(so_far)).filter("_asks").drop("_asks")
+    open_ = placed.join(covers, ["_key", "_stretch"]).drop("_stretch")
+    on = (F.col(fact_key) == F.col("_key")) & (F.col(fact_day).cast("date") == F.col("_day"))
+    return (
+        facts.join(open_, on, "left")
+        .withColumns({"attributed": F.col("_label").isNotNull(), label: F.coalesce(F.col("_label"), F.lit(default))})
+        .drop("_label", "_key", "_day")
+    )

@@ -19,7 +19,7 @@ from pyspark.sql.types import StructField, StructType
 
 from ledgerweave.session import Stages
 
-BUCKETS_A_PIECE = 4  # pieces are dealt to buckets by hash; more buckets than pieces seldom share one
+BUCKETS_A_PIECE = 2  # pieces are dealt to buckets by hash; more buckets than pieces seldom share one
 HIDDEN = ("_tie", "_piece")
 
 
@@ -33,11 +33,12 @@ def order_struct(columns: Sequence[str]) -> Column:
 
 @dataclass(frozen=True)
 class Segments:
-    """Rows in pieces, and those of them (``near``) whose group under the first key lies in several pieces."""
+    """Rows in pieces, those of them (``near``) whose group under the first keys lies in several, and all such keys."""
 
     rows: DataFrame
     near: DataFrame
-    base: DataFrame
+    keys: tuple[str, ...]
+    borders: Mapping[tuple[str, ...], DataFrame]
 
     @classmethod
     def of(cls, df: DataFrame, keys: Sequence[str], finer: Sequence[str] = (), name: str = "segments") -> Segments:
@@ -46,36 +47,19 @@ class Segments:
         Rows that tie are told apart by a hash of all their columns; rows equal in all of them may spread
         over pieces too. ``df`` is read twice, once to find the ranges.
         """
-        spark = df.sparkSession
+        spark, stages = df.sparkSession, Stages(df.sparkSession, name)
         pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
         order = [F.col(c).asc_nulls_last() for c in (*keys, *finer)]
         placed = df.withColumn("_tie", F.xxhash64(*df.columns)).withColumn(
             "_spread", F.xxhash64(F.monotonically_increasing_id())
         )
         dealt = placed.repartitionByRange(pieces, *order, F.col("_tie"), F.col("_spread")).drop("_spread")
-        written = Stages(spark, name).write(
+        rows = stages.write(
             dealt.withColumn("_piece", F.spark_partition_id()), "pieces", buckets=(BUCKETS_A_PIECE * pieces, "_piece")
         )
-        out = cls(written, written, written)
-        return replace(out, near=out._at_borders(written, keys))
-
-    def _borders(self, keys: Sequence[str]) -> DataFrame:
-        """Keys of the groups that lie in several pieces: fewer than there are pieces."""
-        ends = self.base.groupBy("_piece").agg(
-            F.min(order_struct(keys)).alias("first"), F.max(order_struct(keys)).alias("last")
-        )
-        found, seen = [], set()
-        for r in ends.collect():  # one row per piece
-            for key in {r["first"], r["last"]}:
-                if key in seen:
-                    found.append((key,))
-                seen.add(key)
-        schema = StructType([StructField("_border", ends.schema["first"].dataType)])
-        return self.base.sparkSession.createDataFrame(list(dict.fromkeys(found)), schema)
-
-    def _at_borders(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-        # fewer keys than pieces
-        return rows.join(F.broadcast(self._borders(keys)), order_struct(keys) == F.col("_border"), "left_semi")
+        borders = {k: _borders(rows, k) for k in {tuple(keys), (*keys, *finer)}}
+        near = _at_borders(rows, keys, borders[tuple(keys)])
+        return cls(rows, stages.write(near, "near"), tuple(keys), borders)
 
     def total(
         self,
@@ -93,27 +77,52 @@ class Segments:
         aggs = [F.sum(c).alias(f"_all_{name}") for name, c in sums.items()]
         if first:
             aggs.append(F.min(F.struct(order_struct(place), "_piece")).alias("_leader"))
-        carry = self._at_borders(self.near, keys).groupBy(order_struct(keys).alias("_group")).agg(*aggs)
-
-        def attach(rows: DataFrame) -> DataFrame:
-            inside = rows.withColumns({name: F.sum(c).over(group) for name, c in sums.items()})
+        carried = self.near
+        if tuple(keys) != self.keys:
+            carried = _at_borders(carried, keys, self.borders[tuple(keys)])
+        carry = carried.groupBy(order_struct(keys).alias("_group")).agg(*aggs)
+
+        def attach(rows: DataFrame, all_cross: bool) -> DataFrame:
+            if not all_cross:
+                rows = rows.withColumns({name: F.sum(c).over(group) for name, c in sums.items()})
             if first:
                 order = [F.col(c).asc_nulls_last() for c in place]
-                inside = inside.withColumn("_place", F.row_number().over(group.orderBy(*order)))
+                rows = rows.withColumn("_place", F.row_number().over(group.orderBy(*order)))
             # at most one row per piece
-            joined = inside.join(F.broadcast(carry), order_struct(keys) == F.col("_group"), "left")
+            joined = rows.join(F.broadcast(carry), order_struct(keys) == F.col("_group"), "left")
             crosses = F.col("_group").isNotNull()
-            out = {name: F.when(crosses, F.col(f"_all_{name}")).otherwise(F.col(name)) for name in sums}
+            out = {}
+            for name in sums:
+                whole = F.col(f"_all_{name}")
+                out[name] = whole if all_cross else F.when(crosses, whole).otherwise(F.col(name))
             if first:
                 leads = ~crosses | (F.col("_leader._piece") == F.col("_piece"))
                 out[first[0]] = (F.col("_place") == 1) & leads
             spare = ["_group", *(f"_all_{name}" for name in sums), *(["_leader", "_place"] if first else [])]
             return joined.withColumns(out).drop(*spare)
 
-        return replace(self, rows=attach(self.rows), near=attach(self.near))
+        return replace(self, rows=attach(self.rows, False), near=attach(self.near, tuple(keys) == self.keys))
 
     def with_columns(self, columns: Mapping[str, Column]) -> Segments:
         return replace(self, rows=self.rows.withColumns(columns), near=self.near.withColumns(columns))
 
     def result(self, *drop: str) -> DataFrame:
         return self.rows.drop(*HIDDEN, *drop)
+
+
+def _borders(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of the groups that lie in several pieces: fewer than there are pieces."""
+    ends = rows.groupBy("_piece").agg(F.min(order_struct(keys)).alias("first"), F.max(order_struct(keys)).alias("last"))
+    found, seen = {}, set()
+    for r in ends.collect():  # one row per piece
+        for key in {r["first"], r["last"]}:
+            if key in seen:
+                found[key] = None
+            seen.add(key)
+    schema = StructType([StructField("_border", ends.schema["first"].dataType)])
+    return rows.sparkSession.createDataFrame([(key,) for key in found], schema)
+
+
+def _at_borders(rows: DataFrame, keys: Sequence[str], borders: DataFrame) -> DataFrame:
+    # fewer keys than pieces
+    return rows.join(F.broadcast(borders), order_struct(keys) == F.col("_border"), "left_semi")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -127,3 +128,40 @@ def test_ad_revenue_splits_paid_and_free(spark):
     clicks = ads.normalise_ad_ledger(ledger)
     got = rows(ads.ad_revenue(clicks, calendar(spark, FIRST, d(30)), FIRST))
     assert got == [("202401", d(0), 140, 100, 40), ("202401", d(7), 7, 7, 0)]
+
+
+def test_attribution_by_sweep_equals_the_range_join(spark):
+    import random
+
+    rng = random.Random(11)
+    spans = [(f"s{rng.randrange(4)}", f"a{i}", d(rng.randrange(30)), d(rng.randrange(40))) for i in range(40)]
+    spans += [(None, "x", d(0), d(9)), ("s1", "y", None, d(9)), ("s2", "open", d(3), dt.date(2999, 12, 30)), ("s0", None, d(1), d(2))]
+    facts = [(i, rng.choice(["s0", "s1", "s2", "s3", "s9", None]), d(rng.randrange(-5, 45))) for i in range(200)] + [(900, "s1", None)]
+    f = spark.createDataFrame(facts, "n int, seller string, day date")
+    s = spark.createDataFrame(spans, "key string, agency string, start_dt date, end_dt date")
+    got = rows(intervals.attribute_interval(f, s, "seller", "day", "key", "agency", "self"), "n", "attributed", "agency", "start_dt", "end_dt")
+    want = []
+    for n, seller, day in facts:
+        mine = [x for x in spans if x[0] is not None and x[0] == seller and None not in (x[2], day) and x[2] <= day <= x[3]]
+        want += [(n, x[1] is not None, x[1] or "self", x[2], x[3]) for x in mine] or [(n, False, "self", None, None)]
+    assert got == sorted(want, key=lambda r: tuple(map(str, r)))
+
+
+def test_many_short_intervals_of_one_seller(spark):
+    """10,000 intervals and 10,000 days of one seller meet one to one, not all with all."""
+    n = 10_000
+    first = F.to_date(F.lit("1990-01-01"))
+    spans = spark.range(n).select(
+        F.lit("s").alias("key"), F.col("id").cast("string").alias("agency"), F.date_add(first, F.col("id").cast("int")).alias("start_dt")
+    ).withColumn("end_dt", F.col("start_dt"))
+    facts = spark.range(n).select(F.lit("s").alias("seller"), F.date_add(first, F.col("id").cast("int")).alias("day"), "id")
+    out = intervals.attribute_interval(facts, spans, "seller", "day", "key", "agency", "self")
+    assert out.filter("agency = CAST(id AS string)").count() == n == out.count()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "<=" not in plan.split("Join")[1].split("\n")[0]  # joins by equality alone
+
+
+def test_times_are_no_calendar_days(spark):
+    events = spark.createDataFrame([("s", dt.datetime(2024, 1, 1, 9), "1")], "k string, at timestamp, type string")
+    with pytest.raises(ValueError, match="calendar day"):
+        intervals.build_intervals(events, ["k"], "at", F.col("type") == "1", F.col("type") == "0", d(9))

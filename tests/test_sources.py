@@ -115,3 +115,69 @@ def test_materialise_survives_and_prunes(spark):
     out = materialise(spark.range(0, 100).selectExpr("id", "id * 2 AS twice", "'x' AS pad"))
     assert out.agg({"twice": "sum"}).collect()[0][0] == 9900
     assert "ReadSchema: struct<twice:bigint>" in out.groupBy().sum("twice")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_newest_of_a_metastore_table_is_listed_without_a_job(spark, tmp_path):
+    from ledgerweave.operators.settlement import latest_snapshot
+
+    name, table = "dump_settlement_stage.order_sales_l", "newest_of_a_metastore_table"
+    schema = StructType.fromDDL(SCHEMAS[name])
+    for day in ("2023-01-09", "2023-01-10", None):
+        df = spark.range(2).select(*[F.lit(day if f.name == "base_dt" else None).cast(f.dataType).alias(f.name) for f in schema.fields])
+        df.write.mode("append").format("parquet").partitionBy("base_dt").option("path", str(tmp_path / "t")).saveAsTable(table)
+    spark.sql(f"ALTER TABLE {table} ADD PARTITION (base_dt = '2023-01-11')")  # listed, but nothing in it
+    tables = Catalog(spark, tables={name: table})
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("newest", "newest", False)
+    assert tables.newest(name, "base_dt") == "2023-01-10"
+    assert not tracker.getJobIdsForGroup("newest")
+    spark.sparkContext._jsc.clearJobGroup()
+    found = latest_snapshot(tables[name], "base_dt", newest=tables.newest(name, "base_dt"))
+    assert found.count() == 2
+    scan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(base_dt" in scan and "2023-01-10" in scan
+    assert tables.newest(name, "id") is None
+    spark.sql("CREATE OR REPLACE TEMP VIEW not_partitioned AS SELECT 1 AS id")
+    assert Catalog(spark, tables={name: "not_partitioned"}).newest(name, "base_dt") is None
+    spark.sql(f"DROP TABLE {table}")
+
+
+def test_newest_of_a_renamed_partition_column(spark, tmp_path):
+    name = "dump_settlement_stage.order_sales_l"
+    schema = StructType.fromDDL(SCHEMAS[name])
+    df = spark.range(1).select(*[F.lit("2023-05-06" if f.name == "base_dt" else None).cast(f.dataType).alias(f.name) for f in schema.fields])
+    df.withColumnRenamed("base_dt", "snapshot").write.partitionBy("snapshot").option("path", str(tmp_path / "r")).saveAsTable("renamed_snapshot")
+    tables = Catalog(spark, tables={name: "renamed_snapshot"}, renames={name: {"snapshot": "base_dt"}})
+    assert tables.newest(name, "base_dt") == "2023-05-06" and tables[name].count() == 1
+    spark.sql("DROP TABLE renamed_snapshot")
+
+
+@pytest.mark.parametrize("job", ["issues", "payments"])
+def test_bucketed_hierarchy_is_joined_without_a_shuffle(spark, sf_dir, tmp_path, job):
+    from checks.derive import Derived
+    from ledgerweave.operators import settlement as st
+    from ledgerweave.plans.orders import _paid_options
+    from ledgerweave.sources.layout import write_hierarchy
+
+    derived = Derived(spark, sf_dir)
+    made = write_hierarchy(spark, derived, str(tmp_path), 4, prefix=f"hierarchy_{job}_")
+    copies = Catalog(spark, tables=made)
+
+    def joined(tables):
+        if job == "issues":
+            return _paid_options(tables, None, only_missing_status=False)
+        names = ("dump.order_options", "dump.order_productions", "dump.orders")
+        return st.seller_options(*[tables[n] for n in names], st.PAYMENT, None)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = joined(copies)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
+        assert "Exchange" in joined(derived)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plain, own = joined(derived), joined(copies)
+    assert sorted(own.columns) == sorted(plain.columns)
+    assert own.select(*plain.columns).exceptAll(plain).count() == 0 == plain.exceptAll(own.select(*plain.columns)).count()
+    for table in made.values():
+        spark.sql(f"DROP TABLE {table}")
