@@ -3,8 +3,8 @@
 Windows are 13 consecutive words of a benchmark item, or the whole of a shorter one. Their shingles
 are ordered by how rare they are in the corpus. A window can stand in a text only where its
 rarest shingle does, so that one (the prefix for full containment) is joined; length and position
-bound where the item can lie around it. Only the item-sized stretches found so are verified, shingle
-by shingle and word by word: a run of matching shingles as long as a window's is an exact occurrence.
+bound where the item can lie around it. Only the item-sized stretches found so are verified: a run
+of matching shingles as long as a window's is an occurrence if the words of text and item agree.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ def _gram(w: Column, at: Column, k: int) -> Column:
     return F.xxhash64(*[F.get(w, at + j) for j in range(k)], F.lit(k))
 
 
-def _said(w: Column, at: Column, k: int) -> Column:
-    return F.array_join(F.slice(w, at + 1, k), " ")
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def contaminated_words(
@@ -53,7 +53,8 @@ def contaminated_words(
     an empty table of texts has no rows.
 
     One pass over the texts keeps the places of shingles that a filter of a fixed size over the items'
-    shingles lets pass, to count them as well as to find them; everything after it reads only these.
+    shingles lets pass, to count them as well as to find them; what follows reads only these. A second
+    pass takes the words of texts with matching runs of shingles, for the comparison.
     """
     spark = docs.sparkSession
     stages = Stages(spark, "decontaminate")
@@ -61,7 +62,10 @@ def contaminated_words(
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most ``shingle`` numbers
     grams = stages.write(_places(items, sizes), "shingles")
     w = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("_id"), words(F.col("text")).alias("w")
+        F.monotonically_increasing_id().alias("row"),
+        F.col(id_col).alias("_id"),
+        _digest(F.col("text")).alias("_digest"),
+        words(F.col("text")).alias("w"),
     ).withColumn("n_words", F.size("w"))
     found = stages.write(_find(w, key_filter(grams, F.col("gram")), sizes), "places")
 
@@ -76,11 +80,10 @@ def contaminated_words(
         F.min_by(F.struct("gram", "at", "corpus"), F.struct("corpus", "at")).alias("p")
     )
     prefix = rarest.filter("p.corpus > 0").select("item", "p.gram", "p.at").distinct()
-    places = found.filter("gram is not null").select("row", "gram", "said", "pos", "n_words")
+    places = found.filter("gram is not null").select("row", "gram", "pos", "n_words")
     bounds = items.select("item", "n", F.least(F.lit(window), F.col("n")).alias("size"), "k")
     candidates = (
-        places.drop("said")
-        .join(prefix.join(bounds, "item"), "gram")
+        places.join(prefix.join(bounds, "item"), "gram")
         .withColumn("diagonal", F.col("pos") - F.col("at"))
         # the window around the prefix must lie within the text
         .filter((F.col("n_words") >= F.col("size")) & (F.col("diagonal") + F.col("n") >= F.col("size")))
@@ -89,10 +92,10 @@ def contaminated_words(
         .distinct()
     )
     # verify: the shingles of each candidate's stretch, where they should stand
-    wanted = candidates.join(grams.select("item", "at", "gram", "said"), "item").select(
-        "row", "item", "diagonal", "size", "k", "gram", "said", (F.col("diagonal") + F.col("at")).alias("pos")
+    wanted = candidates.join(grams.select("item", "at", "gram"), "item").select(
+        "row", "item", "diagonal", "size", "k", "gram", (F.col("diagonal") + F.col("at")).alias("pos")
     )
-    kept = wanted.join(places.select("row", "pos", "gram", "said"), ["row", "pos", "gram", "said"])
+    kept = wanted.join(places.select("row", "pos", "gram"), ["row", "pos", "gram"])
     along = Window.partitionBy("row", "item", "diagonal").orderBy("pos")
     runs = (
         kept.withColumn("_run", F.col("pos") - F.row_number().over(along))
@@ -101,7 +104,10 @@ def contaminated_words(
         .withColumn("end", F.col("hi") + F.col("k"))
         .filter(F.col("end") - F.col("lo") >= F.col("size"))
     )
-    runs = stages.write(runs.select("row", "item", "lo", "end"), "runs")
+    texts = found.filter("gram is null")
+    runs = runs.join(texts.select("row", "digest"), "row").select("row", "digest", "item", "diagonal", "lo", "end")
+    runs = stages.write(runs, "runs")
+    runs = stages.write(runs.join(_same_words(runs, items, docs), ["digest", "item", "lo", "end"], "left_semi"), "verified")
     # words hit, each once: stretches in order, less what earlier ones cover
     before = Window.partitionBy("row").orderBy("lo", "end").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max("end").over(before), F.lit(0))
@@ -118,8 +124,7 @@ def contaminated_words(
     )
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     return (
-        found.filter("gram is null")
-        .select("row", F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"))
+        texts.select("row", F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"))
         .join(hits, "row", "left")
         .join(named, "row", "left")
         .select(
@@ -134,7 +139,7 @@ def contaminated_words(
 
 
 def _places(items: DataFrame, sizes: list[int]) -> DataFrame:
-    """Every shingle of every item: item, n, k, at, gram, said (its words)."""
+    """Every shingle of every item: item, n, k, at, gram."""
     out = None
     for k in sizes or [1]:
         own = items.filter(F.col("k") == k).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - k)))
@@ -144,35 +149,41 @@ def _places(items: DataFrame, sizes: list[int]) -> DataFrame:
             "k",
             "at",
             _gram(F.col("words"), F.col("at"), k).alias("gram"),
-            _said(F.col("words"), F.col("at"), k).alias("said"),
         )
         out = own if out is None else out.unionByName(own)
     return out
 
 
 def _find(w: DataFrame, known: DataFrame, sizes: list[int]) -> DataFrame:
-    """Places of shingles that may be known (row, gram, said, pos, n_words) and one row per text with a null gram."""
-    shingle = "struct<gram:bigint,said:string>"
+    """Places of shingles that may be known (row, gram, pos, n_words), and one row per text with its id, digest and no gram."""
 
     def rolling(k: int) -> Column:
-        whole = F.col("n_words")
-        # no exploded row carries the text, only its own words
-        return F.transform(
-            "w",
-            lambda a, i: F.when(
-                i + k <= whole, F.struct(_gram(F.col("w"), i, k).alias("gram"), _said(F.col("w"), i, k).alias("said"))
-            ).cast(shingle),
-        )
+        return F.transform("w", lambda a, i: F.when(i + k <= F.col("n_words"), _gram(F.col("w"), i, k)))
 
-    rolled = w.select("row", "_id", "n_words", F.concat(*map(rolling, sizes), F.array(F.lit(None).cast(shingle))).alias("_all"))
-    rolled = rolled.select("row", "_id", "n_words", F.posexplode("_all").alias("slot", "_one")).select(
-        "row", "_id", "n_words", "slot", "_one.gram", "_one.said"
-    )
+    text = F.array(F.lit(None).cast("long"))
+    columns = ["row", "_id", "_digest", "n_words"]
+    rolled = w.select(*columns, F.posexplode(F.concat(*map(rolling, sizes), text)).alias("slot", "gram"))
     # lists of one shingle per start follow each other, one per shingle size; the last slot stands for the text
     last = F.col("slot") == F.col("n_words") * len(sizes)
     kept = may_match(rolled, F.col("gram"), known, always=last)
+    own = {name: F.when(last, F.col(f"_{name}")).alias(name) for name in ("id", "digest")}
     pos = F.when(~last, F.col("slot") % F.col("n_words"))
-    return kept.select("row", F.when(last, F.col("_id")).alias("id"), "gram", "said", pos.alias("pos"), "n_words")
+    return kept.select("row", own["id"], own["digest"], "gram", pos.alias("pos"), "n_words")
+
+
+def _same_words(runs: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(digest, item, lo, end) of the runs whose words are the item's; equal texts are compared once."""
+    length = F.col("end") - F.col("lo")
+    asked = runs.join(items.select("item", "words"), "item").select(
+        "digest", "item", "lo", "end", F.slice("words", F.col("lo") - F.col("diagonal") + 1, length).alias("want")
+    )
+    asked = asked.groupBy("digest").agg(F.collect_set(F.struct("item", "lo", "end", "want")).alias("asked"))
+    digest = _digest(F.col("text"))
+    texts = may_match(docs.select("text"), digest, key_filter(asked, F.col("digest")))
+    texts = texts.groupBy(digest.alias("digest")).agg(F.first(words(F.col("text"))).alias("w"))
+    same = F.filter("asked", lambda r: F.slice(F.col("w"), r["lo"] + 1, r["end"] - r["lo"]) == r["want"])
+    held = asked.join(texts, "digest").select("digest", F.explode(same).alias("r"))
+    return held.select("digest", "r.item", "r.lo", "r.end")
 
 
 ORACLE = rf"""
