@@ -161,7 +161,11 @@ def read_turns(windows: DataFrame) -> DataFrame:
 
 
 def digest_conversations(windows: DataFrame) -> DataFrame:
-    """One row per conversation, read back from its windows: turn count and digests of turns and loss."""
+    """One row per conversation, read back from its windows: turn count and digests of turns and loss.
+
+    The digests ask for a conversation's whole text, so unlike ``format_windows`` this gathers one conversation
+    in a task, all rows without an id being one; it serves to check the windows.
+    """
     read = read_turns(windows).select(
         "conv_id",
         "window",

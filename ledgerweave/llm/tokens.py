@@ -125,8 +125,8 @@ class Automaton:
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_tokens, both long.
 
-    Words are runs of non-space characters, matched byte by byte. Null or empty text: 0 of
-    both. Rows with equal or null ids keep rows of their own; other columns are ignored. The
+    Words are runs of non-space characters, matched byte by byte, whole and in time linear in their length.
+    Null or empty text: 0 of both; an empty table has no rows. Rows with equal or null ids keep rows of their own; other columns are ignored. The
     vocabulary is read on the driver from ``vocabulary`` and its automaton (a few MB, fixed by the
     file) is sent to the workers; a batch looks each of its distinct words up once.
     """

@@ -299,3 +299,13 @@ def test_recall_at_production_parameters(spark):
     got = {r.vec_id: r.n_links for r in vectors.link_vectors(df).collect()}
     found = sum(got.values())
     assert all(got[i] <= n for i, n in enumerate(want)) and found >= 0.95 * want.sum() and want.sum() >= 2000
+
+
+def test_one_conversation_of_very_many_turns(spark):
+    rows = [(1, t, ["user", "assistant"][t % 2], f"turn {t} " + "word " * (t % 7)) for t in range(6000)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    windows = chat.format_windows(df)
+    r = chat.digest_conversations(windows).collect()[0]
+    said = "".join(f"{role}\n{text}\n" for _, _, role, text in rows)
+    assert (r.n_turns, r.turns_sha256) == (6000, hashlib.sha256(said.encode()).hexdigest())
+    assert windows.agg({"tokens": "max"}).collect()[0][0] <= chat.BUDGET and windows.count() > 50
