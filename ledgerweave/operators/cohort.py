@@ -47,8 +47,9 @@ def cohort_matrix(firsts: DataFrame) -> DataFrame:
     """First month by order month: month offset, payers and amount.
 
     Months whose net is zero (paid and refunded) count toward the cohort of the first cash
-    month, others toward that of the first net month. A user appears once per order month,
-    so counting rows counts payers.
+    month, others toward that of the first net month. ``month`` is the text of a month's first day, as in the
+    summary table: a user then appears once per order month, and counting rows counts payers. Another
+    day in it would be a month of its own.
     """
     first = F.when(F.col("net") == 0, F.col("first_cash_month")).when(F.col("net") != 0, F.col("first_net_month"))
     placed = firsts.select(
