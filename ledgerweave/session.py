@@ -14,8 +14,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.ansi.enabled": "true",
-    # sides dealt alike by one of several join keys stay where they are: bucketed copies of the order hierarchy
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 # Only for sessions on one machine that name no shared folder, such as tests.

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from ledgerweave.sources.layout import ROOT_ORDER
 from ledgerweave.sources.schemas import SCHEMAS
 
+ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 INFERENCE = "spark.sql.sources.partitionColumnTypeInference.enabled"
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
@@ -69,6 +70,8 @@ class Catalog(Mapping[str, DataFrame]):
             df = self._folder(self._path(name))
         for physical, declared in self.renames.get(name, {}).items():
             df = df.withColumnRenamed(physical, declared)
+        if ROOT_ORDER in df.columns:  # copies dealt by order stay where they are when joined by order and more
+            self.spark.conf.set(ALL_KEYS, "false")
         return conform(df, name, (ROOT_ORDER,))
 
     def _path(self, name: str) -> str:
