@@ -313,3 +313,32 @@ def test_contamination_of_long_texts(spark):
     benchmark = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(4000, 4013))), (2, "zz yy")], "item_id bigint, text string")
     row = contamination.contaminated_words(docs_of(spark, [words_ + " zz yy"]), benchmark).collect()[0]
     assert (row.n_words, row.n_hit, row["items"]) == (120_002, 24 * 13 + 2, ["1", "2"])
+
+
+def test_copies_equal_a_plain_plan(spark):
+    """Rates by bisection on each source's dual, source by source, then the same rounding rule."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, "w " * (1 + i * 7919 % 97), f"s{i % 4}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix(df).withColumn("bin", F.pmod(F.xxhash64("doc_id", "mix_size"), F.lit(mixing.BINS))).collect()
+    sources = sorted({r.source for r in got})
+    sizes = [sum(r.mix_size for r in got if r.source == s) for s in sources]
+    targets = water_fill(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(sources))])
+    for s, target in zip(sources, targets):
+        mine = [r for r in got if r.source == s]
+        octave = {r.doc_id: int(math.log2(r.mix_size)) for r in mine}
+        tilt = lambda k: 1 + k * mixing.TILT
+        lo, hi = -20.0, 20.0
+        for _ in range(200):
+            lam = (lo + hi) / 2
+            total = sum(r.mix_size * math.exp(lam * tilt(octave[r.doc_id])) for r in mine)
+            lo, hi = (lam, hi) if total < target else (lo, lam)
+        cells = Counter()
+        for r in mine:
+            cells[octave[r.doc_id], r.bin] += r.mix_size
+        plan = mixing.plan_copies(target, [(k, b, t, min(3.0, math.exp(lam * tilt(k)))) for (k, b), t in cells.items()], 3.0)
+        plan = {k: (copies, cut) for k, copies, cut in plan}
+        want = {r.doc_id: plan[octave[r.doc_id]][0] + (r.bin < plan[octave[r.doc_id]][1]) for r in mine}
+        assert {r.doc_id: r.mix_copies for r in mine} == want
+        assert abs(sum(want[r.doc_id] * r.mix_size for r in mine) - target) <= 100
