@@ -38,3 +38,15 @@ def may_match(df: DataFrame, key: Column, words: DataFrame, always: Column | Non
         return _placed(df.filter(key.isNotNull()), key).join(words, "_word").filter(held).select(*df.columns)
     kept = always | (key.isNotNull() & F.coalesce(held, F.lit(False)))
     return _placed(df, key).join(words, "_word", "left").filter(kept).select(*df.columns)
+
+
+def without_keys(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key is not among those of ``gone`` (a column of that name, best a written table).
+
+    An anti join that shuffles only rows that may go: the others pass by the filter. Null keys stay.
+    """
+    words = F.broadcast(key_filter(gone, F.col(key)))  # at most WORDS rows
+    told = _placed(df, F.col(key)).join(words, "_word", "left")
+    may = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
+    asked = told.filter(may).select(*df.columns).join(gone.select(key), key, "left_anti")
+    return told.filter(~may).select(*df.columns).unionByName(asked)

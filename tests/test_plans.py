@@ -12,7 +12,7 @@ from ledgerweave import plans
 from ledgerweave.functions import spread_null_key
 from ledgerweave.operators import dedupe, intervals, points
 from ledgerweave.operators import settlement as st
-from ledgerweave.operators.keyfilter import key_filter, may_match
+from ledgerweave.operators.keyfilter import key_filter, may_match, without_keys
 from ledgerweave.operators.lookup import floor_date_lookup
 from ledgerweave.operators.segments import Segments
 
@@ -227,3 +227,12 @@ def test_key_filter_of_nulls_and_nothing(spark):
     df = spark.createDataFrame([(1,), (None,), (2,)], "k int")
     assert may_match(df, F.col("k"), key_filter(df.filter("k = 1"), F.col("k"))).collect() == [(1,)]
     assert may_match(df, F.col("k"), key_filter(df.filter("k is null"), F.col("k"))).collect() == []
+
+
+def test_an_anti_join_shuffles_only_rows_that_may_go(spark, tmp_path):
+    spark.range(0, 50_000).selectExpr("id AS k", "repeat('x', 50) AS text").write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows")).unionByName(spark.createDataFrame([(None, "null")], "k bigint, text string"))
+    gone = spark.range(0, 50_000, 500).withColumnRenamed("id", "k")
+    out = without_keys(df, "k", gone)
+    assert out.columns == df.columns and out.count() == 50_001 - 100 and out.filter("k % 500 = 0").count() == 0
+    assert without_keys(df, "k", gone.limit(0)).count() == 50_001
