@@ -83,11 +83,11 @@ class Segments:
         carry = carried.groupBy(order_struct(keys).alias("_group")).agg(*aggs)
 
         def attach(rows: DataFrame, all_cross: bool) -> DataFrame:
-            if not all_cross:
-                rows = rows.withColumns({name: F.sum(c).over(group) for name, c in sums.items()})
-            if first:
+            if first:  # before the sums: they need no more than the order that this one sorts by
                 order = [F.col(c).asc_nulls_last() for c in place]
                 rows = rows.withColumn("_place", F.row_number().over(group.orderBy(*order)))
+            if not all_cross:
+                rows = rows.withColumns({name: F.sum(c).over(group) for name, c in sums.items()})
             # at most one row per piece
             joined = rows.join(F.broadcast(carry), order_struct(keys) == F.col("_group"), "left")
             crosses = F.col("_group").isNotNull()
