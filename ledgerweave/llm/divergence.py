@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.common import LOWER, UPPER, query, table
+from ledgerweave.llm.common import LOWER, UPPER, batches_of, query, table
 from ledgerweave.session import Stages
 
 MIN_DOCS, TERM_RANKS, SCALE = 3, 200, 1_000_000_000
@@ -314,6 +314,7 @@ def audit_sources(docs: DataFrame, min_docs: int = MIN_DOCS, term_ranks: int = T
     source without a kept term is still compared; a language with one source has no pairs. An empty
     table has no rows. Other columns are ignored.
     """
+    batches_of(docs.sparkSession, 1024)  # texts at a time; stripes are merged in larger lots
     stages = Stages(docs.sparkSession, "divergence")
     merged = stages.write(merge_stripes(fold_stripes(docs), min_docs), "stripes")
     entry = merged.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("e"))
