@@ -21,6 +21,7 @@ from ledgerweave.llm.langid import fit_languages, identify, training_rows
 from ledgerweave.llm.mixing import mix
 from ledgerweave.llm.neardup import near_duplicates
 from ledgerweave.llm.toxicity import fit_toxicity, score_toxicity, training_labels
+from ledgerweave.operators.keyfilter import without_keys
 from ledgerweave.session import Stages, tune
 
 ORACLE_SQL = None  # trained models and hashes; tests compare each stage with a plain version
@@ -48,7 +49,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     tune(spark)
     # numbered once and written, so that every later step means the same row by a number
-    rows = Stages(spark, "rows").write(docs.withColumn("_row_key", F.monotonically_increasing_id()), "numbered")
+    stages = Stages(spark, "rows")
+    rows = stages.write(docs.withColumn("_row_key", F.monotonically_increasing_id()), "numbered")
     grouped = near_duplicates(rows.select(F.col("_row_key").alias("doc_id"), "text"), shingle=5)
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "_row_key")
     of = grouped.select(F.col("doc_id").alias("_row_key"), "component_id")
@@ -57,7 +59,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     least = placed.groupBy("component_id").agg(F.min(place).alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     least = least.select("component_id", F.col("_least._row_key").alias("_stays"))
     gone = placed.join(least, "component_id").filter(F.col("_row_key") != F.col("_stays")).select("_row_key")
-    return rows.join(gone, "_row_key", "left_anti").select(*docs.columns)
+    return without_keys(rows, "_row_key", stages.write(gone, "gone")).select(*docs.columns)
 
 
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,8 +72,8 @@ def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         table(spark, sf_dir, "benchmark").select("item_id", "text"),
         id_col="_key",
     )
-    gone = found.filter("contaminated").select("_key").distinct()
-    return docs.withColumn("_key", key).join(gone, "_key", "left_anti").select(*docs.columns)
+    gone = Stages(spark, "contaminated").write(found.filter("contaminated").select("_key").distinct(), "gone")
+    return without_keys(docs.withColumn("_key", key), "_key", gone).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
