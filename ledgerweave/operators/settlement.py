@@ -46,6 +46,8 @@ BRANCH_KEYS = [
     "delivery_complete_date",
     "purchase_confirm_date",
 ]
+# the option's number, by which the branches deal their rows; it follows from order_option_id
+OPTION_KEY = "_option"
 REPORT_KEYS = [
     "base_dt",
     "kind",
@@ -78,14 +80,13 @@ def recognised_date(base: str, milestone: str) -> Column:
     return greatest_strict(F.col(base), F.col(milestone)).cast("date")
 
 
-def settlement_kind(milestone: Milestone) -> Column:
-    """Manual correction, at the milestone, cancel after it, or recalculated."""
-    at_milestone = F.col("base_dttm").cast("date") <= F.col(milestone.column).cast("date")
+def settlement_kind(milestone: Milestone, manual: Column, booked: Column, cancel: Column) -> Column:
+    """Manual correction, booked by the milestone's day, cancel after it, or recalculated."""
     return first_match(
         [
-            (F.col("batch_job") == MANUAL_JOB, KIND_MANUAL),
-            (at_milestone, milestone.reached),
-            (F.col("kind_code") == -1, milestone.cancelled),
+            (manual, KIND_MANUAL),
+            (booked <= F.col(milestone.column).cast("date"), milestone.reached),
+            (cancel, milestone.cancelled),
         ],
         KIND_RECALCULATED,
     )
@@ -147,33 +148,42 @@ def settlement_branches(
     The tables are stacked, so ``options`` (from ``seller_options``) are joined once; a row of the
     result carries the amount of one of them, the others are zero. Groups that net to zero
     drop. The upper bound is repeated on the plain booking time so that the scans can use it.
+    ``OPTION_KEY`` stays in the result: rows lie by it from the join on and are grouped there.
     """
+    number, given = F.col("order_option_id").cast("bigint"), F.col("order_option_id").cast("string")
     booked = [
         df.filter(F.col("base_dttm") < as_date(end_day).cast("timestamp_ntz")).select(
             F.lit(i).alias("_set"),
-            "base_dttm",
-            "batch_job",
-            F.col("kind").alias("kind_code"),
+            # only the day of booking decides, so a row is shuffled as day, two flags and numbers
+            F.col("base_dttm").cast("date").alias("_booked"),
+            (F.col("batch_job") == MANUAL_JOB).alias("_manual"),
+            (F.col("kind") == -1).alias("_cancel"),
             F.col("order_id").cast("string").alias("order_id"),
-            F.col("order_option_id").cast("string").alias("order_option_id"),
-            F.col("order_option_id").cast("bigint").alias("_option"),
+            number.alias(OPTION_KEY),
+            F.when(given != number.cast("string"), given).alias("_spelled"),
             F.col(cost).alias("_cost"),
         )
         for i, (df, cost, _, _) in enumerate(costs)
     ]
-    joined = reduce(DataFrame.unionByName, booked).join(options, F.col("_option") == F.col("option_id"))
+    joined = reduce(DataFrame.unionByName, booked).join(options, F.col(OPTION_KEY) == F.col("option_id"))
     counts_to = F.coalesce(
         *[F.when(F.col("_set") == i, F.col(q or milestone.column)) for i, (_, _, _, q) in enumerate(costs)]
     )
-    counted_at = F.col("base_dttm").cast("date") <= counts_to.cast("date")
-    day = recognised_date("base_dttm", milestone.column)
+    counted_at = F.col("_booked") <= counts_to.cast("date")
+    day = recognised_date("_booked", milestone.column)
     return (
-        joined.withColumn("_day", day)
+        joined.withColumns(
+            {
+                "_day": day,
+                "order_option_id": F.coalesce("_spelled", F.col(OPTION_KEY).cast("string")),
+            }
+        )
         .filter((F.col("_day") >= as_date(first_day)) & (F.col("_day") < as_date(end_day)))
         .select(
             "_set",
+            OPTION_KEY,
             F.col("_day").cast("string").alias("base_dt"),
-            settlement_kind(milestone).alias("kind"),
+            settlement_kind(milestone, F.col("_manual"), F.col("_booked"), F.col("_cancel")).alias("kind"),
             "seller_id",
             "order_id",
             "order_option_id",
@@ -187,10 +197,11 @@ def settlement_branches(
             "_cost",
             F.when(counted_at, F.col("option_count")).otherwise(0).alias("_qty"),
         )
-        .groupBy("_set", *BRANCH_KEYS)
+        .groupBy("_set", OPTION_KEY, *BRANCH_KEYS)
         .agg(F.sum("_cost").alias("_cost"), F.sum("_qty").alias("quantity"))
         .filter(F.col("_cost") != 0)
         .select(
+            OPTION_KEY,
             *BRANCH_KEYS,
             "quantity",
             *[F.when(F.col("_set") == i, -F.col("_cost")).otherwise(0).alias(out) for i, (_, _, out, _) in enumerate(costs)],
@@ -211,7 +222,7 @@ def settlement_branch(
     """``settlement_branches`` of one cost table."""
     return settlement_branches(
         [(costs, cost_col, amount_out, quantity_milestone)], options, milestone, first_day, end_day
-    )
+    ).drop(OPTION_KEY)
 
 
 def stage_payment_branch(
@@ -226,6 +237,7 @@ def stage_payment_branch(
     first_day: dt.date,
     end_day: dt.date,
     by_delivery: bool = False,
+    with_key: bool = False,
 ) -> DataFrame:
     """Product-coupon amounts of the staged payment tables by transaction date.
 
@@ -233,6 +245,8 @@ def stage_payment_branch(
     Coupon amounts are summed per item and transaction before they meet the chain, and only
     coupon rows are read: other methods add zero. ``by_delivery`` filters by delivery date
     instead, keeping delivered options only, while the day stays that of the transaction.
+    The options come last, so their texts are shuffled once and the groups form where that join
+    has dealt them, by ``OPTION_KEY``, which ``with_key`` keeps.
     """
     lo, hi = as_date(first_day).cast("timestamp_ntz"), as_date(end_day).cast("timestamp_ntz")
     t = transactions.filter(F.col("service_id") == service_id)
@@ -247,21 +261,23 @@ def stage_payment_branch(
         F.col("id").alias("product_id"), "seller_id", F.coalesce("name", F.lit(SHIPPING_NAME)).alias("product_name")
     )
     o = o.select(
-        F.col("id").cast("string").alias("order_option_id"),
+        F.col("id").alias("_option_id"),
         F.col("order_production_id").alias("_production"),
         F.col("reference_option_id").alias("product_option_id"),
         F.col("explain").alias("option_name"),
         iso_day("delivery_complete_date").alias("delivery_complete_date"),
         iso_day("purchase_confirm_date").alias("purchase_confirm_date"),
-    ).join(p, F.col("_production") == F.col("product_id"))
+    ).join(p, F.col("_production") == F.col("product_id")).drop("_production")
     coupon = (
         amounts.filter(F.col("payment_method_type") == PRODUCT_COUPON)
         .groupBy("payment_item_id", "transaction_id")
         .agg(F.sum("amount").alias("_amount"))
     )
-    item_options = items.select(
-        "payment_item_id", F.col("item_reference_id").alias("order_option_id")
-    ).join(o, "order_option_id")
+    # a reference is an option's id as text: other texts, and other spellings of the number, match none
+    number = F.col("item_reference_id").try_cast("bigint")
+    references = items.select(
+        "payment_item_id", F.col("item_reference_id").alias("order_option_id"), number.alias(OPTION_KEY)
+    ).filter(F.col(OPTION_KEY).cast("string") == F.col("order_option_id"))
     kind = F.when(F.col("transaction_type") == "PAYMENT", KIND_PAID).when(
         F.col("transaction_type") == "CANCEL", KIND_STAGE_CANCELLED
     )
@@ -269,7 +285,9 @@ def stage_payment_branch(
         t.select("payment_id", "transaction_id", "transaction_at", "transaction_type", "order_id")
         .join(transaction_items.select("payment_id", "transaction_id", "payment_item_id"), ["payment_id", "transaction_id"])
         .join(coupon, ["payment_item_id", "transaction_id"])
-        .join(item_options, "payment_item_id")
+        .join(references, "payment_item_id")
+        .drop("payment_item_id", "payment_id", "transaction_id")
+        .join(o, F.col(OPTION_KEY) == F.col("_option_id"))
         .withColumns(
             {
                 "base_dt": F.col("transaction_at").cast("date").cast("string"),
@@ -278,10 +296,10 @@ def stage_payment_branch(
                 "payment_date": iso_day("transaction_at"),
             }
         )
-        .groupBy(*BRANCH_KEYS)
+        .groupBy(OPTION_KEY, *BRANCH_KEYS)
         .agg(F.sum("_amount").alias("_amount"))
         .filter(F.col("_amount") != 0)
-        .select(*BRANCH_KEYS, (-F.col("_amount")).alias("coupon_total"))
+        .select(*([OPTION_KEY] if with_key else []), *BRANCH_KEYS, (-F.col("_amount")).alias("coupon_total"))
     )
 
 
@@ -306,11 +324,13 @@ def stage_settlement_branch(
     first_day: dt.date,
     end_day: dt.date,
     newest: str | None = None,
+    with_key: bool = False,
 ) -> DataFrame:
     """Product-coupon amounts of the newest settlement snapshot.
 
     The amount keeps its sign here (the other branches negate). A sale counts its quantity
-    once per settlement round it was booked in.
+    once per settlement round it was booked in. ``with_key`` deals the rows by ``OPTION_KEY`` and keeps it;
+    sales without an option are dealt by order and product.
     """
     lo, hi = as_date(first_day).cast("timestamp_ntz"), as_date(end_day).cast("timestamp_ntz")
     s = latest_snapshot(sales, "base_dt", newest=newest).filter((F.col("recognized_at") >= lo) & (F.col("recognized_at") < hi))
@@ -322,9 +342,15 @@ def stage_settlement_branch(
         .groupBy(F.col("order_sales_id").alias("_sale"))
         .agg(F.sum("amount").alias("_amount"))
     )
+    sold = s.join(d, F.col("id") == F.col("_sale"))
+    key = []
+    if with_key:
+        key = [OPTION_KEY]
+        number = F.coalesce(F.col("order_option_id").cast("bigint"), F.xxhash64("order_id", "product_id"))
+        sold = sold.withColumn(OPTION_KEY, number).drop("_sale", "id").repartition(OPTION_KEY)
     return (
-        s.join(d, F.col("id") == F.col("_sale"))
-        .groupBy(
+        sold.groupBy(
+            *key,
             F.col("recognized_at").cast("date").cast("string").alias("base_dt"),
             F.when(F.col("recognized_type") == STAGE_CONFIRMED, KIND_CONFIRMED)
             .otherwise(KIND_CONFIRMED_CANCELLED)
@@ -359,10 +385,16 @@ def settlement_round(df: DataFrame, day: Column) -> DataFrame:
 
 
 def settlement_report(branches: Sequence[DataFrame], with_round: bool = False) -> DataFrame:
-    """Branches stacked by column name, missing measures zero, amounts as whole units."""
+    """Branches stacked by column name, missing measures zero, amounts as whole units.
+
+    Branches that all have ``OPTION_KEY`` lie by it, and so do their stacked rows: the sums need no
+    further shuffle. It follows from the report's keys and changes no group.
+    """
+    dealt = [OPTION_KEY] if all(OPTION_KEY in b.columns for b in branches) else []
     measures = {"quantity": "bigint", "point_total": "decimal(28,4)", "coupon_total": "decimal(28,4)"}
     shaped = [
         b.select(
+            *dealt,
             *REPORT_KEYS,
             *[
                 (F.coalesce(F.col(m), F.lit(0)) if m in b.columns else F.lit(0)).cast(t).alias(m)
@@ -374,11 +406,11 @@ def settlement_report(branches: Sequence[DataFrame], with_round: bool = False) -
     stacked = shaped[0]
     for b in shaped[1:]:
         stacked = stacked.unionByName(b)
-    total = stacked.groupBy(*REPORT_KEYS).agg(
+    total = stacked.groupBy(*dealt, *REPORT_KEYS).agg(
         F.sum("quantity").alias("quantity"),
         round0(F.sum("point_total")).cast("bigint").alias("point_total"),
         round0(F.sum("coupon_total")).cast("bigint").alias("coupon_total"),
-    )
+    ).drop(*dealt)
     if with_round:
         return settlement_round(total, F.to_date("base_dt"))
     return total.withColumns({"year": F.substring("base_dt", 1, 4), "month": F.substring("base_dt", 6, 2)})

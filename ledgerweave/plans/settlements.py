@@ -57,6 +57,7 @@ def _stage_branch(
         sellers,
         *period,
         by_delivery=by_delivery,
+        with_key=True,
     )
 
 
@@ -109,6 +110,7 @@ def purchase_confirm_discounts(
             stage_sellers,
             *stage_period,
             newest=tables.newest(SALES, "base_dt") if isinstance(tables, Catalog) else None,
+            with_key=True,
         )
     )
     return ops.settlement_report(branches, with_round=True)

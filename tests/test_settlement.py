@@ -173,3 +173,31 @@ def test_stage_settlement_reads_the_newest_snapshot_and_keeps_the_sign(spark):
     )
     got = plans.purchase_confirm_discounts(tabs, None, JULY, None, JULY)
     assert rows(got, "kind", "quantity", "coupon_total", "settle_month", "settle_round") == [(st.KIND_CONFIRMED, 3, 60, "07", "2차")]
+
+
+def exchanges(df):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_payment_report_moves_no_text_rows_after_its_joins(spark):
+    """The sums of the branches and of the report form where the joins by option have dealt the rows."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        tabs = staged(spark)
+        moved = exchanges(payment(tabs))
+        assert moved and not [line for line in moved if "base_dt#" in line.split("hashpartitioning(")[1].split(", ENSURE")[0]]
+        got = rows(payment(tabs), "kind", "order_option_id", "coupon_total")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [(st.KIND_PAID, "7", -33), (st.KIND_STAGE_CANCELLED, "7", 30)]
+
+
+def test_spellings_of_an_option_stay_apart_and_staged_ones_must_be_exact(spark):
+    at = TS(2022, 7, 3, 12)
+    tabs = tables(spark, [cost(at, 100), cost(at, 7, option="0100")], [cost(at, 40, option="0100")])
+    assert rows(payment(tabs), "order_option_id", "coupon_total", "point_total") == [("0100", -7, -40), ("100", -100, 0)]
+    tabs = staged(spark)
+    name = "dump_payment_stage.payment_items"
+    tabs[name] = spark.createDataFrame([(100, "07", "c"), (101, " 7", "c")], SCHEMAS[name])
+    assert payment(tabs).count() == 0
