@@ -44,7 +44,7 @@ def stored(
             df = df.withColumnRenamed(declared, physical)
         writer = df.write.format("parquet")
         if name in partitions:
-            writer = df.repartition(*partitions[name]).write.format("parquet").partitionBy(*partitions[name])
+            writer = by_partition(df, partitions[name]).write.format("parquet").partitionBy(*partitions[name])
         if name in metastore:
             tables[name] = f"stored_{run}_{name.replace('.', '_').replace('-', '_')}"
             writer.option("path", f"{root}/metastore/{name}").saveAsTable(tables[name])
@@ -53,6 +53,11 @@ def stored(
     return Catalog(spark, root, tables=tables, renames=renames)
 
 
+def by_partition(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows near others of their partition, few files each: a large partition is dealt over several tasks, as its size asks."""
+    return df.hint("rebalance", *[F.col(c) for c in columns])
+
+
 ISSUE_TABLES = [
     *HIERARCHY,
     SELLERS,
@@ -135,7 +140,7 @@ def newest_snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lines = base_table(spark, sf_dir, "lineitem").withColumn("base_dt", F.date_format("l_shipdate", "yyyy-MM"))
     table = f"stored_{uuid.uuid4().hex[:12]}_lines"
-    dealt = lines.repartition("base_dt").write.format("parquet").partitionBy("base_dt")
+    dealt = by_partition(lines, ["base_dt"]).write.format("parquet").partitionBy("base_dt")
     dealt.option("path", scratch_path(spark, "stored")).saveAsTable(table)
     tables = Catalog(spark, tables={SALES: table})
     found = latest_snapshot(spark.table(table), "base_dt", newest=tables.newest(SALES, "base_dt"))

@@ -16,6 +16,18 @@ from pyspark.sql import functions as F
 
 ORDERS, PRODUCTIONS, OPTIONS = "dump.orders", "dump.order_productions", "dump.order_options"
 ROOT_ORDER = "root_order_id"  # the extra column of options
+BUCKET_BYTES = 32 << 20  # of the files that options are read from, for each bucket
+
+
+def _file_bytes(df: DataFrame) -> int:
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in df.inputFiles()]
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+
+
+def bucket_count(options: DataFrame, least: int) -> int:
+    """Buckets of the copies: as many as the files of ``options`` ask for, so a bucket's task does not grow with the table."""
+    return max(least, -(-_file_bytes(options) // BUCKET_BYTES))
 
 
 def write_hierarchy(
@@ -23,9 +35,10 @@ def write_hierarchy(
 ) -> dict[str, str]:
     """Write the copies as tables ``database.prefix + orders | order_productions | order_options`` under ``path``.
 
-    Returns the names for ``Catalog(tables=...)``. Existing copies of the names are replaced. Options whose
+    There are ``buckets`` of them, or more as ``bucket_count`` says. Returns the names for ``Catalog(tables=...)``. Existing copies of the names are replaced. Options whose
     production is missing are kept, in the bucket of null: they join nothing, as in the plain tables.
     """
+    buckets = bucket_count(tables[OPTIONS], buckets)
     parent = tables[PRODUCTIONS].select(F.col("id").alias("_parent"), F.col("order_id").alias(ROOT_ORDER))
     options = tables[OPTIONS].join(parent, F.col("order_production_id") == F.col("_parent"), "left").drop("_parent")
     made = {}

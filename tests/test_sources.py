@@ -181,3 +181,29 @@ def test_bucketed_hierarchy_is_joined_without_a_shuffle(spark, sf_dir, tmp_path,
     assert own.select(*plain.columns).exceptAll(plain).count() == 0 == plain.exceptAll(own.select(*plain.columns)).count()
     for table in made.values():
         spark.sql(f"DROP TABLE {table}")
+
+
+def test_a_large_partition_is_written_by_several_tasks(spark, tmp_path):
+    """All rows of a partition in one task would be sorted there, whatever their number."""
+    from checks.stored import by_partition
+
+    df = spark.range(0, 40_000, 1, 4).select(F.lit("2023-03-01").alias("base_dt"), F.md5(F.col("id").cast("string")).alias("t"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        by_partition(df, ["base_dt"]).write.partitionBy("base_dt").parquet(str(tmp_path / "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "t" / "base_dt=2023-03-01").glob("*.parquet"))) > 1
+    assert spark.read.parquet(str(tmp_path / "t")).distinct().count() == 40_000
+
+
+def test_buckets_follow_the_size_of_the_options(spark, tmp_path, monkeypatch):
+    from ledgerweave.sources import layout
+
+    folder = str(tmp_path / "dump.order_options")
+    spark.range(0, 20_000, 1, 2).write.parquet(folder)
+    options = spark.read.parquet(folder).groupBy("id").count()
+    assert layout.bucket_count(options, 8) == 8
+    monkeypatch.setattr(layout, "BUCKET_BYTES", 8 << 10)
+    assert layout.bucket_count(options, 8) > 8
+    assert layout.bucket_count(spark.createDataFrame([(1,)], "id long"), 8) == 8
