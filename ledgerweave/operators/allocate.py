@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,12 +84,13 @@ def share_out(
     out: str = "fixed",
     first_out: str = "is_first",
     copies: str | None = None,
+    derived: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """``allocate`` and ``fix_residual`` over the same rows, which are dealt to tasks and written once.
 
     Shares are taken within ``keys``; what rounding leaves is settled within ``keys`` and ``settle_by``
-    together, which divide the groups further.
+    together, which divide the groups further. ``derived`` columns are not dealt but computed where they are used.
     """
-    s = _allocated(Segments.of(df, keys, settle_by), keys, amount, weight, order_by, alloc_out, first_out, copies)
+    s = _allocated(Segments.of(df, keys, settle_by, derived=derived), keys, amount, weight, order_by, alloc_out, first_out, copies)
     settled = _fixed(s, [*keys, *settle_by], amount, alloc_out, first_out, keep_full, out, copies)
     return settled.result("_w", "_sum")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import as_date, ex_vat, full_months_between, month_key, round0, spread_null_key
@@ -12,7 +13,6 @@ from ledgerweave.operators.allocate import share_out
 from ledgerweave.operators.dedupe import fold_copies
 from ledgerweave.operators.keyfilter import key_filter, may_match
 from ledgerweave.operators.weeks import week_of_day
-from ledgerweave.session import materialise
 
 # --- Fixed values: codes of the point ledger -------------------------------------------
 ACCUM = "ACCUM"
@@ -110,11 +110,38 @@ def option_biz(options: DataFrame, productions: DataFrame, sellers: DataFrame) -
     )
 
 
-def first_details(points: DataFrame, details: DataFrame) -> DataFrame:
-    """Points joined to the details that are their own first accumulation."""
+def with_option_biz(points: DataFrame, options_biz: DataFrame) -> DataFrame:
+    """Points with ``option_biz``: the business codes of the option their request names, each with its copies.
+
+    Null without a request; empty where the option is unknown, or known once and unmapped, which is the same
+    to a left join. An option has as many entries as it has different codes. Points are looked up once here,
+    so that no later row, of which there are several a point, is moved for its option.
+    """
+    codes = (
+        options_biz.select("option_key", "biz_code", "biz_copies")
+        .filter(F.col("option_key").isNotNull())
+        .repartition("option_key")  # both sums and the join find an option's rows in place
+        .groupBy("option_key", "biz_code")
+        .agg(F.sum("biz_copies").alias("biz_copies"))
+        .groupBy("option_key")
+        .agg(F.collect_list(F.struct("biz_code", "biz_copies")).alias("_codes"))
+    )
+    one = F.col("_codes")[0]
+    unmapped = (F.size("_codes") == 1) & one["biz_code"].isNull() & (one["biz_copies"] == 1)
+    none = F.filter("_codes", lambda _: F.lit(False))
+    codes = codes.withColumn("_codes", F.when(unmapped, none).otherwise(F.col("_codes")))
+    empty = F.array().cast(dict(codes.dtypes)["_codes"])
+    return (
+        points.join(codes, spread_null_key("request_id", "id") == F.col("option_key"), "left")
+        .select(*points.columns, F.when(F.col("request_id").isNotNull(), F.coalesce("_codes", empty)).alias("option_biz"))
+    )
+
+
+def first_details(points: DataFrame, details: DataFrame, *more: str) -> DataFrame:
+    """Points joined to the details that are their own first accumulation; ``more`` names further columns of the points."""
     d = details.filter(F.col("detail_first_accum_id") == F.col("id")).select("detail_first_accum_id", "point_id")
     p = points.select(
-        F.col("id").alias("_point"), "process_type", "category_type", "version", "created_at", "request_id"
+        F.col("id").alias("_point"), "process_type", "category_type", "version", "created_at", "request_id", *more
     )
     return d.join(p, F.col("point_id") == F.col("_point")).drop("point_id")
 
@@ -124,25 +151,35 @@ def first_accumulation(
 ) -> DataFrame:
     """One row per first accumulation: who granted it, when, in which category and business.
 
-    Only purchase-confirm points have an option; the others get a join key of their own.
+    Only purchase-confirm points have an option. ``points`` may carry their ``option_biz`` already.
     """
-    key = spread_null_key(F.when(F.col("category_type") == CONFIRM_ORDER, F.col("request_id")), "_point")
-    biz = options_biz.select("option_key", "biz_code")
+    if "option_biz" not in points.columns:
+        points = with_option_biz(points, options_biz)
+    # all that is told apart in the end is first or third party
+    codes = F.transform("option_biz", lambda o: origin_biz(F.lit(CONFIRM_ORDER), o["biz_code"]))
+    none = origin_biz(F.lit(CONFIRM_ORDER), F.lit(None).cast("string"))
+    biz = F.when(
+        F.col("category_type") == CONFIRM_ORDER,
+        F.when(F.size("option_biz") > 0, F.array_distinct(codes)).otherwise(F.array(none)),
+    )
+    points = points.withColumn("_biz", biz)
     m = type_mapping.select(F.col("category_type").alias("_type"), F.col("acct_type").alias("acct_cate"))
     return (
-        first_details(points, details)
-        .withColumn("_key", key)
-        .join(biz, F.col("_key") == F.col("option_key"), "left")
+        first_details(points, details, "_biz")
+        .drop("request_id")
+        .distinct()  # copies of a detail lie with their point: folded before anything is moved
+        .withColumn("accum_acct_biz", F.explode_outer("_biz"))
         .join(m, F.col("category_type") == F.col("_type"), "left")
         .select(
             "detail_first_accum_id",
             "process_type",
             "acct_cate",
-            origin_biz(F.col("category_type"), F.col("biz_code")).alias("accum_acct_biz"),
+            "accum_acct_biz",
             "category_type",
             "version",
             "created_at",
         )
+        .repartition("detail_first_accum_id")  # where it is also looked up
         .distinct()
     )
 
@@ -154,43 +191,44 @@ def legacy_origin(
     unmatched: Column,
     user: str = "user_id",
     payload: str = "payload",
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """Trace rows without a first accumulation through the mileage history to an older point.
 
-    Adds ``mileage``, ``history_copies`` and the legacy point's columns with prefix ``mig_``. Rows
-    that are traced already, or have no user or payload, keep nulls there and are not moved. The keys of
-    the others filter the history at its scan, and the references of what is left filter the older points,
-    so only rows that may be part of a trace are shuffled. ``df`` is read three times: an expensive one
-    should be a written table.
+    Adds ``mileage``, ``history_copies`` and the legacy point's columns with prefix ``mig_`` (its ``option_biz``
+    too, if ``points`` carries it). Rows that are traced already, or have no user or payload, keep nulls there and
+    are not moved. The keys of the others filter the history at its scan, and the references of what is left filter
+    the older points, so only rows that may be part of a trace are shuffled. History meets the older points first:
+    the rows themselves are moved once. ``df`` is read three times: an expensive one should be a written table, or
+    ``asked`` a cheaper one with the users and payloads of its unmatched rows. Keys are put together where rows
+    meet and not moved with them.
     """
     own = F.concat(F.col(user).cast("string"), F.lit("|"), F.col(payload).cast("string"))
-    keyed = df.withColumn("_key", F.when(unmatched, own))
-    open_, settled = keyed.filter(F.col("_key").isNotNull()), df.filter(~F.coalesce(unmatched, F.lit(False)) | own.isNull())
+    missing = F.coalesce(unmatched, F.lit(False))
+    open_, settled = df.filter(missing & own.isNotNull()), df.filter(~missing | own.isNull())
 
     hkey = F.concat_ws("|", F.col("user_id"), F.col("mileage_id").cast("string"))
-    mentioned = may_match(history, hkey, key_filter(open_, F.col("_key"))).select(
-        hkey.alias("_hkey"),
-        F.concat(F.col("user_id"), F.lit("|"), F.col("reference_mileage_id")).alias("_ref"),
-        "mileage",
+    ref = F.concat(F.col("user_id"), F.lit("|"), F.col("reference_mileage_id"))
+    mentioned = may_match(history, hkey, key_filter(open_ if asked is None else asked, own)).select(
+        "user_id", "mileage_id", "reference_mileage_id", "mileage"
     )
     mkey = F.concat_ws("|", F.col("user_id").cast("string"), F.col("payload").cast("string"))
     candidates = points.filter(F.col("payload").isNotNull() & F.col("user_id").isNotNull())
-    older = may_match(candidates, mkey, key_filter(mentioned, F.col("_ref"))).select(
-        mkey.alias("_mkey"),
-        F.col("id").alias("mig_id"),
-        F.col("category_type").alias("mig_category_type"),
-        F.col("created_at").alias("mig_created_at"),
-        F.col("use_end_date").alias("mig_use_end_date"),
-        F.col("request_id").alias("mig_request_id"),
+    kept = ["id", "category_type", "created_at", "use_end_date", "request_id", "option_biz"]
+    older = may_match(candidates, mkey, key_filter(mentioned, ref)).select(
+        mkey.alias("_mkey"), *[F.col(c).alias(f"mig_{c}") for c in kept if c in points.columns]
     )
     h = fold_copies(mentioned, "history_copies")
-    # a reference of its own for rows without one: they match nothing and do not meet under one null
-    traced = open_.join(h, F.col("_key") == F.col("_hkey"), "left")
-    traced = traced.withColumn("_ref", spread_null_key("_ref", F.xxhash64(*df.columns)))
+    # a reference of its own for history without one: it matches nothing and does not meet under one null
+    traces = (
+        h.join(older, spread_null_key(ref, hkey) == F.col("_mkey"), "left")
+        .drop("_mkey", "reference_mileage_id")
+        .withColumnsRenamed({"user_id": "_huser", "mileage_id": "_hmileage"})
+    )
     found = (
-        traced.join(older, F.col("_ref") == F.col("_mkey"), "left")
+        open_.join(traces, own == F.concat_ws("|", F.col("_huser"), F.col("_hmileage").cast("string")), "left")
         .withColumn("history_copies", F.coalesce("history_copies", F.lit(1)))
-        .drop("_key", "_hkey", "_ref", "_mkey")
+        .drop("_huser", "_hmileage")
     )
     kinds = dict(found.dtypes)
     added = [c for c in found.columns if c not in df.columns]
@@ -213,8 +251,14 @@ def point_rows(
 ) -> DataFrame:
     """One row per point detail (or point) and origin, classified, with the weight to share by.
 
-    ``copies`` counts identical rows that a join over duplicate mapping rows would give.
+    ``copies`` counts identical rows that a join over duplicate mapping rows would give. The rows are narrow,
+    as they are moved for the sharing and the report: ``point_labels`` reads the report's keys off them.
+    ``counted`` is true on one row of each point and key.
+    ``points`` may carry their ``option_biz`` already. All that depends on a point alone is found per point and
+    joined by its id, next to its details.
     """
+    if "option_biz" not in points.columns:
+        points = with_option_biz(points, options_biz)
     d = details.select(
         F.col("id").alias("detail_id"),
         "point_id",
@@ -222,68 +266,78 @@ def point_rows(
         F.col("use_end_date").alias("detail_use_end_date"),
         F.col("amount").alias("detail_amount"),
     )
-    p = points.filter((F.col("point_type") == POINT) & (F.col("service_id") == service_id))
-    joined = p.join(d, F.col("id") == F.col("point_id"), "left")
-    row_key = F.concat_ws("|", F.col("id").cast("string"), F.col("detail_id").cast("string"))
     fa = first.select(
-        F.col("detail_first_accum_id").cast("string").alias("_fkey"),
         F.col("detail_first_accum_id").alias("fa_id"),
         F.col("process_type").alias("fa_process"),
         F.col("acct_cate").alias("fa_acct"),
         F.col("accum_acct_biz").alias("fa_biz"),
         F.col("category_type").alias("fa_category"),
-        F.col("version").alias("fa_version"),
-        F.col("created_at").alias("fa_created_at"),
+        (F.col("version") != LEGACY_VERSION).alias("fa_traced"),
+        F.col("created_at").cast("date").alias("fa_day"),
     )
-    joined = (
-        joined.withColumn("_row", row_key)
-        .withColumn("_fk", spread_null_key("detail_first_accum_id", "_row"))
-        .join(fa, F.col("_fk") == F.col("_fkey"), "left")
-        .drop("_fk", "_fkey")
+    # details without a first accumulation meet under their own id, where none can match
+    first_id = F.coalesce("detail_first_accum_id", "detail_id", "point_id")
+    d = (
+        d.join(fa, (first_id == F.col("fa_id")) & F.col("detail_first_accum_id").isNotNull(), "left")
+        .withColumn("fa_found", F.col("fa_id").isNotNull())
+        .drop("fa_id")
+    )
+    p = points.filter((F.col("point_type") == POINT) & (F.col("service_id") == service_id))
+    keys = p.filter(F.col("user_id").isNotNull() & F.col("payload").isNotNull()).select("id", "user_id", "payload")
+    traces = legacy_origin(keys.distinct(), history, points, F.lit(True), asked=keys).select(
+        F.col("id").alias("_id"),
+        F.col("user_id").alias("_user"),
+        F.col("payload").alias("_payload"),
+        "mileage",
+        "history_copies",
+        "mig_id",
+        "mig_category_type",
+        F.col("mig_created_at").cast("date").alias("mig_day"),
+        "mig_use_end_date",
+        "mig_option_biz",
+    )
+    # ids tell almost all points apart and place the rows; user and payload are compared on top
+    same_point = (
+        (F.col("id") == F.col("_id"))
+        & F.col("user_id").between(F.col("_user"), F.col("_user"))
+        & F.col("payload").between(F.col("_payload"), F.col("_payload"))
+    )
+    traced = (
+        p.select(
+            "id",
+            "user_id",
+            "payload",
+            "version",
+            "process_type",
+            "category_type",
+            F.col("created_at").cast("date").alias("_day"),
+            "use_end_date",
+            "amount",
+            "option_biz",
+        )
+        .join(d, F.col("id") == F.col("point_id"), "left")
+        .join(traces, same_point & F.col("fa_traced").isNull(), "left")
     )
-    # tracing reads the rows three times: for the keys that filter the history, to trace, and to pass by
-    joined = materialise(joined, "point-origins")
-    traced = legacy_origin(joined, history, points, F.col("fa_version").isNull())
     own_category = F.when(F.col("process_type") == ACCUM, F.col("category_type"))
     origin = F.coalesce(own_category, "fa_category", "mig_category_type")
     # the option and the department are looked up by the legacy category before the traced one
     lookup_category = F.coalesce(own_category, "mig_category_type", "fa_category")
-    request = F.coalesce("mig_request_id", "request_id")
+    codes = F.when(lookup_category == CONFIRM_ORDER, F.coalesce("mig_option_biz", "option_biz"))
     m = fold_copies(type_mapping.select(F.col("category_type").alias("_type"), F.col("dept").alias("accum_dept")), "dept_copies")
     traced = (
-        traced.withColumns(
-            {
-                "_origin": origin,
-                "_lookup": lookup_category,
-                "_okey": spread_null_key(F.when(lookup_category == CONFIRM_ORDER, request), "_row"),
-            }
-        )
-        .join(options_biz.drop("op_seller"), F.col("_okey") == F.col("option_key"), "left")
+        traced.withColumns({"origin": origin, "_lookup": lookup_category, "_codes": codes})
+        .withColumn("_option", F.explode_outer("_codes"))
         .join(m, F.col("_lookup") == F.col("_type"), "left")
     )
-    accum_day = F.coalesce(
-        F.when(F.col("process_type") == ACCUM, F.col("created_at")), "fa_created_at", "mig_created_at"
-    ).cast("date")
+    accum_day = F.coalesce(F.when(F.col("process_type") == ACCUM, F.col("_day")), "fa_day", "mig_day")
     expiry = F.coalesce("detail_use_end_date", "use_end_date", "mig_use_end_date")
-    accum_biz = F.when(
-        F.col("_origin") == CONFIRM_ORDER, origin_biz(F.col("_origin"), F.col("biz_code"))
-    ).otherwise(F.col("fa_biz"))
-    cate = origin_category(F.col("_origin"))
-    is_traced = F.col("fa_id").isNotNull() & (F.col("fa_version") != LEGACY_VERSION)
-    return traced.select(
-        F.when(is_traced, TRACED).otherwise(LEGACY).alias("accum_ver"),
+    is_traced = F.coalesce("fa_traced", F.lit(False))
+    narrow = traced.select(
+        point_term(is_traced, F.col("_day"), accum_day, expiry, as_of).alias("term"),
         F.col("version").alias("tran_ver"),
-        month_key(F.col("created_at").cast("date")).alias("tran_mm"),
-        F.coalesce(month_key(accum_day), F.lit(UNKNOWN_MONTH)).alias("accum_mm"),
-        F.coalesce(month_key(expiry), F.lit(UNKNOWN_MONTH)).alias("exp_mm"),
-        over_one_month(accum_day, expiry).alias("over_1mnth"),
-        expiry_passed(expiry, as_of).alias("exp_date_pass"),
         "process_type",
-        cate.alias("accum_acct_cate"),
-        with_suffix(cate, accum_biz).alias("accum_acct_cate_biz"),
+        "origin",
         "accum_dept",
-        with_suffix(F.col("accum_dept"), accum_biz).alias("accum_dept_biz"),
-        F.coalesce("_origin", F.lit(UNKNOWN)).alias("accum_cate"),
         F.col("category_type").alias("tran_cate"),
         "user_id",
         F.col("id").alias("point_id"),
@@ -291,15 +345,86 @@ def point_rows(
         "detail_first_accum_id",
         F.col("mig_id").alias("legacy_accum_id"),
         F.coalesce("detail_amount", "amount").alias("amount"),
-        F.coalesce("detail_id", "id").alias("share_key"),
-        F.coalesce("mig_id", "fa_id").alias("rank_id"),
+        F.coalesce("fa_found", F.lit(False)).alias("fa_found"),
         "mileage",
         "fa_process",
         "fa_acct",
         "fa_biz",
-        "biz_code",
-        (F.col("history_copies") * F.coalesce("biz_copies", F.lit(1)) * F.coalesce("dept_copies", F.lit(1))).alias("copies"),
+        F.col("_option")["biz_code"].alias("biz_code"),
+        (
+            F.coalesce("history_copies", F.lit(1))
+            * F.coalesce(F.col("_option")["biz_copies"], F.lit(1))
+            * F.coalesce("dept_copies", F.lit(1))
+        ).alias("copies"),
     )
+    # the rows of a point lie together here: one of each key counts it, so that the summary need not tell them apart
+    same = Window.partitionBy("point_id", *[accum_biz() if k == "accum_biz" else F.col(k) for k in TERM_KEYS])
+    counted = F.col("point_id").isNotNull() & (F.row_number().over(same.orderBy("detail_id")) == 1)
+    return narrow.withColumn("counted", counted)
+
+
+def _month_number(day: Column) -> Column:
+    """Months since year 0, 0 for no date; 17 bits hold them up to year 9999, where dates end."""
+    return F.coalesce(F.year(day) * 12 + F.month(day), F.lit(0)).cast("bigint")
+
+
+def point_term(is_traced: Column, day: Column, accum_day: Column, expiry: Column, as_of: dt.date) -> Column:
+    """Whether traced, the three months and both expiry flags of a row as one number; equal where all six are.
+
+    From the low bits: months of the transaction, the accumulation and the expiry (17 each), longer than a month
+    and expired (2 each: 0 false, 1 true, 2 unknown), traced.
+    """
+    def flag(c: Column) -> Column:
+        return F.coalesce(c.cast("int"), F.lit(2)).cast("bigint")
+
+    over = full_months_between(accum_day, expiry) > 1
+    passed = expiry < as_date(as_of - dt.timedelta(days=1))
+    term = _month_number(day)
+    for part, at in ((_month_number(accum_day), 17), (_month_number(expiry), 34), (flag(over), 51), (flag(passed), 53)):
+        term = term.bitwiseOR(F.shiftleft(part, at))
+    return term.bitwiseOR(F.shiftleft(is_traced.cast("bigint"), 55))
+
+
+TERM_KEYS = ["term", "tran_ver", "process_type", "origin", "accum_biz", "accum_dept", "tran_cate"]
+
+
+def accum_biz() -> Column:
+    """Business of the origin of a ``point_rows`` row."""
+    c = F.col("origin")
+    return F.when(c == CONFIRM_ORDER, origin_biz(c, F.col("biz_code"))).otherwise(F.col("fa_biz"))
+
+
+def point_labels(df: DataFrame) -> DataFrame:
+    """The 14 report keys in place of ``TERM_KEYS``, from which they follow one to one."""
+    def bits(at: int, n: int) -> Column:
+        return F.shiftright("term", at).bitwiseAND(F.lit((1 << n) - 1))
+
+    def month(at: int) -> Column:
+        n = bits(at, 17) - 1
+        return F.when(n >= 0, (F.floor(n / 12) * 100 + n % 12 + 1).cast("string"))
+
+    def flag(at: int) -> Column:
+        return F.when(bits(at, 2) < 2, (bits(at, 2) == 1).cast("string")).otherwise(UNKNOWN_MONTH)
+
+    cate, biz = origin_category(F.col("origin")), F.col("accum_biz")
+    labels = {
+        "accum_ver": F.when(bits(55, 1) == 1, TRACED).otherwise(LEGACY),
+        "tran_ver": F.col("tran_ver"),
+        "tran_mm": month(0),
+        "accum_mm": F.coalesce(month(17), F.lit(UNKNOWN_MONTH)),
+        "exp_mm": F.coalesce(month(34), F.lit(UNKNOWN_MONTH)),
+        "over_1mnth": flag(51),
+        "exp_date_pass": flag(53),
+        "process_type": F.col("process_type"),
+        "accum_acct_cate": cate,
+        "accum_acct_cate_biz": with_suffix(cate, biz),
+        "accum_dept": F.col("accum_dept"),
+        "accum_dept_biz": with_suffix(F.col("accum_dept"), biz),
+        "accum_cate": F.coalesce("origin", F.lit(UNKNOWN)),
+        "tran_cate": F.col("tran_cate"),
+    }
+    rest = [c for c in df.columns if c not in TERM_KEYS]
+    return df.select(*[labels[k].alias(k) for k in SUMMARY_KEYS], *rest)
 
 
 RANK_ORDER = [
@@ -322,6 +447,7 @@ def share_points(rows: DataFrame) -> DataFrame:
     Shares are taken within ``share_key``; the rest is settled per detail and point. The two
     keys differ on purpose: detail and point ids share one number space in the first only.
     """
+    fa_id = F.when(F.col("fa_found"), F.col("detail_first_accum_id"))
     # a detail and its point settle what is left: they divide the rows of a share key further
     return share_out(
         rows,
@@ -334,14 +460,21 @@ def share_points(rows: DataFrame) -> DataFrame:
         alloc_out="dist_amount",
         out="fixed_amount",
         copies="copies",
+        derived={"share_key": F.coalesce("detail_id", "point_id"), "rank_id": F.coalesce("legacy_accum_id", fa_id)},
     )
 
 
-def point_summary(df: DataFrame, amount: str = "fixed_amount") -> DataFrame:
-    """Amount, number of points and sample ids by the 14 report keys."""
-    return df.groupBy(*SUMMARY_KEYS).agg(
+def point_summary(
+    df: DataFrame, amount: str = "fixed_amount", keys: Sequence[str] = SUMMARY_KEYS, counted: str | None = None
+) -> DataFrame:
+    """Amount, number of points and sample ids by the 14 report keys, or by ``keys`` that stand for them.
+
+    ``counted`` names a flag that is true on one row of each point and key; without it points are told apart here.
+    """
+    points = F.sum(F.col(counted).cast("bigint")) if counted else F.countDistinct("point_id")
+    return df.groupBy(*keys).agg(
         F.sum(F.col(amount).cast("decimal(28,2)")).alias("amount"),
-        F.countDistinct("point_id").alias("pointid_cnt"),
+        points.alias("pointid_cnt"),
         F.max("user_id").alias("sample_user"),
         F.max("point_id").alias("sample_pointid"),
         F.max("detail_id").alias("sample_detail_id"),

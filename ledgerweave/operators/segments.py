@@ -20,6 +20,7 @@ from pyspark.sql.types import StructField, StructType
 from ledgerweave.session import Stages
 
 BUCKETS_A_PIECE = 2  # pieces are dealt to buckets by hash; more buckets than pieces seldom share one
+SPREAD = 1 << 14  # places over which blocks of rows equal in all columns may spread
 HIDDEN = ("_tie", "_piece")
 
 
@@ -41,22 +42,37 @@ class Segments:
     borders: Mapping[tuple[str, ...], DataFrame]
 
     @classmethod
-    def of(cls, df: DataFrame, keys: Sequence[str], finer: Sequence[str] = (), name: str = "segments") -> Segments:
+    def of(
+        cls,
+        df: DataFrame,
+        keys: Sequence[str],
+        finer: Sequence[str] = (),
+        name: str = "segments",
+        derived: Mapping[str, Column] | None = None,
+    ) -> Segments:
         """Pieces of ``df`` in the order of ``keys``, then ``finer``: groups may be those of ``keys`` or of both.
 
         Rows that tie are told apart by a hash of all their columns; rows equal in all of them may spread
-        over pieces too. ``df`` is read twice, once to find the ranges.
+        over pieces too. ``df`` is read twice, once to find the ranges. ``derived`` columns follow from the others
+        of ``df`` (in place of its own of that name): they may be keys, and are neither moved nor written.
         """
+        derived = dict(derived or {})
+        df = df.drop(*derived)
         spark, stages = df.sparkSession, Stages(df.sparkSession, name)
         pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        order = [F.col(c).asc_nulls_last() for c in (*keys, *finer)]
-        placed = df.withColumn("_tie", F.xxhash64(*df.columns)).withColumn(
-            "_spread", F.xxhash64(F.monotonically_increasing_id())
-        )
-        dealt = placed.repartitionByRange(pieces, *order, F.col("_tie"), F.col("_spread")).drop("_spread")
+        order = [derived.get(c, F.col(c)).asc_nulls_last() for c in (*keys, *finer)]
+        # the hash is found again where it is needed: random digits would be a good part of a narrow row
+        tie = F.xxhash64(*df.columns)
+        block = F.xxhash64(F.shiftright(F.monotonically_increasing_id(), 6))  # of 64 rows
+        placed = df.withColumn("_spread", F.pmod(block, F.lit(SPREAD)).cast("smallint"))
+        dealt = placed.repartitionByRange(pieces, *order, tie, F.col("_spread")).drop("_spread")
         rows = stages.write(
-            dealt.withColumn("_piece", F.spark_partition_id()), "pieces", buckets=(BUCKETS_A_PIECE * pieces, "_piece")
+            dealt.withColumn("_piece", F.spark_partition_id()),
+            "pieces",
+            buckets=(BUCKETS_A_PIECE * pieces, "_piece"),
+            codec="zstd",
         )
+        rows = rows.withColumns({**derived, "_tie": tie})
         borders = {k: _borders(rows, k) for k in {tuple(keys), (*keys, *finer)}}
         near = _at_borders(rows, keys, borders[tuple(keys)])
         return cls(rows, stages.write(near, "near"), tuple(keys), borders)

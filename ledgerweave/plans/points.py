@@ -40,12 +40,13 @@ def point_balance_difference(tables: Mapping[str, DataFrame], service_id: str) -
     )
 
 
-def point_origin_rows(tables: Mapping[str, DataFrame], service_id: str, as_of: dt.date) -> DataFrame:
-    """Point rows with their origin and the shared-out amount."""
+def _shared_rows(tables: Mapping[str, DataFrame], service_id: str, as_of: dt.date) -> DataFrame:
     options_biz = ops.option_biz(tables["dump.order_options"], tables["dump.order_productions"], tables[SELLERS])
-    first = ops.first_accumulation(tables[POINTS], tables[DETAILS], options_biz, tables[TYPES])
+    # first accumulations, rows and legacy origins all look the option of a point up: found and written once
+    points = materialise(ops.with_option_biz(tables[POINTS], options_biz), "points", codec="zstd")
+    first = ops.first_accumulation(points, tables[DETAILS], options_biz, tables[TYPES])
     rows = ops.point_rows(
-        tables[POINTS],
+        points,
         tables[DETAILS],
         first,
         tables["finance.fin_mileage_histories_d"],
@@ -54,12 +55,17 @@ def point_origin_rows(tables: Mapping[str, DataFrame], service_id: str, as_of: d
         service_id,
         as_of,
     )
-    # sharing looks for the ranges of its pieces first: write the rows instead of joining them twice
-    return ops.share_points(materialise(rows, "point-rows"))
+    return ops.share_points(rows).withColumn("accum_biz", ops.accum_biz())
+
+
+def point_origin_rows(tables: Mapping[str, DataFrame], service_id: str, as_of: dt.date) -> DataFrame:
+    """Point rows with their origin and the shared-out amount."""
+    return ops.point_labels(_shared_rows(tables, service_id, as_of))
 
 
 def point_report(tables: Mapping[str, DataFrame], service_id: str, as_of: dt.date) -> DataFrame:
-    return ops.point_summary(point_origin_rows(tables, service_id, as_of))
+    # the labels follow from the keys one to one: they are written out for the sums only
+    return ops.point_labels(ops.point_summary(_shared_rows(tables, service_id, as_of), keys=ops.TERM_KEYS, counted="counted"))
 
 
 def point_departments(

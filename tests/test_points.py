@@ -1,6 +1,7 @@
 """Point origin, expiry, departments, and the control-total invariant of the report."""
 
 import datetime as dt
+import re
 from decimal import Decimal
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from checks.derive import AS_OF, SERVICE, Derived
 from ledgerweave import plans
 from ledgerweave.operators import points
+from ledgerweave.operators.segments import Segments
 from ledgerweave.sources.schemas import SCHEMAS
 from tests.conftest import rows
 
@@ -177,3 +179,55 @@ def test_department_measures_fall_back_to_the_pinned_snapshot(spark):
     assert rows(points.point_biz(*args, sellers, "2022-12-01")) == [(1, "PREMIUM-")]
     assert rows(points.point_biz(*args, sellers, "2022-12-02")) == [(1, "3P-")]
     assert rows(points.point_biz(*args, sellers, "2022-12-03")) == [(1, None)]
+
+
+def test_the_report_moves_narrow_rows_once_for_its_sums(spark):
+    """One shuffle by the keys of the report, none by keys and point; labels are no part of it."""
+    out = plans.point_report(small_tables(spark), "S", D(2023, 1, 1))
+    moved = [x for x in re.findall(r"hashpartitioning\(([^)]*)\)", out._jdf.queryExecution().executedPlan().toString()) if "tran_cate" in x]
+    assert len(moved) == 1 and "point_id" not in moved[0] and "accum_acct_cate" not in moved[0]
+    assert {r.pointid_cnt for r in out.collect()} == {1}
+
+
+def test_labels_are_read_off_the_term(frame):
+    days = [(D(2022, 1, 31), D(2022, 1, 1), D(2022, 3, 31)), (D(9999, 12, 31), None, D(1, 1, 1)), (None, D(2021, 12, 1), None)]
+    df = frame(days, "d date, a date, e date")
+    term = points.point_term(F.col("a").isNotNull(), F.col("d"), F.col("a"), F.col("e"), D(2022, 6, 1))
+    rest = {"tran_ver": "v", "process_type": "USE", "accum_dept": "D", "tran_cate": "t", "accum_biz": "1P", "origin": "EXPIRE"}
+    out = points.point_labels(df.select(term.alias("term"), *[F.lit(v).alias(k) for k, v in rest.items()]))
+    assert rows(out, *points.SUMMARY_KEYS[:1], *points.SUMMARY_KEYS[2:7], "accum_acct_cate_biz", "accum_dept_biz") == sorted(
+        [
+            ("MSA", "202201", "202201", "202203", "true", "true", "EXPIRE-1P", "D-1P"),
+            ("LEGACY", "999912", "unknown", "101", "unknown", "true", "EXPIRE-1P", "D-1P"),
+            ("MSA", None, "202112", "unknown", "unknown", "unknown", "EXPIRE-1P", "D-1P"),
+        ],
+        key=lambda r: tuple(map(str, r)),
+    )
+
+
+def test_option_codes_of_repeated_unknown_and_missing_options(frame):
+    biz = frame(
+        [("7", 1, "1P", 2), ("7", 1, "1P", 1), ("7", 2, None, 1), ("8", 1, None, 1), ("9", 1, None, 1), ("9", 1, None, 1)],
+        "option_key string, op_seller bigint, biz_code string, biz_copies bigint",
+    )
+    p = frame([(1, "7"), (2, "8"), (3, "9"), (4, "70"), (5, None), (None, None)], "id bigint, request_id string")
+    got = {r.id: r.option_biz if r.option_biz is None else sorted(map(tuple, r.option_biz), key=str) for r in points.with_option_biz(p, biz).collect()}
+    assert got == {1: [("1P", 3), (None, 1)], 2: [], 3: [(None, 2)], 4: [], 5: None, None: None}
+
+
+def test_points_of_one_id_keep_their_own_traces(spark):
+    """Two points share an id but not their user: the history of one is not that of the other."""
+    tables = small_tables(spark)
+    p = tables["dump_point.points"]
+    other = p.filter("id = 3").withColumns({"user_id": F.lit(51).cast("bigint"), "payload": F.lit(903).cast("bigint")})
+    tables["dump_point.points"] = p.unionByName(other.select(*p.columns))
+    got = plans.points.point_origin_rows(tables, "S", D(2023, 1, 1)).filter("point_id = 3")
+    assert rows(got, "user_id", "legacy_accum_id", "mileage") == [(50, 4, 1), (50, 5, 2), (51, None, None)]
+
+
+def test_derived_keys_are_not_written(spark):
+    df = spark.range(0, 100).selectExpr("id AS a", "id % 7 AS b")
+    s = Segments.of(df, ["k"], derived={"k": F.col("b") * 2})
+    assert spark.read.parquet(s.rows.inputFiles()[0]).columns == ["a", "b", "_piece"]
+    out = s.total(["k"], {"n": F.lit(1)}).result()
+    assert out.filter("k <> b * 2").count() == 0 and out.agg(F.sum("n")).collect()[0][0] == 2 * 15**2 + 5 * 14**2
