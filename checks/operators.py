@@ -461,10 +461,8 @@ FROM settled GROUP BY ALL
 )
 def point_rows_allocated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared amounts per point detail, before the summary."""
-    rows = plans.points.point_origin_rows(Derived(spark, sf_dir), SERVICE, AS_OF)
-    return rows.groupBy("point_id", "detail_id").agg(
-        F.sum("copies").alias("parts"), F.sum(F.col("fixed_amount").cast("decimal(28,2)")).alias("amount")
-    )
+    sums = {"parts": F.sum("copies"), "amount": F.sum(F.col("fixed_amount").cast("decimal(28,2)"))}
+    return plans.points.point_origin_rows(Derived(spark, sf_dir), SERVICE, AS_OF, sums)
 
 
 @register(

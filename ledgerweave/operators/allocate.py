@@ -85,12 +85,14 @@ def share_out(
     first_out: str = "is_first",
     copies: str | None = None,
     derived: Mapping[str, Column] | None = None,
+    sums: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """``allocate`` and ``fix_residual`` over the same rows, which are dealt to tasks and written once.
 
     Shares are taken within ``keys``; what rounding leaves is settled within ``keys`` and ``settle_by``
     together, which divide the groups further. ``derived`` columns are not dealt but computed where they are used.
+    With ``sums`` these by ``settle_by`` in place of the rows, whose ``keys`` must follow from it.
     """
     s = _allocated(Segments.of(df, keys, settle_by, derived=derived), keys, amount, weight, order_by, alloc_out, first_out, copies)
     settled = _fixed(s, [*keys, *settle_by], amount, alloc_out, first_out, keep_full, out, copies)
-    return settled.result("_w", "_sum")
+    return settled.grouped(settle_by, sums) if sums else settled.result("_w", "_sum")

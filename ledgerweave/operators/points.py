@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -192,6 +192,7 @@ def legacy_origin(
     user: str = "user_id",
     payload: str = "payload",
     asked: DataFrame | None = None,
+    found_only: bool = False,
 ) -> DataFrame:
     """Trace rows without a first accumulation through the mileage history to an older point.
 
@@ -201,7 +202,7 @@ def legacy_origin(
     the older points, so only rows that may be part of a trace are shuffled. History meets the older points first:
     the rows themselves are moved once. ``df`` is read three times: an expensive one should be a written table, or
     ``asked`` a cheaper one with the users and payloads of its unmatched rows. Keys are put together where rows
-    meet and not moved with them.
+    meet and not moved with them. With ``found_only`` just the unmatched rows that have a history are returned.
     """
     own = F.concat(F.col(user).cast("string"), F.lit("|"), F.col(payload).cast("string"))
     missing = F.coalesce(unmatched, F.lit(False))
@@ -226,10 +227,16 @@ def legacy_origin(
         .withColumnsRenamed({"user_id": "_huser", "mileage_id": "_hmileage"})
     )
     found = (
-        open_.join(traces, own == F.concat_ws("|", F.col("_huser"), F.col("_hmileage").cast("string")), "left")
+        open_.join(
+            traces,
+            own == F.concat_ws("|", F.col("_huser"), F.col("_hmileage").cast("string")),
+            "inner" if found_only else "left",
+        )
         .withColumn("history_copies", F.coalesce("history_copies", F.lit(1)))
         .drop("_huser", "_hmileage")
     )
+    if found_only:
+        return found
     kinds = dict(found.dtypes)
     added = [c for c in found.columns if c not in df.columns]
     rest = settled.select(
@@ -284,7 +291,7 @@ def point_rows(
     )
     p = points.filter((F.col("point_type") == POINT) & (F.col("service_id") == service_id))
     keys = p.filter(F.col("user_id").isNotNull() & F.col("payload").isNotNull()).select("id", "user_id", "payload")
-    traces = legacy_origin(keys.distinct(), history, points, F.lit(True), asked=keys).select(
+    traces = legacy_origin(keys.distinct(), history, points, F.lit(True), asked=keys, found_only=True).select(
         F.col("id").alias("_id"),
         F.col("user_id").alias("_user"),
         F.col("payload").alias("_payload"),
@@ -439,15 +446,21 @@ RANK_ORDER = [
     "fa_acct",
     "fa_biz",
 ]
+SHARE_COLUMNS = [*RANK_ORDER[1:], "detail_first_accum_id", "fa_found", "process_type", "amount", "copies"]
 
 
-def share_points(rows: DataFrame) -> DataFrame:
+def share_points(rows: DataFrame, sums: Mapping[str, Column] | None = None) -> DataFrame:
     """Share each amount over its origins by weight; the first origin takes the rounding rest.
 
+    With ``sums`` these by detail and point in place of the rows. The sums may read ``SHARE_COLUMNS``, of which the
+    shares are made, and the shares: the rows are narrowed to those columns before they are moved and written.
+
     Shares are taken within ``share_key``; the rest is settled per detail and point. The two
     keys differ on purpose: detail and point ids share one number space in the first only.
     """
     fa_id = F.when(F.col("fa_found"), F.col("detail_first_accum_id"))
+    if sums:
+        rows = rows.select(*SHARE_COLUMNS)
     # a detail and its point settle what is left: they divide the rows of a share key further
     return share_out(
         rows,
@@ -461,6 +474,7 @@ def share_points(rows: DataFrame) -> DataFrame:
         out="fixed_amount",
         copies="copies",
         derived={"share_key": F.coalesce("detail_id", "point_id"), "rank_id": F.coalesce("legacy_accum_id", fa_id)},
+        sums=sums,
     )
 
 

@@ -122,6 +122,17 @@ class Segments:
     def with_columns(self, columns: Mapping[str, Column]) -> Segments:
         return replace(self, rows=self.rows.withColumns(columns), near=self.near.withColumns(columns))
 
+    def grouped(self, keys: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
+        """``sums`` by ``keys`` in place of the rows; rows that agree on ``keys`` must agree on the first keys too.
+
+        A group that lies in one piece is summed there, and nothing is moved for it; the others are summed over ``near``.
+        """
+        aggs = [c.alias(name) for name, c in sums.items()]
+        border = F.broadcast(self.borders[self.keys])  # fewer keys than pieces
+        inside = self.rows.join(border, order_struct(self.keys) == F.col("_border"), "left_anti")
+        whole = inside.groupBy("_piece", *keys).agg(*aggs).drop("_piece")
+        return whole.unionByName(self.near.groupBy(*keys).agg(*aggs))
+
     def result(self, *drop: str) -> DataFrame:
         return self.rows.drop(*HIDDEN, *drop)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.operators import ledger
@@ -40,7 +40,9 @@ def point_balance_difference(tables: Mapping[str, DataFrame], service_id: str) -
     )
 
 
-def _shared_rows(tables: Mapping[str, DataFrame], service_id: str, as_of: dt.date) -> DataFrame:
+def _shared_rows(
+    tables: Mapping[str, DataFrame], service_id: str, as_of: dt.date, sums: Mapping[str, Column] | None = None
+) -> DataFrame:
     options_biz = ops.option_biz(tables["dump.order_options"], tables["dump.order_productions"], tables[SELLERS])
     # first accumulations, rows and legacy origins all look the option of a point up: found and written once
     points = materialise(ops.with_option_biz(tables[POINTS], options_biz), "points", codec="zstd")
@@ -55,12 +57,19 @@ def _shared_rows(tables: Mapping[str, DataFrame], service_id: str, as_of: dt.dat
         service_id,
         as_of,
     )
-    return ops.share_points(rows).withColumn("accum_biz", ops.accum_biz())
+    shared = ops.share_points(rows, sums)
+    return shared if sums else shared.withColumn("accum_biz", ops.accum_biz())
+
 
+def point_origin_rows(
+    tables: Mapping[str, DataFrame], service_id: str, as_of: dt.date, sums: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Point rows with their origin and the shared-out amount, or ``sums`` of them by point and detail.
 
-def point_origin_rows(tables: Mapping[str, DataFrame], service_id: str, as_of: dt.date) -> DataFrame:
-    """Point rows with their origin and the shared-out amount."""
-    return ops.point_labels(_shared_rows(tables, service_id, as_of))
+    Rows and shares are the same either way; sums by point and detail read no report key, so none is moved for them.
+    """
+    shared = _shared_rows(tables, service_id, as_of, sums)
+    return shared.select("point_id", "detail_id", *sums) if sums else ops.point_labels(shared)
 
 
 def point_report(tables: Mapping[str, DataFrame], service_id: str, as_of: dt.date) -> DataFrame:

@@ -231,3 +231,34 @@ def test_derived_keys_are_not_written(spark):
     assert spark.read.parquet(s.rows.inputFiles()[0]).columns == ["a", "b", "_piece"]
     out = s.total(["k"], {"n": F.lit(1)}).result()
     assert out.filter("k <> b * 2").count() == 0 and out.agg(F.sum("n")).collect()[0][0] == 2 * 15**2 + 5 * 14**2
+
+
+def test_sums_by_detail_move_no_report_key(spark):
+    """The rows are dealt without what only the report reads; the sums are those of the full rows."""
+    tables = small_tables(spark)
+    wanted = {"parts": F.sum("copies"), "amount": F.sum(F.col("fixed_amount").cast("decimal(28,2)"))}
+    out = plans.points.point_origin_rows(tables, "S", D(2023, 1, 1), wanted)
+    full = plans.points.point_origin_rows(tables, "S", D(2023, 1, 1)).groupBy("point_id", "detail_id")
+    assert rows(out) == rows(full.agg(*[c.alias(k) for k, c in wanted.items()]))
+    written = {c for f in out.inputFiles() if "pieces" in f for c in spark.read.parquet(f).columns}
+    assert written == {*points.SHARE_COLUMNS, "_piece"} and not written & {"term", "tran_ver", "origin", "tran_cate", "user_id"}
+
+
+def test_groups_of_one_piece_are_summed_in_place(spark):
+    """A key over several pieces, null keys and keys inside a piece sum as by a plain grouping; only the first kind moves."""
+    wide = spark.range(0, 400).selectExpr("if(id < 300, 1, id) AS a", "if(id % 3 = 0, NULL, id % 3) AS b", "id AS v")
+    df = wide.unionByName(wide.selectExpr("CAST(NULL AS BIGINT) AS a", "b", "v").limit(5))
+    s = Segments.of(df, ["a"], ["b"])
+    sums = {"n": F.count(F.lit(1)), "v": F.sum("v")}
+    out = s.grouped(["a", "b"], sums)
+    assert len(re.findall(r"hashpartitioning\(a", out._jdf.queryExecution().executedPlan().toString())) == 1
+    assert rows(out) == rows(df.groupBy("a", "b").agg(*[c.alias(k) for k, c in sums.items()]))
+    assert {r.a for r in s.near.select("a").distinct().collect()} >= {1} and s.near.count() < df.count()
+
+
+def test_traces_of_points_without_a_history_are_not_moved(spark):
+    tables = small_tables(spark)
+    p, h = tables["dump_point.points"], tables["finance.fin_mileage_histories_d"]
+    every = points.legacy_origin(p, h, p, F.lit(True)).select("id", "mileage", "mig_id")
+    found = points.legacy_origin(p, h, p, F.lit(True), found_only=True).select("id", "mileage", "mig_id")
+    assert rows(found) == rows(every.filter("mileage IS NOT NULL")) == [(3, 1, 4), (3, 2, 5)]
