@@ -70,13 +70,13 @@ def join_hierarchy(options: DataFrame, productions: DataFrame, orders: DataFrame
     """Options with their production and order, inner joins.
 
     ``options`` have ``order_production_id``; ``productions`` come with ``_production`` (their id) and ``_order``,
-    ``orders`` with ``_order_id``; these keys are dropped. Options from a bucketed copy also have the id of
-    their order: then both joins are by order, as the copies are dealt, and nothing is shuffled.
+    ``orders`` with ``_order_id``; these keys are dropped. Productions meet their orders first, so options, which are
+    more, are moved once. Options from a bucketed copy also have the id of their order: then both joins are by
+    order, as the copies are dealt, and nothing is shuffled.
     """
-    if ROOT_ORDER not in options.columns:
-        own = options.join(productions, F.col("order_production_id") == F.col("_production"))
-        return own.join(orders, F.col("_order") == F.col("_order_id")).drop("_production", "_order", "_order_id")
-    same = (F.col(ROOT_ORDER) == F.col("_order")) & (F.col("order_production_id") == F.col("_production"))
+    same = F.col("order_production_id") == F.col("_production")
+    if ROOT_ORDER in options.columns:
+        same = (F.col(ROOT_ORDER) == F.col("_order")) & same
     return (
         productions.join(orders, F.col("_order") == F.col("_order_id"))
         .join(options, same)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions import as_date, greatest_strict, iso_day, month_key, round0
 from ledgerweave.operators.orders import first_match, join_hierarchy
+from ledgerweave.session import Stages
 from ledgerweave.sources.layout import ROOT_ORDER
 
 # --- Fixed values: labels of the settlement kinds and rounds -------------------------
@@ -48,6 +49,8 @@ BRANCH_KEYS = [
 ]
 # the option's number, by which the branches deal their rows; it follows from order_option_id
 OPTION_KEY = "_option"
+CODEC = "zstd"  # of tables between the steps
+TAG_BITS = 8  # under the day of a booking: six for its cost table, two flags
 REPORT_KEYS = [
     "base_dt",
     "kind",
@@ -150,22 +153,40 @@ def settlement_branches(
     drop. The upper bound is repeated on the plain booking time so that the scans can use it.
     ``OPTION_KEY`` stays in the result: rows lie by it from the join on and are grouped there.
     """
-    number, given = F.col("order_option_id").cast("bigint"), F.col("order_option_id").cast("string")
+    def flag(condition: Column, bit: int) -> Column:
+        return F.when(condition, bit).otherwise(0)  # null counts as false, as in ``settlement_kind``
+
+    def packed(set_: int) -> Column:
+        day = F.shiftleft(F.unix_date(F.col("base_dttm").cast("date")), TAG_BITS)
+        return day + flag(F.col("batch_job") == MANUAL_JOB, 2) + flag(F.col("kind") == -1, 1) + F.lit(set_ << 2)
+
+    given, ordered = F.col("order_option_id").cast("string"), F.col("order_id").cast("string")
+    number, order = F.col("order_option_id").cast("bigint"), ordered.try_cast("bigint")
     booked = [
         df.filter(F.col("base_dttm") < as_date(end_day).cast("timestamp_ntz")).select(
-            F.lit(i).alias("_set"),
-            # only the day of booking decides, so a row is shuffled as day, two flags and numbers
-            F.col("base_dttm").cast("date").alias("_booked"),
-            (F.col("batch_job") == MANUAL_JOB).alias("_manual"),
-            (F.col("kind") == -1).alias("_cancel"),
-            F.col("order_id").cast("string").alias("order_id"),
+            # only the day of booking decides, so a row is shuffled as four numbers: the day, its set and
+            # two flags in one of them, and texts only where a number is spelled otherwise
+            packed(i).alias("_tag"),
             number.alias(OPTION_KEY),
+            order.alias("_order"),
             F.when(given != number.cast("string"), given).alias("_spelled"),
+            F.when(~ordered.eqNullSafe(order.cast("string")), ordered).alias("_order_spelled"),
             F.col(cost).alias("_cost"),
         )
         for i, (df, cost, _, _) in enumerate(costs)
     ]
+    dates = ("payment_at", "delivery_complete_date", "purchase_confirm_date")
+    options = options.withColumns({c: F.col(c).cast("date") for c in dates})
     joined = reduce(DataFrame.unionByName, booked).join(options, F.col(OPTION_KEY) == F.col("option_id"))
+    joined = joined.withColumns(
+        {
+            "_set": F.shiftright("_tag", 2).bitwiseAND((1 << TAG_BITS - 2) - 1),
+            "_booked": F.date_from_unix_date(F.shiftright("_tag", TAG_BITS)),
+            "_manual": F.col("_tag").bitwiseAND(2) != 0,
+            "_cancel": F.col("_tag").bitwiseAND(1) != 0,
+            "order_id": F.coalesce("_order_spelled", F.col("_order").cast("string")),
+        }
+    )
     counts_to = F.coalesce(
         *[F.when(F.col("_set") == i, F.col(q or milestone.column)) for i, (_, _, _, q) in enumerate(costs)]
     )
@@ -238,6 +259,7 @@ def stage_payment_branch(
     end_day: dt.date,
     by_delivery: bool = False,
     with_key: bool = False,
+    stages: Stages | None = None,
 ) -> DataFrame:
     """Product-coupon amounts of the staged payment tables by transaction date.
 
@@ -246,7 +268,8 @@ def stage_payment_branch(
     coupon rows are read: other methods add zero. ``by_delivery`` filters by delivery date
     instead, keeping delivered options only, while the day stays that of the transaction.
     The options come last, so their texts are shuffled once and the groups form where that join
-    has dealt them, by ``OPTION_KEY``, which ``with_key`` keeps.
+    has dealt them, by ``OPTION_KEY``, which ``with_key`` keeps. With ``stages`` the options and the
+    payments are written before they meet, and what dealt them is gone by then.
     """
     lo, hi = as_date(first_day).cast("timestamp_ntz"), as_date(end_day).cast("timestamp_ntz")
     t = transactions.filter(F.col("service_id") == service_id)
@@ -281,13 +304,17 @@ def stage_payment_branch(
     kind = F.when(F.col("transaction_type") == "PAYMENT", KIND_PAID).when(
         F.col("transaction_type") == "CANCEL", KIND_STAGE_CANCELLED
     )
-    return (
+    paid = (
         t.select("payment_id", "transaction_id", "transaction_at", "transaction_type", "order_id")
         .join(transaction_items.select("payment_id", "transaction_id", "payment_item_id"), ["payment_id", "transaction_id"])
         .join(coupon, ["payment_item_id", "transaction_id"])
         .join(references, "payment_item_id")
         .drop("payment_item_id", "payment_id", "transaction_id")
-        .join(o, F.col(OPTION_KEY) == F.col("_option_id"))
+    )
+    if stages is not None:
+        o, paid = stages.write(o, "staged-options", codec=CODEC), stages.write(paid, "staged-payments", codec=CODEC)
+    return (
+        paid.join(o, F.col(OPTION_KEY) == F.col("_option_id"))
         .withColumns(
             {
                 "base_dt": F.col("transaction_at").cast("date").cast("string"),
@@ -325,12 +352,14 @@ def stage_settlement_branch(
     end_day: dt.date,
     newest: str | None = None,
     with_key: bool = False,
+    stages: Stages | None = None,
 ) -> DataFrame:
     """Product-coupon amounts of the newest settlement snapshot.
 
     The amount keeps its sign here (the other branches negate). A sale counts its quantity
     once per settlement round it was booked in. ``with_key`` deals the rows by ``OPTION_KEY`` and keeps it;
-    sales without an option are dealt by order and product.
+    sales without an option are dealt by order and product. With ``stages`` the sales with their amounts are
+    written first, and what dealt them is gone by then.
     """
     lo, hi = as_date(first_day).cast("timestamp_ntz"), as_date(end_day).cast("timestamp_ntz")
     s = latest_snapshot(sales, "base_dt", newest=newest).filter((F.col("recognized_at") >= lo) & (F.col("recognized_at") < hi))
@@ -342,28 +371,41 @@ def stage_settlement_branch(
         .groupBy(F.col("order_sales_id").alias("_sale"))
         .agg(F.sum("amount").alias("_amount"))
     )
-    sold = s.join(d, F.col("id") == F.col("_sale"))
+    s = s.select(
+        "id",
+        F.col("recognized_at").cast("date").alias("_day"),
+        (F.col("recognized_type") == STAGE_CONFIRMED).alias("_confirmed"),
+        "order_id",
+        "order_option_id",
+        "product_name",
+        "option_name",
+        "product_id",
+        F.col("option_id").alias("product_option_id"),
+        "quantity",
+        F.col("settlement_at").cast("date").alias("_settled_on"),
+    )
+    sold = s.join(d, F.col("id") == F.col("_sale")).drop("_sale", "id")
+    if stages is not None:
+        sold = stages.write(sold, "staged-sales", codec=CODEC)
     key = []
     if with_key:
         key = [OPTION_KEY]
         number = F.coalesce(F.col("order_option_id").cast("bigint"), F.xxhash64("order_id", "product_id"))
-        sold = sold.withColumn(OPTION_KEY, number).drop("_sale", "id").repartition(OPTION_KEY)
+        sold = sold.withColumn(OPTION_KEY, number).repartition(OPTION_KEY)
     return (
         sold.groupBy(
             *key,
-            F.col("recognized_at").cast("date").cast("string").alias("base_dt"),
-            F.when(F.col("recognized_type") == STAGE_CONFIRMED, KIND_CONFIRMED)
-            .otherwise(KIND_CONFIRMED_CANCELLED)
-            .alias("kind"),
+            F.col("_day").cast("string").alias("base_dt"),
+            F.when(F.col("_confirmed"), KIND_CONFIRMED).otherwise(KIND_CONFIRMED_CANCELLED).alias("kind"),
             F.col("order_id").cast("string").alias("order_id"),
             F.col("order_option_id").cast("string").alias("order_option_id"),
             "product_name",
             "option_name",
             "product_id",
-            F.col("option_id").alias("product_option_id"),
+            "product_option_id",
             "quantity",
-            month_key("settlement_at").alias("_settled"),
-            (F.dayofmonth("settlement_at") <= ROUND_LAST_DAY).alias("_half"),
+            month_key("_settled_on").alias("_settled"),
+            (F.dayofmonth("_settled_on") <= ROUND_LAST_DAY).alias("_half"),
         )
         .agg(F.sum("_amount").alias("coupon_total"))
         .drop("_settled", "_half")

@@ -8,7 +8,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 
 from ledgerweave.operators import settlement as ops
+from ledgerweave.session import Stages
 from ledgerweave.sources.catalog import Catalog
+from ledgerweave.sources.layout import ROOT_ORDER
 
 Period = tuple[dt.date, dt.date]
 
@@ -24,6 +26,7 @@ def _cost_branches(
     coupon_table: str,
     sellers: Sequence[int] | None,
     period: Period,
+    stages: Stages,
     mileage_quantity: str | None = None,
 ) -> list[DataFrame]:
     options = ops.seller_options(
@@ -34,6 +37,8 @@ def _cost_branches(
         sellers,
         end_day=period[1],
     )
+    if ROOT_ORDER not in tables["dump.order_options"].columns:  # options of bucketed copies were not shuffled
+        options = stages.write(options, "options", codec=ops.CODEC)
     costs = [
         (tables[coupon_table], "coupon_cost", "coupon_total", None),
         (tables[MILEAGE], "mileage_cost", "point_total", mileage_quantity),
@@ -47,6 +52,7 @@ def _stage_branch(
     sellers: Sequence[int] | None,
     period: Period,
     by_delivery: bool,
+    stages: Stages,
 ) -> DataFrame:
     names = ("payment_transactions", "payment_transaction_items", "payment_items", "payment_transaction_item_amounts")
     return ops.stage_payment_branch(
@@ -58,9 +64,14 @@ def _stage_branch(
         *period,
         by_delivery=by_delivery,
         with_key=True,
+        stages=stages,
     )
 
 
+def _stages(tables: Mapping[str, DataFrame], name: str) -> Stages:
+    return Stages(tables["dump.orders"].sparkSession, name)
+
+
 def payment_discounts(
     tables: Mapping[str, DataFrame],
     sellers: Sequence[int] | None,
@@ -70,8 +81,9 @@ def payment_discounts(
     stage_period: Period,
 ) -> DataFrame:
     """Discounts by payment date; ``None`` for sellers means all of them."""
-    branches = _cost_branches(tables, ops.PAYMENT, COUPON, sellers, period)
-    branches.append(_stage_branch(tables, stage_service, stage_sellers, stage_period, by_delivery=False))
+    stages = _stages(tables, "payment-discounts")
+    branches = _cost_branches(tables, ops.PAYMENT, COUPON, sellers, period, stages)
+    branches.append(_stage_branch(tables, stage_service, stage_sellers, stage_period, False, stages))
     return ops.settlement_report(branches)
 
 
@@ -89,8 +101,9 @@ def delivery_discounts(
     Mileage quantity is counted against the payment date, as the source report does;
     ``mileage_quantity='delivery_complete_date'`` counts it like the coupon quantity.
     """
-    branches = _cost_branches(tables, ops.DELIVERY, COUPON, sellers, period, mileage_quantity)
-    branches.append(_stage_branch(tables, stage_service, stage_sellers, stage_period, by_delivery=True))
+    stages = _stages(tables, "delivery-discounts")
+    branches = _cost_branches(tables, ops.DELIVERY, COUPON, sellers, period, stages, mileage_quantity)
+    branches.append(_stage_branch(tables, stage_service, stage_sellers, stage_period, True, stages))
     return ops.settlement_report(branches)
 
 
@@ -102,7 +115,8 @@ def purchase_confirm_discounts(
     stage_period: Period,
 ) -> DataFrame:
     """Discounts by purchase-confirm date with the settlement round."""
-    branches = _cost_branches(tables, ops.CONFIRM, CART_COUPON, sellers, period)
+    stages = _stages(tables, "confirm-discounts")
+    branches = _cost_branches(tables, ops.CONFIRM, CART_COUPON, sellers, period, stages)
     branches.append(
         ops.stage_settlement_branch(
             tables[SALES],
@@ -111,6 +125,7 @@ def purchase_confirm_discounts(
             *stage_period,
             newest=tables.newest(SALES, "base_dt") if isinstance(tables, Catalog) else None,
             with_key=True,
+            stages=stages,
         )
     )
     return ops.settlement_report(branches, with_round=True)

@@ -39,3 +39,20 @@ def rows(df, *columns):
 
     picked = df.select(*columns) if columns else df
     return sorted((tuple(plain(v) for v in r) for r in picked.collect()), key=lambda r: tuple(map(str, r)))
+
+
+def shuffle_files(spark):
+    """Names of the shuffle files that the session holds on disk."""
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (held.apply(i).getName() for i in range(held.size()))
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def none_left(spark, before):
+    """Whether the shuffle files that came since ``before`` are gone; they go a moment after their query."""
+    import time
+
+    until = time.time() + 10
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    return not shuffle_files(spark) - before

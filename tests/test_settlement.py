@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerweave import plans
 from ledgerweave.operators import settlement as st
 from ledgerweave.sources.schemas import SCHEMAS
-from tests.conftest import rows
+from tests.conftest import none_left, rows, shuffle_files
 
 TS, D = dt.datetime, dt.date
 JULY = (D(2022, 7, 1), D(2022, 8, 1))
@@ -201,3 +201,40 @@ def test_spellings_of_an_option_stay_apart_and_staged_ones_must_be_exact(spark):
     name = "dump_payment_stage.payment_items"
     tabs[name] = spark.createDataFrame([(100, "07", "c"), (101, " 7", "c")], SCHEMAS[name])
     assert payment(tabs).count() == 0
+
+
+REPORTS = {
+    "payment": lambda tabs: payment(tabs, None),
+    "delivery": lambda tabs: plans.delivery_discounts(tabs, None, JULY, "S", None, JULY),
+    "confirm": lambda tabs: plans.purchase_confirm_discounts(tabs, None, JULY, None, JULY),
+}
+
+
+@pytest.mark.parametrize("report, joins", [("payment", 4), ("delivery", 4), ("confirm", 3)])
+def test_a_report_holds_the_shuffles_of_its_last_step_only(spark, report, joins):
+    """Options, staged payments and sales are written before they meet, and what dealt them is gone by then."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        tabs, before = staged(spark), shuffle_files(spark)
+        df = REPORTS[report](tabs)
+        assert len(exchanges(df)) <= joins
+        assert none_left(spark, before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bookings_before_1970_and_null_flags_keep_their_meaning(spark):
+    paid = (TS(1960, 1, 5, 9),) * 3
+    tabs = tables(spark, [cost(TS(1960, 1, 9), 3, job=None, kind=None), cost(TS(1950, 2, 1), 4)], milestones=paid)
+    got = plans.payment_discounts(tabs, None, (D(1960, 1, 1), D(1961, 1, 1)), "S", None, JULY)
+    assert rows(got, "base_dt", "kind", "quantity", "coupon_total") == [
+        ("1960-01-05", st.KIND_PAID, 2, -4),
+        ("1960-01-09", st.KIND_RECALCULATED, 0, -3),
+    ]
+
+
+def test_order_ids_keep_their_spelling(spark):
+    at = TS(2022, 7, 3, 12)
+    costs = [(at, "daily", 1, order, "100", Decimal(5)) for order in ("1", "01", "A-1", None, " 1")]
+    got = [r.order_id for r in payment(tables(spark, costs)).collect()]
+    assert sorted(got, key=str) == sorted(["1", "01", "A-1", None, " 1"], key=str)
