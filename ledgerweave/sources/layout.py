@@ -14,6 +14,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerweave.session import shuffles_dropped
+
 ORDERS, PRODUCTIONS, OPTIONS = "dump.orders", "dump.order_productions", "dump.order_options"
 ROOT_ORDER = "root_order_id"  # the extra column of options
 BUCKET_BYTES = 32 << 20  # of the files that options are read from, for each bucket
@@ -45,7 +47,8 @@ def write_hierarchy(
     for name, df, key in ((ORDERS, tables[ORDERS], "id"), (PRODUCTIONS, tables[PRODUCTIONS], "order_id"), (OPTIONS, options, ROOT_ORDER)):
         table = f"{database}.{prefix}{name.split('.')[1]}"
         dealt = df.repartition(buckets, key)  # one file per bucket
-        writer = dealt.write.mode("overwrite").format("parquet").option("path", f"{path}/{name}")
-        writer.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+        writer = dealt.write.mode("overwrite").format("parquet").option("path", f"{path}/{name}").option("compression", "zstd")
+        with shuffles_dropped(spark):
+            writer.bucketBy(buckets, key).sortBy(key).saveAsTable(table)
         made[name] = table
     return made
