@@ -17,7 +17,7 @@ from checks.derive import AS_OF, CALENDAR, Derived, base_table
 from checks.jobs import COUPON, HIERARCHY, LEDGER, SALE_DETAILS, SALES, SELLERS, STAGE
 from checks.registry import ORACLES, register
 from ledgerweave import plans
-from ledgerweave.session import scratch_path
+from ledgerweave.session import scratch_path, shuffles_dropped
 from ledgerweave.sources.catalog import Catalog
 from ledgerweave.sources.layout import write_hierarchy
 
@@ -42,14 +42,16 @@ def stored(
         df = derived[name]
         for physical, declared in renames.get(name, {}).items():
             df = df.withColumnRenamed(declared, physical)
-        writer = df.write.format("parquet")
+        writer = df.write
         if name in partitions:
-            writer = by_partition(df, partitions[name]).write.format("parquet").partitionBy(*partitions[name])
-        if name in metastore:
-            tables[name] = f"stored_{run}_{name.replace('.', '_').replace('-', '_')}"
-            writer.option("path", f"{root}/metastore/{name}").saveAsTable(tables[name])
-        else:
-            writer.save(f"{root}/{name}")
+            writer = by_partition(df, partitions[name]).write.partitionBy(*partitions[name])
+        writer = writer.format("parquet").option("compression", "zstd")
+        with shuffles_dropped(spark):
+            if name in metastore:
+                tables[name] = f"stored_{run}_{name.replace('.', '_').replace('-', '_')}"
+                writer.option("path", f"{root}/metastore/{name}").saveAsTable(tables[name])
+            else:
+                writer.save(f"{root}/{name}")
     return Catalog(spark, root, tables=tables, renames=renames)
 
 

@@ -12,7 +12,7 @@ from ledgerweave.operators import codemap
 from ledgerweave.sources.calendar import calendar
 from ledgerweave.sources.catalog import Catalog, conform
 from ledgerweave.sources.schemas import SCHEMAS
-from tests.conftest import rows
+from tests.conftest import none_left, rows, shuffle_files
 
 
 def test_every_schema_parses(spark):
@@ -207,3 +207,24 @@ def test_buckets_follow_the_size_of_the_options(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(layout, "BUCKET_BYTES", 8 << 10)
     assert layout.bucket_count(options, 8) > 8
     assert layout.bucket_count(spark.createDataFrame([(1,)], "id long"), 8) == 8
+
+
+def test_bucketed_copies_leave_no_shuffle_files(spark, sf_dir, tmp_path):
+    """The copies of one table are dealt after those of another, so their shuffles are not held together."""
+    from checks.derive import Derived
+    from ledgerweave.sources.layout import write_hierarchy
+
+    before = shuffle_files(spark)
+    made = write_hierarchy(spark, Derived(spark, sf_dir), str(tmp_path), 4, prefix="hierarchy_files_")
+    assert none_left(spark, before)
+    for table in made.values():
+        spark.sql(f"DROP TABLE {table}")
+
+
+def test_stored_tables_leave_no_shuffle_files(spark, sf_dir):
+    from checks.stored import HIERARCHY, SALES, stored
+
+    before = shuffle_files(spark)
+    tables = stored(spark, sf_dir, [*HIERARCHY, SALES], partitions={SALES: ["base_dt"]})
+    assert none_left(spark, before)
+    assert tables[SALES].count() > 0 and tables.newest(SALES, "base_dt") == "2023-03-02"
