@@ -176,6 +176,8 @@ def settlement_branches(
         for i, (df, cost, _, _) in enumerate(costs)
     ]
     dates = ("payment_at", "delivery_complete_date", "purchase_confirm_date")
+    # no discount is recognised before its milestone, so the bound holds for that as well, also in a written table
+    options = options.filter(F.col(milestone.column) < as_date(end_day).cast("timestamp_ntz"))
     options = options.withColumns({c: F.col(c).cast("date") for c in dates})
     joined = reduce(DataFrame.unionByName, booked).join(options, F.col(OPTION_KEY) == F.col("option_id"))
     joined = joined.withColumns(
